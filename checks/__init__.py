@@ -1,6 +1,6 @@
 """Every operator as a query over the driver's tables, next to equivalent SQL."""
 
-from checks import row_checks, rollup_checks  # noqa: F401
+from checks import behavior_checks, explore_checks, row_checks, rollup_checks  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
