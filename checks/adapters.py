@@ -6,7 +6,6 @@ The two renderings are written independently; the SQL one runs on DuckDB.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,39 +13,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _null(kind: str):
-    return F.lit(None).cast(kind)
-
-
 def plays_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    slot = F.col("user_id") % 6
-    return e.select(
-        F.col("event_id").alias("play_id"),
+    keyed = read(spark, sf_dir, "events").selectExpr(
+        "*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k"
+    )
+    return keyed.selectExpr(
+        "event_id AS play_id",
         "user_id",
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        F.concat(F.lit("track_"), k.cast("string")).alias("track_name"),
-        F.concat(F.lit("artist_"), (k % 20).cast("string")).alias("artist_name"),
-        F.concat(F.lit("album_"), (k % 40).cast("string")).alias("album_name"),
-        F.concat(F.lit("track:"), (F.col("event_id") % 500).cast("string")).alias("track_uri"),
-        F.round(F.col("value") * 4000).cast("bigint").alias("ms_played"),
-        _null("boolean").alias("shuffle"),
-        F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 7 == 0).alias("skipped"),
-        F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 2 == 0).alias("offline"),
-        _null("boolean").alias("incognito_mode"),
-        F.when(slot == 0, "android")
-        .when(slot == 1, "ios")
-        .when(slot == 2, "web_player")
-        .when(slot == 3, "desktop")
-        .when(slot == 4, "Cast to device")
-        .alias("platform"),
-        F.when(F.col("event_id") % 4 != 0, "DE").alias("country"),
-        F.when(F.col("event_type") == "view", "podcast")
-        .when(F.col("event_type") == "purchase", "audiobook")
-        .when(F.col("event_type") == "signup", "video")
-        .otherwise("music")
-        .alias("content_type"),
+        "CAST(ts AS TIMESTAMP) AS timestamp",
+        "concat('track_', k) AS track_name",
+        "concat('artist_', k % 20) AS artist_name",
+        "concat('album_', k % 40) AS album_name",
+        "concat('track:', event_id % 500) AS track_uri",
+        "CAST(round(value * 4000) AS BIGINT) AS ms_played",
+        "CAST(NULL AS BOOLEAN) AS shuffle",
+        "IF(event_id % 13 != 0, event_id % 7 = 0, NULL) AS skipped",
+        "IF(event_id % 5 != 0, event_id % 2 = 0, NULL) AS offline",
+        "CAST(NULL AS BOOLEAN) AS incognito_mode",
+        """element_at(array('android', 'ios', 'web_player', 'desktop', 'Cast to device', NULL),
+                      CAST(user_id % 6 AS INT) + 1) AS platform""",
+        "IF(event_id % 4 != 0, 'DE', NULL) AS country",
+        """coalesce(element_at(map('view', 'podcast', 'purchase', 'audiobook', 'signup', 'video'),
+                               event_type), 'music') AS content_type""",
     )
 
 
@@ -71,29 +59,20 @@ plays_events AS (
 
 
 def plays_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    minute = (F.col("o_orderkey") % 1440).cast("int")
-    start = F.col("o_orderdate").cast("timestamp")
-    return o.select(
-        F.col("o_orderkey").alias("play_id"),
-        F.timestamp_micros(F.unix_micros(start) + minute.cast("bigint") * 60_000_000).alias(
-            "timestamp"
-        ),
-        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("track_name"),
-        F.concat(F.lit("artist_"), F.col("o_custkey").cast("string")).alias("artist_name"),
-        F.concat(F.lit("album_"), (F.col("o_custkey") % 97).cast("string")).alias("album_name"),
-        F.concat(F.lit("track:"), (F.col("o_orderkey") % 500).cast("string")).alias("track_uri"),
-        F.round("o_totalprice").cast("bigint").alias("ms_played"),
-        (F.col("o_orderkey") % 7 == 0).alias("skipped"),
-        F.when(F.col("o_orderpriority").startswith("1"), "iOS")
-        .when(F.col("o_orderpriority").startswith("2"), "web_player")
-        .when(F.col("o_orderpriority").startswith("3"), "Desktop")
-        .when(F.col("o_orderpriority").startswith("4"), "Android OS 9")
-        .alias("platform"),
-        F.when(F.col("o_orderstatus") == "F", "music")
-        .when(F.col("o_orderstatus") == "O", "podcast")
-        .otherwise("audiobook")
-        .alias("content_type"),
+    return read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS play_id",
+        """timestamp_micros(unix_micros(CAST(o_orderdate AS TIMESTAMP))
+                            + o_orderkey % 1440 * 60000000) AS timestamp""",
+        "concat('order_', o_orderkey) AS track_name",
+        "concat('artist_', o_custkey) AS artist_name",
+        "concat('album_', o_custkey % 97) AS album_name",
+        "concat('track:', o_orderkey % 500) AS track_uri",
+        "CAST(round(o_totalprice) AS BIGINT) AS ms_played",
+        "o_orderkey % 7 = 0 AS skipped",
+        """try_element_at(map('1', 'iOS', '2', 'web_player', '3', 'Desktop', '4', 'Android OS 9'),
+                          substr(o_orderpriority, 1, 1)) AS platform""",
+        """CASE o_orderstatus WHEN 'F' THEN 'music' WHEN 'O' THEN 'podcast'
+              ELSE 'audiobook' END AS content_type""",
     )
 
 
@@ -127,19 +106,20 @@ FEATURE_SLOTS = (
 
 
 def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 10 != 0)
-
-    def unit(i: int):
-        scaled = F.lit(0.5) + F.lit(3.0) * F.col("embedding")[i].cast("double")
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))
-
-    return e.select(
-        F.concat(F.lit("track:"), F.col("vec_id").cast("string")).alias("track_id"),
-        *[unit(i).alias(name) for i, name in enumerate(FEATURE_SLOTS)],
-        (F.lit(40.0) + F.lit(240.0) * unit(7)).alias("tempo"),
-        (F.lit(60000.0) + F.lit(1000.0) * (F.col("vec_id") % 300)).alias("duration_ms"),
-        (F.col("vec_id") % 12).cast("int").alias("key"),
-        F.when(F.col("vec_id") % 3 != 0, (F.col("vec_id") % 2).cast("int")).alias("mode"),
+    def unit(i: int) -> str:
+        return f"least(1D, greatest(0D, 0.5D + 3D * CAST(embedding[{i}] AS DOUBLE)))"
+
+    return (
+        read(spark, sf_dir, "embeddings")
+        .filter("vec_id % 10 != 0")
+        .selectExpr(
+            "concat('track:', vec_id) AS track_id",
+            *[f"{unit(i)} AS {name}" for i, name in enumerate(FEATURE_SLOTS)],
+            f"40D + 240D * {unit(7)} AS tempo",
+            "60000D + 1000D * (vec_id % 300) AS duration_ms",
+            "CAST(vec_id % 12 AS INT) AS key",
+            "IF(vec_id % 3 != 0, CAST(vec_id % 2 AS INT), NULL) AS mode",
+        )
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,13 +33,19 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def naive(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as DuckDB has them."""
-    zoned = [n for n, t in df.dtypes if t == "timestamp"]
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned})
+    dtypes = df.dtypes
+    if "timestamp" not in {t for _, t in dtypes}:
+        return df
+    return df.selectExpr(
+        *[f"CAST(`{n}` AS TIMESTAMP_NTZ) AS `{n}`" if t == "timestamp" else f"`{n}`" for n, t in dtypes]
+    )
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Means of floats depend on summation order in the last digits."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.selectExpr(
+        *[f"round(`{c}`, {digits}) AS `{c}`" if c in columns else f"`{c}`" for c in df.columns]
+    )
 
 
 def r(expression: str, name: str, digits: int = 6) -> str:

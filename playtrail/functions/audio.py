@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.functions.binning import bin_ordinal, level_name
+from playtrail.functions.binning import bin_ordinal, derive, level_name
 from playtrail.schema import (
     AUDIO_DEFAULTED,
     INTENSITY,
@@ -17,44 +17,37 @@ from playtrail.schema import (
 # Fixed value: stands in for a feature the table has no column for.
 NEUTRAL_FEATURE = 0.5
 
+# Quadrants of the valence/energy plane.
+MOOD = """
+CASE WHEN valence >= 0.5D AND energy >= 0.5D THEN 'Happy'
+     WHEN valence >= 0.5D AND energy < 0.5D THEN 'Calm'
+     WHEN valence < 0.5D AND energy >= 0.5D THEN 'Energetic'
+     WHEN valence < 0.5D AND energy < 0.5D THEN 'Sad'
+     ELSE 'Neutral' END
+"""
 
-def add_default_features(plays: DataFrame) -> DataFrame:
-    """Give absent feature *columns* a neutral constant; present ones stay as they are."""
-    absent = [name for name in AUDIO_DEFAULTED if name not in plays.columns]
-    return plays.withColumns({name: F.lit(NEUTRAL_FEATURE) for name in absent})
-
-
-def mood(valence: Column, energy: Column) -> Column:
-    # Quadrants of the valence/energy plane, split at 0.5.
-    return (
-        F.when((valence >= 0.5) & (energy >= 0.5), "Happy")
-        .when((valence >= 0.5) & (energy < 0.5), "Calm")
-        .when((valence < 0.5) & (energy >= 0.5), "Energetic")
-        .when((valence < 0.5) & (energy < 0.5), "Sad")
-        .otherwise("Neutral")
-    )
-
+# Ordered genre rules, first match wins.
+GENRE = """
+CASE WHEN danceability > 0.7D AND energy > 0.7D THEN 'Pop/Dance'
+     WHEN acousticness > 0.7D AND instrumentalness < 0.3D THEN 'Folk/Acoustic'
+     WHEN instrumentalness > 0.7D THEN 'Instrumental'
+     WHEN speechiness > 0.5D THEN 'Hip-Hop/Rap'
+     WHEN energy > 0.8D AND tempo > 140D THEN 'Electronic'
+     WHEN valence < 0.3D AND energy < 0.5D THEN 'Sad/Emo'
+     ELSE 'Other' END
+"""
 
-def inferred_genre() -> Column:
-    # Ordered genre rules, first match wins.
-    return F.expr(
-        """
-        CASE WHEN danceability > 0.7 AND energy > 0.7 THEN 'Pop/Dance'
-             WHEN acousticness > 0.7 AND instrumentalness < 0.3 THEN 'Folk/Acoustic'
-             WHEN instrumentalness > 0.7 THEN 'Instrumental'
-             WHEN speechiness > 0.5 THEN 'Hip-Hop/Rap'
-             WHEN energy > 0.8 AND tempo > 140 THEN 'Electronic'
-             WHEN valence < 0.3 AND energy < 0.5 THEN 'Sad/Emo'
-             ELSE 'Other' END
-        """
-    )
+# Feature weights.
+COMPLEXITY = (
+    "instrumentalness * 0.3D + speechiness * 0.2D + (1 - acousticness) * 0.3D + liveness * 0.2D"
+)
 
 
-def musical_complexity() -> Column:
-    # Feature weights.
-    return F.expr(
-        "instrumentalness * 0.3D + speechiness * 0.2D + (1 - acousticness) * 0.3D + liveness * 0.2D"
-    )
+def add_default_features(plays: DataFrame) -> DataFrame:
+    """Give absent feature *columns* a neutral constant; present ones stay as they are."""
+    present = set(plays.columns)
+    absent = [name for name in AUDIO_DEFAULTED if name not in present]
+    return derive(plays, {name: f"{NEUTRAL_FEATURE}D" for name in absent}) if absent else plays
 
 
 def add_audio_features(plays: DataFrame) -> DataFrame:
@@ -64,24 +57,27 @@ def add_audio_features(plays: DataFrame) -> DataFrame:
     one bit comes from a scalar subquery whose tasks stop at their first hit, and is
     only asked for when tempo is a real column.
     """
-    tempo_ord = bin_ordinal(F.col("tempo"), TEMPO_EDGES)
-    tempo_name = level_name(tempo_ord, TEMPO_NAMES)
-    if "tempo" in plays.columns:
-        known = plays.select("tempo").filter(F.col("tempo").isNotNull()).limit(1)
-        any_tempo = known.agg(F.count("tempo")).scalar()
-        tempo_name = F.when(any_tempo == 0, F.lit("Unknown")).otherwise(tempo_name)
-    energy_ord = bin_ordinal(F.col("energy"), INTENSITY_EDGES)
-    dance_ord = bin_ordinal(F.col("danceability"), INTENSITY_EDGES)
-    return add_default_features(plays).withColumns(
+    tempo = bin_ordinal("tempo", TEMPO_EDGES)
+    energy = bin_ordinal("energy", INTENSITY_EDGES)
+    dance = bin_ordinal("danceability", INTENSITY_EDGES)
+    out = derive(
+        add_default_features(plays),
         {
-            "mood": mood(F.col("valence"), F.col("energy")),
-            "energy_level_ord": energy_ord,
-            "energy_level": level_name(energy_ord, INTENSITY),
-            "danceability_level_ord": dance_ord,
-            "danceability_level": level_name(dance_ord, INTENSITY),
-            "tempo_category_ord": tempo_ord,
-            "tempo_category": tempo_name,
-            "musical_complexity": musical_complexity(),
-            "inferred_genre": inferred_genre(),
-        }
+            "mood": MOOD,
+            "energy_level_ord": energy,
+            "energy_level": level_name(energy, INTENSITY),
+            "danceability_level_ord": dance,
+            "danceability_level": level_name(dance, INTENSITY),
+            "tempo_category_ord": tempo,
+            "tempo_category": level_name(tempo, TEMPO_NAMES),
+            "musical_complexity": COMPLEXITY,
+            "inferred_genre": GENRE,
+        },
+    )
+    if "tempo" not in plays.columns:
+        return out
+    known = plays.select("tempo").filter("tempo IS NOT NULL").limit(1)
+    nothing_known = known.agg(F.count("tempo")).scalar() == 0
+    return out.withColumn(
+        "tempo_category", F.when(nothing_known, "Unknown").otherwise(F.col("tempo_category"))
     )

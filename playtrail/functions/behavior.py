@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from playtrail.functions.nulls import hours, minutes, ratio, truthy
+from playtrail.functions.binning import derive
 from playtrail.params import DEFAULTS, PlayParams
 from playtrail.schema import CONTENT_TYPES
 
@@ -19,41 +18,37 @@ PLATFORM_CATEGORIES = {
 }
 
 
-def platform_category(platform: Column) -> Column:
-    name = F.lower(F.coalesce(platform, F.lit("unknown")))
-    by_category: dict[str, list[str]] = {}
-    for raw, category in PLATFORM_CATEGORIES.items():
-        by_category.setdefault(category, []).append(raw)
-    chain = None
-    for category, raws in by_category.items():
-        test, label = name.isin(raws), F.lit(category)
-        chain = F.when(test, label) if chain is None else chain.when(test, label)
-    return chain.otherwise("Other")
+def platform_category(platform: str) -> str:
+    steps = " ".join(f"WHEN '{raw}' THEN '{name}'" for raw, name in PLATFORM_CATEGORIES.items())
+    return f"CASE lower(coalesce({platform}, 'unknown')) {steps} ELSE 'Other' END"
 
 
 def add_behavior_features(plays: DataFrame, params: PlayParams = DEFAULTS) -> DataFrame:
     """Needs ``ms_played``, ``skipped``, ``platform``; uses ``duration_ms`` when there."""
-    played = F.col("ms_played")
     if "duration_ms" in plays.columns:
-        duration = F.col("duration_ms")
-        cut_short = truthy(ratio(played, duration) < params.skip_threshold)
-        efficiency = F.when(duration > 0, ratio(played, duration)).otherwise(F.lit(0.0))
+        share = "try_divide(CAST(ms_played AS DOUBLE), CAST(duration_ms AS DOUBLE))"
+        cut_short = f"coalesce({share} < {params.skip_threshold}D, false)"
+        efficiency = f"CASE WHEN duration_ms > 0 THEN {share} ELSE 0D END"
     else:
-        cut_short = truthy(played < params.fallback_skip_ms)
-        share = played / F.lit(params.fallback_track_ms)
-        efficiency = F.when(played > 0, F.least(share, F.lit(1.0))).otherwise(F.lit(0.0))
-    return plays.withColumns(
+        cut_short = f"coalesce(ms_played < {params.fallback_skip_ms}, false)"
+        efficiency = (
+            f"CASE WHEN ms_played > 0 THEN least(ms_played / {params.fallback_track_ms}, 1D) "
+            "ELSE 0D END"
+        )
+    long_enough = f"coalesce(ms_played >= {params.min_listening_ms}, false)"
+    return derive(
+        plays,
         {
-            "listening_duration_minutes": minutes(played),
-            "is_skip": truthy(F.col("skipped")),
+            "listening_duration_minutes": "ms_played / 60000",
+            "is_skip": "coalesce(skipped, false)",
             "skip_by_duration": cut_short,
-            "is_complete_listen": truthy(played >= params.min_listening_ms) & ~cut_short,
+            "is_complete_listen": f"{long_enough} AND NOT {cut_short}",
             "listening_efficiency": efficiency,
-            "platform_category": platform_category(F.col("platform")),
-        }
+            "platform_category": platform_category("platform"),
+        },
     )
 
 
 def add_content_flags(plays: DataFrame) -> DataFrame:
-    flags = {f"is_{kind}": truthy(F.col("content_type") == kind) for kind in CONTENT_TYPES}
-    return plays.withColumns({**flags, "content_duration_hours": hours(F.col("ms_played"))})
+    flags = {f"is_{kind}": f"coalesce(content_type = '{kind}', false)" for kind in CONTENT_TYPES}
+    return derive(plays, {**flags, "content_duration_hours": "ms_played / 3600000"})

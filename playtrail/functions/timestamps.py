@@ -2,52 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from playtrail.functions.binning import derive
 
 # Fixed value: larger numbers are milliseconds, this one and smaller are seconds.
-MILLISECONDS_ABOVE = 1e10
+MILLISECONDS_ABOVE = 10_000_000_000
 
 # First and last second of years 1 to 9999.
 _FIRST_SECOND, _LAST_SECOND = -62_135_596_800, 253_402_300_799
 
-_DATE_LIKE = r"^\d{4}-\d{2}-\d{2}"
-_ZONED = r"[T ].*(Z|[+-]\d{2}(:?\d{2})?)$"
-
-
-def epoch_to_timestamp(number: Column) -> Column:
-    """Epoch seconds or milliseconds to an instant; out of range is null."""
-    seconds = F.when(number > MILLISECONDS_ABOVE, number / 1000).otherwise(number)
-    valid = seconds.between(_FIRST_SECOND, _LAST_SECOND)
-    return F.when(valid, F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint")))
+_NUMBER_KIND = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+_DATE_LIKE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_ZONED = "[T ].*(Z|[+-][0-9]{2}(:?[0-9]{2})?)$"
 
 
-def text_to_timestamp(text: Column) -> Column:
-    """ISO text (UTC unless it names an offset) or a number as text; else null."""
-    trimmed = F.trim(text)
-    zoned = F.when(trimmed.rlike(_ZONED), trimmed).otherwise(F.concat(trimmed, F.lit("Z")))
-    iso = F.when(trimmed.rlike(_DATE_LIKE), F.try_to_timestamp(zoned))
-    return F.coalesce(epoch_to_timestamp(trimmed.try_cast("double")), iso)
+def add_parsed_timestamp(df: DataFrame, value: str, instant: str, status: str) -> DataFrame:
+    """Turn a VARIANT holding a number or text into an instant and how it was read.
 
-
-def parsed_timestamp(value: Column) -> tuple[Column, Column]:
-    """(instant, status) of a VARIANT holding a number or text.
-
-    Status is ``ok``, ``missing`` (absent, null, false, 0, empty) or ``invalid``.
+    Numbers (also as text) are epoch seconds or milliseconds; other text is ISO, in UTC
+    unless it names an offset.  Status is ``ok``, ``missing`` (absent, null, false, 0,
+    empty) or ``invalid``; the instant is null unless ok.  Staged projections, so that
+    each step is computed once per row.
     """
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    numeric = ~kind.isin("STRING", "BOOLEAN", "VOID") & ~kind.rlike("^(OBJECT|ARRAY)")
-    blank = F.when(kind == "STRING", F.trim(text) == "").otherwise(
-        kind.isin("VOID", "OBJECT<>", "ARRAY<VOID>")
-        | (F.when(kind == "BOOLEAN", text == "false").otherwise(F.lit(False)))
-        | (F.when(numeric, text.try_cast("double") == 0).otherwise(F.lit(False)))
+    kind, text, number, blank = (f"__{instant}_{part}" for part in ("kind", "text", "n", "blank"))
+    raw = derive(
+        df,
+        {
+            kind: f"coalesce(schema_of_variant({value}), 'VOID')",
+            text: f"trim(try_variant_get({value}, '$', 'string'))",
+        },
+    )
+    readable = f"({kind} = 'STRING' OR {kind} RLIKE '{_NUMBER_KIND}')"
+    typed = derive(raw, {number: f"CASE WHEN {readable} THEN try_cast({text} AS DOUBLE) END"})
+    classified = derive(
+        typed,
+        {
+            blank: f"""
+                {kind} IN ('VOID', 'OBJECT<>', 'ARRAY<VOID>')
+                OR {kind} = 'STRING' AND {text} = ''
+                OR {kind} = 'BOOLEAN' AND {text} = 'false'
+                OR {kind} NOT IN ('STRING', 'BOOLEAN') AND coalesce({number} = 0, false)
+            """,
+            number: f"IF({number} > {MILLISECONDS_ABOVE}, {number} / 1000, {number})",
+        },
     )
-    missing = F.coalesce(blank, F.lit(True))
-    instant = F.when(~missing & (numeric | (kind == "STRING")), text_to_timestamp(text))
-    status = (
-        F.when(missing, F.lit("missing"))
-        .when(instant.isNull(), F.lit("invalid"))
-        .otherwise(F.lit("ok"))
+    parsed = derive(
+        classified,
+        {
+            instant: f"""
+                CASE WHEN {blank} THEN NULL
+                     WHEN {number} BETWEEN {_FIRST_SECOND} AND {_LAST_SECOND}
+                       THEN timestamp_micros(CAST(round({number} * 1000000) AS BIGINT))
+                     WHEN {number} IS NULL AND {kind} = 'STRING' AND {text} RLIKE '{_DATE_LIKE}'
+                       THEN try_to_timestamp(IF({text} RLIKE '{_ZONED}', {text}, {text} || 'Z'))
+                END
+            """
+        },
     )
-    return instant, status
+    label = f"CASE WHEN {blank} THEN 'missing' WHEN {instant} IS NULL THEN 'invalid' ELSE 'ok' END"
+    return derive(parsed, {status: label}).drop(kind, text, number, blank)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playtrail.functions.binning import derive
 from playtrail.operators.medians import column_medians
 from playtrail.params import DEFAULTS, PlayParams
 from playtrail.schema import AUDIO_CODES, AUDIO_MEASURES
@@ -19,6 +20,8 @@ CATEGORY_FILLS = {c: "Unknown" for c in ("platform", "user_agent", "ip_address",
 FLAG_FILLS = {c: False for c in ("shuffle", "skipped", "offline", "incognito_mode")}
 CODE_FILLS = {c: -1 for c in AUDIO_CODES}
 
+_MEDIANS = "__medians"
+
 
 def fill_constants(plays: DataFrame) -> DataFrame:
     """Names, categories, flags and audio codes get their fixed stand-ins."""
@@ -40,11 +43,11 @@ def fill_medians(
     if medians is None:
         medians = column_medians(plays, present, params.median_accuracy)
     lookup = medians.agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("m")
+        F.map_from_entries(F.collect_list(F.struct("feature", "median")))
     ).scalar()
-    return plays.withColumns(
-        {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), lookup[c]) for c in present}
-    )
+    # One column holding the map, so that the subquery is planned once.
+    filled = {c: f"coalesce(nanvl(CAST({c} AS DOUBLE), NULL), {_MEDIANS}['{c}'])" for c in present}
+    return derive(plays.withColumn(_MEDIANS, lookup), filled).drop(_MEDIANS)
 
 
 def fill_missing(

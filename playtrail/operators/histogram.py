@@ -13,19 +13,23 @@ def histogram(df: DataFrame, value: str, bins: int = 30, weight: str | None = No
     column lands in bin 1.  ``weight`` counts a row that many times.  The two bounds
     come from a scalar subquery.
     """
-    x = F.col(value).cast("double")
-    rows = df.filter(x.isNotNull() & ~F.isnan(x))
-    span = rows.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = span["lo"], span["hi"]
-    position = F.floor(F.try_divide(x - lo, hi - lo) * bins).cast("int") + 1
-    number = F.when(hi == lo, 1).otherwise(F.least(position, F.lit(bins)))
-    counted = rows.groupBy(number.alias("bin")).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n")
-    )
-    width = (hi - lo) / bins
-    return counted.select(
-        "bin",
-        (lo + width * (F.col("bin") - 1)).alias("bin_start"),
-        (lo + width * F.col("bin")).alias("bin_end"),
-        "n",
+    rows = df.select(
+        F.col(value).cast("double").alias("x"),
+        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("w"),
+    ).filter("x IS NOT NULL AND NOT isnan(x)")
+    span = rows.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    spread = rows.withColumn("span", span).selectExpr("x", "w", "span.lo AS lo", "span.hi AS hi")
+    number = f"""
+        CASE WHEN hi = lo THEN 1
+             ELSE least(CAST(floor(try_divide(x - lo, hi - lo) * {bins}) AS INT) + 1, {bins}) END
+    """
+    return (
+        spread.groupBy(F.expr(number).alias("bin"), "lo", "hi")
+        .agg(F.sum("w").alias("n"))
+        .selectExpr(
+            "bin",
+            f"lo + (hi - lo) / {bins} * (bin - 1) AS bin_start",
+            f"lo + (hi - lo) / {bins} * bin AS bin_end",
+            "n",
+        )
     )

@@ -39,12 +39,10 @@ def exact_median(
         # One row per key: broadcast only when the keys cannot grow with the data.
         small = set(keys) <= CLOSED_DOMAINS
         bounded = rows.join(F.broadcast(bounds) if small else bounds, list(keys))
-        low, high = F.col("b")[0], F.col("b")[1]
     else:
-        b = rows.agg(bracket.alias("b")).scalar()
-        bounded, low, high = rows, b[0], b[1]
+        bounded = rows.withColumn("b", rows.agg(bracket).scalar())
 
-    side = F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0)
+    side = F.expr("CASE WHEN v < b[0] THEN -1 WHEN v > b[1] THEN 1 ELSE 0 END")
     counted = (
         bounded.select(*keys, "v", side.alias("side"))
         .groupBy(*keys, "side", F.when(F.col("side") == 0, F.col("v")).alias("v"))

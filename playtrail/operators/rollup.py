@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.functions.nulls import hours, ratio
+from playtrail.functions.binning import derive
 from playtrail.functions.temporal import calendar_columns, clock_columns
 from playtrail.operators.grid import densify
 from playtrail.schema import AUDIO_MEANS
@@ -25,36 +25,33 @@ PLAY_CUBE_KEYS = ("date", "hour", "content_type", "platform_category", "mood")
 NAME_CUBE_KEYS = ("date", "content_type", "artist_name", "album_name")
 
 
+# Count-like measures over plays; a cube holds them under the same names and sums them up.
+MEASURES = {
+    "n_rows": "count(1)",
+    "ms_played": "coalesce(sum(ms_played), 0)",
+    "plays": "count(track_name)",
+    "skips": "count_if(is_skip)",
+    "completes": "count_if(is_complete_listen)",
+}
+
+
 def _parts(mean_columns: Sequence[str]) -> list[Column]:
-    sums = [F.sum(c).alias(f"{c}__sum") for c in mean_columns]
-    counts = [F.count(c).alias(f"{c}__n") for c in mean_columns]
-    return [
-        F.count(F.lit(1)).alias(_CUBE_MARK),
-        F.coalesce(F.sum("ms_played"), F.lit(0)).alias("ms_played"),
-        F.count("track_name").alias("plays"),
-        F.count_if("is_skip").alias("skips"),
-        F.count_if("is_complete_listen").alias("completes"),
-        *sums,
-        *counts,
-    ]
+    texts = [f"{text} AS {name}" for name, text in MEASURES.items()]
+    texts += [f"sum({c}) AS {c}__sum" for c in mean_columns]
+    texts += [f"count({c}) AS {c}__n" for c in mean_columns]
+    return [F.expr(text) for text in texts]
 
 
 def play_cube(plays: DataFrame) -> DataFrame:
     """Additive parts per hour, content type, platform category and mood."""
     cube = plays.groupBy(*PLAY_CUBE_KEYS).agg(*_parts([*AUDIO_MEANS, EFFICIENCY]))
-    return cube.withColumns(
-        {
-            **{k: c for k, c in calendar_columns(F.col("date")).items() if k != "date"},
-            **clock_columns(F.col("hour")),
-        }
-    )
+    return derive(cube, {**calendar_columns("date"), **clock_columns("hour")})
 
 
 def name_cube(plays: DataFrame) -> DataFrame:
     """Additive parts per day, content type, artist and album."""
     cube = plays.groupBy(*NAME_CUBE_KEYS).agg(*_parts([*AUDIO_MEANS, EFFICIENCY]))
-    days = calendar_columns(F.col("date"))
-    return cube.withColumns({k: c for k, c in days.items() if k != "date"})
+    return derive(cube, calendar_columns("date"))
 
 
 def is_cube(df: DataFrame) -> bool:
@@ -63,25 +60,18 @@ def is_cube(df: DataFrame) -> bool:
 
 def measure(df: DataFrame, name: str) -> Column:
     """Aggregate expression of a count-like measure, for plays or a cube."""
-    if is_cube(df):
-        total = F.coalesce(F.sum(name), F.lit(0))
-    else:
-        total = {
-            "n_rows": F.count(F.lit(1)),
-            "ms_played": F.coalesce(F.sum("ms_played"), F.lit(0)),
-            "plays": F.count("track_name"),
-            "skips": F.count_if("is_skip"),
-            "completes": F.count_if("is_complete_listen"),
-        }[name]
-    return total.alias(name)
+    text = f"coalesce(sum({name}), 0)" if is_cube(df) else MEASURES[name]
+    return F.expr(f"{text} AS {name}")
 
 
 def mean(df: DataFrame, column: str) -> Column:
-    if is_cube(df):
-        average = ratio(F.sum(f"{column}__sum"), F.sum(f"{column}__n"))
-    else:
-        average = F.avg(column)
-    return average.alias(column)
+    """Aggregate expression of a mean, for plays or a cube."""
+    from_parts = f"try_divide(sum({column}__sum), CAST(sum({column}__n) AS DOUBLE))"
+    return F.expr(f"{from_parts if is_cube(df) else f'avg({column})'} AS {column}")
+
+
+def count_distinct(name: str, columns: str | tuple[str, ...]) -> Column:
+    return F.countDistinct(*([columns] if isinstance(columns, str) else columns)).alias(name)
 
 
 def rollup(
@@ -89,12 +79,12 @@ def rollup(
     keys: Sequence[str],
     measures: Sequence[str] = ("ms_played", "plays"),
     means: Sequence[str] = (),
-    distinct: dict[str, str] | None = None,
+    distinct: dict[str, str | tuple[str, ...]] | None = None,
     dense: str | None = None,
 ) -> DataFrame:
     """Group plays or a cube, then add hours and rates.
 
-    Rows with a null key are left out.  ``distinct`` maps output name to the column
+    Rows with a null key are left out.  ``distinct`` maps output name to the column(s)
     whose distinct values are counted (exactly; Spark dedupes map-side, then by value,
     so one large group is spread over tasks).  ``dense`` names the ordered category
     among the keys whose empty cells are to be reported.
@@ -106,7 +96,7 @@ def rollup(
         .agg(
             *[measure(df, m) for m in measures],
             *[mean(df, c) for c in means],
-            *[F.countDistinct(c).alias(name) for name, c in distinct.items()],
+            *[count_distinct(name, columns) for name, columns in distinct.items()],
         )
     )
     if dense:
@@ -116,14 +106,14 @@ def rollup(
 
 
 def add_rates(df: DataFrame) -> DataFrame:
-    extra = {}
-    if "ms_played" in df.columns:
-        extra["listening_hours"] = hours(F.col("ms_played"))
-    if "skips" in df.columns:
-        extra["skip_rate"] = ratio(F.col("skips"), F.col("plays"))
-    if "completes" in df.columns:
-        extra["completion_rate"] = ratio(F.col("completes"), F.col("plays"))
-    return df.withColumns(extra)
+    present, extra = set(df.columns), {}
+    if "ms_played" in present:
+        extra["listening_hours"] = "ms_played / 3600000"
+    if "skips" in present:
+        extra["skip_rate"] = "try_divide(CAST(skips AS DOUBLE), CAST(plays AS DOUBLE))"
+    if "completes" in present:
+        extra["completion_rate"] = "try_divide(CAST(completes AS DOUBLE), CAST(plays AS DOUBLE))"
+    return derive(df, extra) if extra else df
 
 
 def totals(
@@ -136,5 +126,5 @@ def totals(
     return df.agg(
         *[measure(df, m) for m in measures],
         *[mean(df, c) for c in means],
-        *[F.countDistinct(c).alias(name) for name, c in (distinct or {}).items()],
+        *[count_distinct(name, columns) for name, columns in (distinct or {}).items()],
     )

@@ -30,6 +30,11 @@ class PlayParams:
     # k-means is only repeatable for a fixed layout, so the layout is a parameter.
     cluster_partitions: int = 32
 
+    @property
+    def session_key(self) -> tuple[str, ...]:
+        """What tells sessions of one content type apart."""
+        return (*[k for k in self.keys if k != "content_type"], "session_id")
+
     @property
     def session_timeout_us(self) -> int:
         return self.session_timeout_ms * 1000

@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playtrail.functions.binning import derive
 from playtrail.functions.nulls import hours, ratio
 from playtrail.functions.temporal import weekday_name
 from playtrail.operators.histogram import histogram
@@ -112,14 +113,8 @@ def hour_weekday_heatmap(plays: DataFrame) -> DataFrame:
     Conditional sums keep this a single map-side-combined aggregate of at most 7 rows.
     """
     cells = plays.dropna(subset=["day_of_week", "hour"])
-    return cells.groupBy("day_of_week").agg(
-        *[
-            hours(
-                F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("ms_played"))), F.lit(0))
-            ).alias(f"h{h}")
-            for h in range(24)
-        ]
-    )
+    total = "coalesce(sum(CASE WHEN hour = {h} THEN ms_played END), 0) / 3600000 AS h{h}"
+    return cells.groupBy("day_of_week").agg(*[F.expr(total.format(h=h)) for h in range(24)])
 
 
 def hours_by_weekday(plays: DataFrame) -> DataFrame:
@@ -137,7 +132,7 @@ def plays_by_hour(plays: DataFrame) -> DataFrame:
 
 def plays_by_weekday(plays: DataFrame) -> DataFrame:
     counted = rollup(plays, ["day_of_week"], ["n_rows"]).withColumnRenamed("n_rows", "n")
-    return counted.withColumn("day_name", weekday_name(F.col("day_of_week"))).orderBy("day_of_week")
+    return derive(counted, {"day_name": weekday_name("day_of_week")}).orderBy("day_of_week")
 
 
 def yearly_trend(plays: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def _intermediates(enriched: DataFrame, params: PlayParams) -> tuple[DataFrame,
     return (
         materialize(play_cube(enriched), "play_cube"),
         materialize(name_cube(enriched), "name_cube"),
-        materialize(rollups.session_cube(enriched), "session_days"),
+        materialize(rollups.session_cube(enriched, params.session_key), "session_days"),
         materialize(behavior.session_stats(enriched, params), "sessions"),
     )
 
@@ -64,7 +64,7 @@ def enrich(
         {
             "daily_stats": rollups.daily_stats(cube),
             "weekly_stats": rollups.weekly_stats(names),
-            "monthly_stats": rollups.monthly_stats(names, session_days),
+            "monthly_stats": rollups.monthly_stats(names, session_days, params.session_key),
             "artist_stats": rollups.artist_stats(names),
             "time_stats": rollups.time_stats(cube),
         },
@@ -83,7 +83,7 @@ def analyze(
     clustered = materialize(clustering.cluster_sessions(sessions, params), "clustered")
     results = {
         "temporal_patterns": temporal.analyze_temporal_patterns(
-            cube, names, session_days, materialize
+            cube, names, session_days, materialize, params
         ),
         "session_behavior": {
             "session_stats": sessions,
@@ -93,7 +93,7 @@ def analyze(
             "cluster_analysis": clustering.cluster_analysis(clustered),
             "cluster_distribution": clustering.cluster_distribution(clustered),
         },
-        "platform_usage": platform.analyze_platform_usage(cube, session_days, materialize),
+        "platform_usage": platform.analyze_platform_usage(cube, session_days, materialize, params),
         "listening_efficiency": efficiency.analyze_listening_efficiency(
             cube, names, enriched, materialize, params
         ),

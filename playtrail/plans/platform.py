@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from playtrail.operators.ranking import peak_per_group, top_rows
 from playtrail.operators.rollup import rollup
+from playtrail.params import DEFAULTS, PlayParams
 from playtrail.plans.rollups import platform_stats
 
 
@@ -35,11 +36,14 @@ def most_used_platform(stats: DataFrame) -> DataFrame:
 
 
 def analyze_platform_usage(
-    cube: DataFrame, sessions: DataFrame, keep: Callable[[DataFrame, str], DataFrame]
+    cube: DataFrame,
+    sessions: DataFrame,
+    keep: Callable[[DataFrame, str], DataFrame],
+    params: PlayParams = DEFAULTS,
 ) -> dict[str, DataFrame]:
     """All platform results from the play and session cubes; ``keep`` stores a table that
     several results start from."""
-    stats = keep(platform_stats(cube, sessions), "platform_stats")
+    stats = keep(platform_stats(cube, sessions, params.session_key), "platform_stats")
     return {
         "platform_stats": stats,
         "platform_preferences": platform_preferences(stats),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playtrail.functions.binning import derive
 from playtrail.functions.nulls import hours, ratio
 from playtrail.functions.temporal import calendar_columns
 from playtrail.operators.ranking import top_rows
-from playtrail.operators.rollup import EFFICIENCY, mean, measure, rollup
+from playtrail.operators.rollup import EFFICIENCY, count_distinct, mean, measure, rollup
+from playtrail.params import DEFAULTS
 from playtrail.schema import AUDIO_MEANS
 
 _NAMES = {"unique_artists": "artist_name", "unique_albums": "album_name"}
@@ -16,6 +18,7 @@ _ALL = ("ms_played", "plays", "completes", "skips")
 
 WEEK = ["year", "week_of_year", "content_type"]
 MONTH = ["year", "month", "content_type"]
+SESSION_KEY = DEFAULTS.session_key
 
 
 def daily_stats(plays: DataFrame) -> DataFrame:
@@ -27,19 +30,20 @@ def weekly_stats(plays: DataFrame) -> DataFrame:
     return rollup(plays, WEEK, means=AUDIO_MEANS, distinct=_NAMES)
 
 
-def session_cube(plays: DataFrame) -> DataFrame:
+def session_cube(plays: DataFrame, session_key: tuple[str, ...] = SESSION_KEY) -> DataFrame:
     """Which sessions touch which day and platform: all that session counts need."""
-    cube = plays.dropna(subset=["session_id"]).groupBy(
-        "date", "content_type", "platform_category", "session_id"
-    )
-    days = calendar_columns(F.col("date"))
-    return cube.agg(F.count(F.lit(1)).alias("n_rows")).withColumns(
-        {k: days[k] for k in ("year", "month", "week_of_year")}
-    )
+    grain = ["date", "content_type", "platform_category", *session_key]
+    cube = plays.dropna(subset=["session_id"]).groupBy(*grain).agg(measure(plays, "n_rows"))
+    days = calendar_columns("date")
+    return derive(cube, {k: days[k] for k in ("year", "month", "week_of_year")})
 
 
 def _counting_sessions(
-    plays: DataFrame, keys: list[str], sessions: DataFrame | None, **spec
+    plays: DataFrame,
+    keys: list[str],
+    sessions: DataFrame | None,
+    session_key: tuple[str, ...],
+    **spec,
 ) -> DataFrame:
     """A rollup plus distinct sessions per group.
 
@@ -47,30 +51,47 @@ def _counting_sessions(
     else everything is counted from the plays in one aggregate.
     """
     if sessions is None:
-        distinct = {**spec.pop("distinct", {}), "total_sessions": "session_id"}
+        distinct = {**spec.pop("distinct", {}), "total_sessions": session_key}
         return rollup(plays, keys, distinct=distinct, **spec)
-    counted = sessions.dropna(subset=keys).groupBy(*keys).agg(
-        F.countDistinct("session_id").alias("total_sessions")
+    counted = (
+        sessions.dropna(subset=keys)
+        .groupBy(*keys)
+        .agg(count_distinct("total_sessions", session_key))
     )
     joined = rollup(plays, keys, **spec).join(counted, keys, "left")
     return joined.withColumn("total_sessions", F.coalesce("total_sessions", F.lit(0)))
 
 
-def weekly_stats_with_sessions(plays: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    return _counting_sessions(plays, WEEK, sessions, means=AUDIO_MEANS, distinct=_NAMES)
+def weekly_stats_with_sessions(
+    plays: DataFrame,
+    sessions: DataFrame | None = None,
+    session_key: tuple[str, ...] = SESSION_KEY,
+) -> DataFrame:
+    return _counting_sessions(
+        plays, WEEK, sessions, session_key, means=AUDIO_MEANS, distinct=_NAMES
+    )
 
 
-def monthly_stats(plays: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    return _counting_sessions(plays, MONTH, sessions, means=AUDIO_MEANS, distinct=_NAMES)
+def monthly_stats(
+    plays: DataFrame,
+    sessions: DataFrame | None = None,
+    session_key: tuple[str, ...] = SESSION_KEY,
+) -> DataFrame:
+    return _counting_sessions(
+        plays, MONTH, sessions, session_key, means=AUDIO_MEANS, distinct=_NAMES
+    )
 
 
 def platform_stats(
-    plays: DataFrame, sessions: DataFrame | None = None
+    plays: DataFrame,
+    sessions: DataFrame | None = None,
+    session_key: tuple[str, ...] = SESSION_KEY,
 ) -> DataFrame:
     return _counting_sessions(
         plays,
         ["platform_category", "content_type"],
         sessions,
+        session_key,
         measures=("ms_played", "plays", "skips", "completes"),
         means=("valence", "energy", "danceability"),
     )

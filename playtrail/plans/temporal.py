@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.nulls import ratio
 from playtrail.operators.ranking import peak_per_group, top_rows
 from playtrail.operators.rollup import rollup
+from playtrail.params import DEFAULTS, PlayParams
 from playtrail.plans.rollups import monthly_stats, time_stats, weekly_stats_with_sessions
 from playtrail.schema import AUDIO_MEANS
 
@@ -148,6 +149,7 @@ def analyze_temporal_patterns(
     names: DataFrame,
     sessions: DataFrame,
     keep: Callable[[DataFrame, str], DataFrame],
+    params: PlayParams = DEFAULTS,
 ) -> dict[str, DataFrame]:
     """All temporal results from the play, name and session cubes.
 
@@ -155,8 +157,8 @@ def analyze_temporal_patterns(
     """
     daily = keep(daily_pattern_stats(cube), "daily")
     weekdays = day_of_week_stats(daily)
-    weekly = keep(weekly_stats_with_sessions(names, sessions), "weekly")
-    monthly = keep(monthly_stats(names, sessions), "monthly")
+    weekly = keep(weekly_stats_with_sessions(names, sessions, params.session_key), "weekly")
+    monthly = keep(monthly_stats(names, sessions, params.session_key), "monthly")
     seasons = keep(seasonal_stats(names), "seasons")
     times = keep(time_stats(cube), "times")
     yearly = keep(yearly_stats(names), "yearly")

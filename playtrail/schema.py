@@ -29,6 +29,9 @@ PLAYS_SCHEMA = T.StructType(
     ]
 )
 
+# As written by the parser: plays plus how the timestamp was read.
+PARSED_SCHEMA = T.StructType([*PLAYS_SCHEMA, T.StructField("ts_status", T.StringType())])
+
 # Ordered category levels.
 TIME_OF_DAY = ("Night", "Morning", "Afternoon", "Evening")
 SEASONS = ("Winter", "Spring", "Summer", "Fall")

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtrail.functions.timestamps import parsed_timestamp
+from playtrail.functions.timestamps import add_parsed_timestamp
 from playtrail.schema import PLAYS_SCHEMA
 
 # Substring of the lower-cased file name -> class, first match wins.
@@ -108,7 +108,8 @@ def _or_empty(spark: SparkSession, load, path: str, schema: str) -> DataFrame:
 
 def discover_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file_source, file_path, length, content_type)`` of the ``*.json`` files in a
-    directory, without reading their content; 'other' files are listed but never parsed."""
+    directory, without reading their content; 'other' files are listed but never parsed.
+    Spark does not show files of zero bytes, so they are neither listed nor rejected."""
 
     def load() -> DataFrame:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
@@ -150,58 +151,78 @@ def _elements(files: DataFrame) -> DataFrame:
     return exploded.withColumn("play_id", F.xxhash64("file_path", "pos"))
 
 
-def _is_object(item: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+def _record_type() -> str:
+    """Struct type of all known fields.
+
+    Fields with a default stay VARIANT, where an absent key is null and an explicit null
+    is a value; the rest are typed at once, and one that does not convert is null.
+    """
+    fields = {"ts": "variant", "offline_timestamp": "variant", "ms_played": "variant"}
+    fields |= {name: "boolean" for name in ("shuffle", *COMMON_FLAGS)}
+    fields |= {name: "string" for name in COMMON_FIELDS.values()}
+    for of in CLASS_FIELDS.values():
+        fields |= {of.album: "string", of.uri: "string"}
+    for of in CLASS_FIELDS.values():
+        fields |= {of.track: "variant", of.artist: "variant"}
+    return "struct<" + ", ".join(f"{name}: {kind}" for name, kind in fields.items()) + ">"
 
 
-def _field(name: str, kind: str) -> Column:
-    return F.try_variant_get("item", f"$.{name}", kind)
+RECORD_TYPE = _record_type()
 
 
-def _field_or_default(name: str, kind: str, default) -> Column:
-    """The default stands in for an absent key only, not for an explicit null."""
-    absent = _field(name, "variant").isNull()
-    return F.when(absent, F.lit(default)).otherwise(_field(name, kind))
+def _text(field: str) -> str:
+    """SQL for a field's text, typed or still VARIANT."""
+    if f"{field}: variant" in RECORD_TYPE:
+        return f"try_variant_get(r.{field}, '$', 'string')"
+    return f"r.{field}"
 
 
-def _by_class(pick) -> Column:
-    chain = None
-    for kind, fields in CLASS_FIELDS.items():
-        test = F.col("content_type") == kind
-        chain = F.when(test, pick(fields)) if chain is None else chain.when(test, pick(fields))
-    return chain
+def _by_class(text) -> str:
+    steps = " ".join(f"WHEN '{kind}' THEN {text(of)}" for kind, of in CLASS_FIELDS.items())
+    return f"CASE content_type {steps} END"
 
 
 def plays_from_elements(elements: DataFrame, bad_ts_value: Column | None = None) -> DataFrame:
     """Typed plays plus ``ts_status`` from rows ``(play_id, content_type, file_source, item)``.
 
-    A timestamp that is missing or unreadable becomes null, or ``bad_ts_value``.
+    Each element is taken apart by a single cast to a struct; what is no object casts to
+    null and is left to `rejected`.  A timestamp that is missing or unreadable becomes
+    null, or ``bad_ts_value``.
     """
-    instant, status = parsed_timestamp(_field("ts", "variant"))
-    offline_at, _ = parsed_timestamp(_field("offline_timestamp", "variant"))
+
+    def or_default(field: str, default: str) -> str:
+        return f"IF(r.{field} IS NULL, '{default}', {_text(field)})"
+
+    records = elements.select(
+        "play_id", "content_type", "file_source", _record().alias("r")
+    ).filter("r IS NOT NULL")
+    timed = add_parsed_timestamp(records, "r.ts", "timestamp", "ts_status")
+    timed = add_parsed_timestamp(timed, "r.offline_timestamp", "offline_timestamp", "__offline")
     if bad_ts_value is not None:
-        instant = F.coalesce(instant, bad_ts_value)
+        timed = timed.withColumn("timestamp", F.coalesce("timestamp", bad_ts_value))
     columns = {
-        "play_id": F.col("play_id"),
-        "timestamp": instant,
-        "track_name": _by_class(lambda f: _field_or_default(f.track, "string", f.track_default)),
-        "artist_name": _by_class(lambda f: _field_or_default(f.artist, "string", f.artist_default)),
-        "album_name": _by_class(lambda f: _field(f.album, "string")),
-        "track_uri": _by_class(lambda f: _field(f.uri, "string")),
-        "ms_played": _field_or_default("ms_played", "bigint", 0),
-        "shuffle": F.when(F.col("content_type") == "music", _field("shuffle", "boolean")),
-        "offline_timestamp": offline_at,
-        **{column: _field(field, "string") for column, field in COMMON_FIELDS.items()},
-        **{flag: _field(flag, "boolean") for flag in COMMON_FLAGS},
-        "content_type": F.col("content_type"),
-        "file_source": F.col("file_source"),
+        "track_name": _by_class(lambda of: or_default(of.track, of.track_default)),
+        "artist_name": _by_class(lambda of: or_default(of.artist, of.artist_default)),
+        "album_name": _by_class(lambda of: _text(of.album)),
+        "track_uri": _by_class(lambda of: _text(of.uri)),
+        "ms_played": "IF(r.ms_played IS NULL, 0, try_variant_get(r.ms_played, '$', 'bigint'))",
+        "shuffle": "IF(content_type = 'music', r.shuffle, NULL)",
+        **{column: f"r.{field}" for column, field in COMMON_FIELDS.items()},
+        **{flag: f"r.{flag}" for flag in COMMON_FLAGS},
     }
-    return elements.filter(_is_object(F.col("item"))).select(
-        *[columns[f.name].cast(f.dataType).alias(f.name) for f in PLAYS_SCHEMA],
-        status.alias("ts_status"),
+    return timed.selectExpr(
+        *[
+            f"CAST({columns.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in PLAYS_SCHEMA
+        ],
+        "ts_status",
     )
 
 
+def _record() -> Column:
+    return F.try_variant_get("item", "$", RECORD_TYPE)
+
+
 def parse_history(files: DataFrame, bad_ts_value: Column | None = None) -> DataFrame:
     """Plays of all classes from rows ``(file_source, file_path, text)``, in one pass."""
     return plays_from_elements(_elements(files), bad_ts_value)
@@ -220,21 +241,21 @@ def rejected(files: DataFrame) -> DataFrame:
     broken = (
         _classified(files)
         .filter(~readable)
-        .select(
+        .selectExpr(
             "file_source",
-            F.lit(None).cast("int").alias("pos"),
-            F.lit("unreadable file").alias("reason"),
-            F.lit(None).cast("string").alias("content"),
+            "CAST(NULL AS INT) AS pos",
+            "'unreadable file' AS reason",
+            "CAST(NULL AS STRING) AS content",
         )
     )
     odd = (
         _elements(files)
-        .filter(~_is_object(F.col("item")))
-        .select(
+        .filter(_record().isNull())
+        .selectExpr(
             "file_source",
             "pos",
-            F.lit("element is not an object").alias("reason"),
-            F.to_json("item").alias("content"),
+            "'element is not an object' AS reason",
+            "to_json(item) AS content",
         )
     )
     return broken.union(odd)

@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from playtrail.schema import PARSED_SCHEMA
 from playtrail.sinks.layout import ENRICHED, ROLLUPS, SUMMARY
 
 
 def read_plays(spark: SparkSession, path: str) -> DataFrame:
     """Parsed plays, to re-enter at enrichment."""
-    return spark.read.parquet(path)
+    return spark.read.schema(PARSED_SCHEMA).parquet(path)
 
 
 @dataclass
