@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from playtrail.session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -20,8 +22,7 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return naive(query(spark, sf_dir))
+            return naive(query(prepare(spark), sf_dir))
 
         QUERIES[name] = run
         if sql is not None:

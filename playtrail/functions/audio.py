@@ -50,12 +50,13 @@ def add_default_features(plays: DataFrame) -> DataFrame:
     return derive(plays, {name: f"{NEUTRAL_FEATURE}D" for name in absent}) if absent else plays
 
 
-def add_audio_features(plays: DataFrame) -> DataFrame:
+def add_audio_features(plays: DataFrame, tempos: DataFrame | None = None) -> DataFrame:
     """Derive the audio columns.
 
     ``tempo_category`` is 'Unknown' for every row only if no row has a tempo.  That
     one bit comes from a scalar subquery whose tasks stop at their first hit, and is
-    only asked for when tempo is a real column.
+    only asked for when tempo is a real column.  ``tempos`` is a cheaper frame to ask,
+    if the caller has one with the same tempos.
     """
     tempo = bin_ordinal("tempo", TEMPO_EDGES)
     energy = bin_ordinal("energy", INTENSITY_EDGES)
@@ -76,7 +77,7 @@ def add_audio_features(plays: DataFrame) -> DataFrame:
     )
     if "tempo" not in plays.columns:
         return out
-    known = plays.select("tempo").filter("tempo IS NOT NULL").limit(1)
+    known = (plays if tempos is None else tempos).select("tempo").filter("tempo IS NOT NULL").limit(1)
     nothing_known = known.agg(F.count("tempo")).scalar() == 0
     return out.withColumn(
         "tempo_category", F.when(nothing_known, "Unknown").otherwise(F.col("tempo_category"))

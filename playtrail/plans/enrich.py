@@ -9,15 +9,18 @@ from playtrail.functions.behavior import add_behavior_features, add_content_flag
 from playtrail.functions.temporal import add_temporal_features
 from playtrail.operators.cleaning import fill_constants, fill_missing
 from playtrail.operators.joins import join_audio_features
+from playtrail.operators.medians import column_medians
 from playtrail.operators.sessions import add_session_features, attach_sessions
 from playtrail.params import DEFAULTS, PlayParams
+from playtrail.schema import AUDIO_MEASURES
 
 
-def add_row_features(plays: DataFrame, params: PlayParams = DEFAULTS) -> DataFrame:
+def add_row_features(
+    plays: DataFrame, params: PlayParams = DEFAULTS, tempos: DataFrame | None = None
+) -> DataFrame:
     """Every derived column that depends on its own row only: no shuffle."""
-    return add_content_flags(
-        add_audio_features(add_behavior_features(add_temporal_features(plays), params))
-    )
+    timed = add_behavior_features(add_temporal_features(plays), params)
+    return add_content_flags(add_audio_features(timed, tempos))
 
 
 def create_derived_metrics(
@@ -29,7 +32,7 @@ def create_derived_metrics(
     """All derived columns.  ``gaps=False`` leaves out ``time_since_last`` and
     ``new_session``, the only two that need each play's predecessor."""
     attach = add_session_features if gaps else attach_sessions
-    return add_row_features(attach(plays, params, index), params)
+    return add_row_features(attach(plays, params, index), params, tempos=plays)
 
 
 def enrich(
@@ -42,12 +45,17 @@ def enrich(
     """Join features (if given), fill what is missing, derive.
 
     Promise ``unique_features`` when no track id repeats: the join then keeps the number
-    of plays, so sessions are found on the narrow plays before it.
+    of plays, so sessions are found on the narrow plays before it, and what concerns the
+    features only is asked of a join of two columns.
     """
-    attach = add_session_features if gaps else attach_sessions
     if features is None or not unique_features:
         if features is not None:
             plays = join_audio_features(plays, features)
         return create_derived_metrics(fill_missing(plays, params), params, gaps=gaps)
+    attach = add_session_features if gaps else attach_sessions
     placed = attach(fill_constants(plays), params)
-    return add_row_features(fill_missing(join_audio_features(placed, features), params), params)
+    matched = join_audio_features(plays.select("play_id", "track_uri"), features)
+    measures = [c for c in AUDIO_MEASURES if c in features.columns]
+    medians = column_medians(matched, measures, params.median_accuracy)
+    filled = fill_missing(join_audio_features(placed, features), params, medians)
+    return add_row_features(filled, params, tempos=matched)

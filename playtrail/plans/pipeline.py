@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from playtrail.operators.joins import join_audio_features
 from playtrail.operators.cleaning import fill_missing
+from playtrail.operators.joins import join_audio_features
 from playtrail.operators.rollup import name_cube, play_cube
 from playtrail.operators.sessions import session_index
 from playtrail.params import DEFAULTS, PlayParams
 from playtrail.plans import clustering, efficiency, insights, platform, rollups, temporal
 from playtrail.plans import session_behavior as behavior
 from playtrail.plans.enrich import create_derived_metrics
-from playtrail.session import materialize, use_utc
+from playtrail.session import materialize, prepare
 from playtrail.sinks import writers
 from playtrail.sources.history import read_history
 from playtrail.sources.tables import read_plays
@@ -29,7 +29,7 @@ def parse(
     spark: SparkSession, raw: str, out: str, bad_ts_value: Column | None = None
 ) -> DataFrame:
     """Exports -> parsed plays table."""
-    use_utc(spark)
+    prepare(spark)
     return read_plays(spark, writers.write_plays(read_history(spark, raw, bad_ts_value), out))
 
 
@@ -50,7 +50,7 @@ def enrich(
     params: PlayParams = DEFAULTS,
 ) -> DataFrame:
     """Parsed plays -> enriched table, five rollups and the summary, all written."""
-    spark = use_utc(plays.sparkSession)
+    spark = prepare(plays.sparkSession)
     if features is not None:
         # Joined once, read many times.
         plays = materialize(join_audio_features(plays, features), "plays_with_features")
@@ -78,7 +78,7 @@ def analyze(
     enriched: DataFrame, out: str, params: PlayParams = DEFAULTS
 ) -> tuple[dict[str, dict[str, DataFrame]], DataFrame]:
     """Enriched table -> analysis results and insights, all written."""
-    use_utc(enriched.sparkSession)
+    prepare(enriched.sparkSession)
     cube, names, session_days, sessions = _intermediates(enriched, params)
     clustered = materialize(clustering.cluster_sessions(sessions, params), "clustered")
     results = {
