@@ -30,15 +30,19 @@ def exact_median(
     name: str = "median",
     accuracy: int = DEFAULTS.median_accuracy,
 ) -> DataFrame:
-    """One row per key with the exact median (mean of the two middle values)."""
+    """One row per key with the exact median (mean of the two middle values).
+
+    The brackets, one row per key, are broadcast to the rows, so the keys must come from
+    closed domains, whose number of values does not grow with the data.
+    """
+    if not set(keys) <= CLOSED_DOMAINS:
+        raise ValueError(f"median keys must be among {sorted(CLOSED_DOMAINS)}")
     rows = df.select(*keys, _clean(F.col(value)).alias("v")).filter(F.col("v").isNotNull())
     margin = 2.0 / accuracy
     bracket = F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy)
     if keys:
         bounds = rows.groupBy(*keys).agg(bracket.alias("b"))
-        # One row per key: broadcast only when the keys cannot grow with the data.
-        small = set(keys) <= CLOSED_DOMAINS
-        bounded = rows.join(F.broadcast(bounds) if small else bounds, list(keys))
+        bounded = rows.join(F.broadcast(bounds), list(keys))
     else:
         bounded = rows.withColumn("b", rows.agg(bracket).scalar())
 

@@ -22,11 +22,8 @@ def efficiency_stats(plays: DataFrame, params: PlayParams = DEFAULTS) -> DataFra
         F.count_if("is_complete_listen").alias("total_completes"),
         F.count("track_name").alias("total_tracks"),
     )
-    # One row per content type: a closed domain.
-    median = F.broadcast(
-        exact_median(
-            plays, ["content_type"], EFFICIENCY, "median_efficiency", params.median_accuracy
-        )
+    median = exact_median(
+        plays, ["content_type"], EFFICIENCY, "median_efficiency", params.median_accuracy
     )
     tracks = F.col("total_tracks")
     return stats.join(median, "content_type", "left").withColumns(

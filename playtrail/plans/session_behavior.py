@@ -62,9 +62,8 @@ def session_patterns(sessions: DataFrame, params: PlayParams = DEFAULTS) -> Data
         F.avg("skip_rate").alias("skip_rate"),
         F.avg("completion_rate").alias("completion_rate"),
     )
-    # The medians have one row per content type: a closed domain.
     by_length, by_size = (
-        F.broadcast(exact_median(sessions, ["content_type"], column, name, params.median_accuracy))
+        exact_median(sessions, ["content_type"], column, name, params.median_accuracy)
         for column, name in ((length, "minutes_median"), (size, "tracks_median"))
     )
     return spread.join(by_length, "content_type", "left").join(by_size, "content_type", "left")

@@ -3,6 +3,5 @@
 # Table names.
 PARSED = "streaming_history_parsed.parquet"
 ENRICHED = "enriched_streaming_data.parquet"
-ROLLUPS = ("daily_stats", "weekly_stats", "monthly_stats", "artist_stats", "time_stats")
 SUMMARY = "summary_statistics.json"
 INSIGHTS = "key_insights.json"

@@ -6,9 +6,10 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from playtrail.schema import PARSED_SCHEMA
-from playtrail.sinks.layout import ENRICHED, ROLLUPS, SUMMARY
+from playtrail.sinks.layout import ENRICHED, SUMMARY
 
 
 def read_plays(spark: SparkSession, path: str) -> DataFrame:
@@ -23,23 +24,40 @@ class EnrichedData:
     summary: DataFrame | None = None
 
 
+# A table written from no rows has no file to take a schema from.
+_ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
+
 def _if_there(read, path: str) -> DataFrame | None:
     try:
         return read(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in _ABSENT:
             raise
         return None
 
 
+def table_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the ``*.parquet`` tables directly under a directory, from its listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract("path", rf"/{path.rstrip('/').split('/')[-1]}/([^/]+)\.parquet/", 1)
+    found = files.select(name.alias("name")).filter("name != ''").distinct()
+    return sorted(row.name for row in found.collect())
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
+    return _if_there(spark.read.json, f"{path}/{SUMMARY}")
+
+
 def load_enriched(spark: SparkSession, path: str) -> EnrichedData:
-    """Enriched plays, the rollups next to them and the summary; absent parts stay out."""
+    """Enriched plays, every other table next to them by name, and the summary.
+
+    Without enriched plays everything is empty; other absent parts just stay out.
+    """
     plays = _if_there(spark.read.parquet, f"{path}/{ENRICHED}")
     if plays is None:
         return EnrichedData(None)
-    found = {name: _if_there(spark.read.parquet, f"{path}/{name}.parquet") for name in ROLLUPS}
-    return EnrichedData(
-        plays,
-        {name: table for name, table in found.items() if table is not None},
-        _if_there(spark.read.json, f"{path}/{SUMMARY}"),
-    )
+    others = [n for n in table_names(spark, path) if f"{n}.parquet" != ENRICHED]
+    found = {name: _if_there(spark.read.parquet, f"{path}/{name}.parquet") for name in others}
+    tables = {name: table for name, table in found.items() if table is not None}
+    return EnrichedData(plays, tables, read_summary(spark, path))

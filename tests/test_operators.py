@@ -27,8 +27,8 @@ def test_exact_median_by_group(spark, accuracy, kind):
     rows = [(f"g{i % 7}", draw()) for i in range(20_000)]
     rows += [("one", 3.0), ("two", 1.0), ("two", 2.0), ("nulls", None), ("nan", float("nan"))]
     rows += [("four", 1.0), ("four", 2.0), ("four", 4.0), ("four", 10.0)]
-    df = spark.createDataFrame(rows, "k string, x double").repartition(16)
-    got = {r.k: r.median for r in exact_median(df, ["k"], "x", accuracy=accuracy).collect()}
+    df = spark.createDataFrame(rows, "mood string, x double").repartition(16)
+    got = {r.mood: r.median for r in exact_median(df, ["mood"], "x", accuracy=accuracy).collect()}
     values = {}
     for k, x in rows:
         if x is not None and x == x:
@@ -36,6 +36,11 @@ def test_exact_median_by_group(spark, accuracy, kind):
     assert got == {k: statistics.median(v) for k, v in values.items()}
 
 
+def test_median_keys_must_be_closed_domains(spark):
+    with pytest.raises(ValueError):
+        exact_median(spark.range(3), ["id"], "id")
+
+
 def test_exact_median_over_everything(spark):
     df = spark.range(1001).select((F.col("id") * 2).alias("x"))
     assert exact_median(df, [], "x", "m").collect() == [(1000.0,)]
