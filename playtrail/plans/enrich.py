@@ -28,11 +28,13 @@ def create_derived_metrics(
     params: PlayParams = DEFAULTS,
     index: DataFrame | None = None,
     gaps: bool = True,
+    tempos: DataFrame | None = None,
 ) -> DataFrame:
     """All derived columns.  ``gaps=False`` leaves out ``time_since_last`` and
-    ``new_session``, the only two that need each play's predecessor."""
+    ``new_session``, the only two that need each play's predecessor.  ``tempos`` is
+    passed on to `add_audio_features`."""
     attach = add_session_features if gaps else attach_sessions
-    return add_row_features(attach(plays, params, index), params, tempos=plays)
+    return add_row_features(attach(plays, params, index), params, plays if tempos is None else tempos)
 
 
 def enrich(
@@ -51,7 +53,8 @@ def enrich(
     if features is None or not unique_features:
         if features is not None:
             plays = join_audio_features(plays, features)
-        return create_derived_metrics(fill_missing(plays, params), params, gaps=gaps)
+        filled = fill_missing(plays, params)
+        return create_derived_metrics(filled, params, gaps=gaps, tempos=plays)
     attach = add_session_features if gaps else attach_sessions
     placed = attach(fill_constants(plays), params)
     matched = join_audio_features(plays.select("play_id", "track_uri"), features)

@@ -56,7 +56,7 @@ def enrich(
         plays = materialize(join_audio_features(plays, features), "plays_with_features")
     filled = fill_missing(plays, params)
     index = materialize(session_index(filled, params), "session_index")
-    derived = create_derived_metrics(filled, params, index)
+    derived = create_derived_metrics(filled, params, index, tempos=plays)
     enriched = spark.read.parquet(writers.write_enriched(derived, out))
 
     cube, names, session_days, sessions = _intermediates(enriched, params)
