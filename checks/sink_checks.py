@@ -101,10 +101,9 @@ UNION ALL SELECT 'efficiency_insights', 2, format('Overall skip rate: {:.1f}%',
 )
 def sink_insights(spark, sf):
     out = _folder(spark)
-    first, second = efficiency_insights(
-        {"overall": overall_efficiency(play_cube(rows(spark, sf, "events")))}
-    )
-    return spark.read.json(writers.write_insights(first.union(second), out))
+    overall = overall_efficiency(play_cube(rows(spark, sf, "events")))
+    [sentences] = efficiency_insights({"overall": overall})
+    return spark.read.json(writers.write_insights(sentences, out))
 
 
 @check(

@@ -70,11 +70,14 @@ def exact_median(
 
 
 def column_medians(
-    df: DataFrame, columns: Sequence[str], accuracy: int = DEFAULTS.median_accuracy
+    df: DataFrame,
+    columns: Sequence[str],
+    accuracy: int = DEFAULTS.median_accuracy,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact median of several columns at once: rows ``(feature, median)``."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]
+    """Exact median of several columns at once: rows ``(*keys, feature, median)``."""
+    cells = ", ".join(
+        f"struct('{c}' AS feature, CAST(`{c}` AS DOUBLE) AS v)" for c in columns
     )
-    long = df.select(F.explode(cells).alias("cell")).select("cell.feature", "cell.v")
-    return exact_median(long, ["feature"], "v", accuracy=accuracy)
+    long = df.selectExpr(*keys, f"inline(array({cells}))")
+    return exact_median(long, [*keys, "feature"], "v", accuracy=accuracy)

@@ -201,30 +201,17 @@ def favorite_season(plays: DataFrame) -> DataFrame:
 
 def key_insight_lines(cube: DataFrame, names: DataFrame) -> DataFrame:
     """Five headline sentences as ``(ord, line)``."""
-    summed = cube.agg(measure(cube, "ms_played"), mean(cube, EFFICIENCY))
-    best = top_artist(names)
-    lines = [
-        summed.select(
-            F.lit(1).alias("ord"),
-            F.format_string("Total Listening Time: %.1f hours", hours(F.col("ms_played"))).alias(
-                "line"
-            ),
-        ),
-        best.select(
-            F.lit(2),
-            F.format_string("Top Artist: %s (%.1f hours)", "artist_name", "listening_hours"),
-        ),
-        peak_time(cube).select(F.lit(3), F.format_string("Peak Listening Time: %s", "time_of_day")),
-        favorite_season(cube).select(F.lit(4), F.format_string("Favorite Season: %s", "season")),
-        summed.select(
-            F.lit(5),
-            F.format_string("Average Listening Efficiency: %.1f%%", F.col(EFFICIENCY) * 100),
-        ),
-    ]
-    out = lines[0]
-    for line in lines[1:]:
-        out = out.union(line)
-    return out
+    summed = cube.agg(measure(cube, "ms_played"), mean(cube, EFFICIENCY)).selectExpr(
+        "stack(2, 1, format_string('Total Listening Time: %.1f hours', ms_played / 3600000),"
+        " 5, format_string('Average Listening Efficiency: %.1f%%', listening_efficiency * 100))"
+        " AS (ord, line)"
+    )
+    best = top_artist(names).selectExpr(
+        "2", "format_string('Top Artist: %s (%.1f hours)', artist_name, listening_hours)"
+    )
+    time = peak_time(cube).selectExpr("3", "concat('Peak Listening Time: ', time_of_day)")
+    season = favorite_season(cube).selectExpr("4", "concat('Favorite Season: ', season)")
+    return summed.union(best).union(time).union(season)
 
 
 def summary_report(plays: DataFrame, top: int = 5) -> DataFrame:

@@ -10,68 +10,49 @@ from pyspark.sql import functions as F
 INSIGHTS_SCHEMA = "category string, ord int, insight string"
 
 
-def _line(source: DataFrame, category: str, ord_: int, text: Column) -> DataFrame:
-    return source.select(
-        F.lit(category).alias("category"), F.lit(ord_).alias("ord"), text.alias("insight")
-    )
+def _lines(source: DataFrame, category: str, first: int, *texts: Column) -> DataFrame:
+    """One sentence per text over a one-row frame, which is computed once."""
+    numbered = source.select(F.posexplode(F.array(*texts)).alias("ord", "insight"))
+    return numbered.selectExpr(f"'{category}' AS category", f"ord + {first} AS ord", "insight")
 
 
 def temporal_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
     category = "temporal_insights"
+    day = F.format_string(
+        "Peak listening day: %d with %.1f hours", "day_of_week", "listening_hours"
+    )
+    season = F.format_string("Favorite listening season: %s", "season")
+    time = F.format_string("Peak listening time: %s", "time_of_day")
     return [
-        _line(
-            results["peak_day"],
-            category,
-            1,
-            F.format_string(
-                "Peak listening day: %d with %.1f hours", "day_of_week", "listening_hours"
-            ),
-        ),
-        _line(
-            results["favorite_season"],
-            category,
-            2,
-            F.format_string("Favorite listening season: %s", "season"),
-        ),
-        _line(
-            results["favorite_time"],
-            category,
-            3,
-            F.format_string("Peak listening time: %s", "time_of_day"),
-        ),
+        _lines(results["peak_day"], category, 1, day),
+        _lines(results["favorite_season"], category, 2, season),
+        _lines(results["favorite_time"], category, 3, time),
     ]
 
 
 def session_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
     category = "session_insights"
+    length = F.format_string(
+        "Average session duration: %.1f minutes", "average_session_duration"
+    )
+    binges = F.format_string("Binge listening sessions: %d (%.1f%%)", "count", "percentage")
     return [
-        _line(
-            results["session_totals"],
-            category,
-            1,
-            F.format_string("Average session duration: %.1f minutes", "average_session_duration"),
-        ),
-        _line(
-            results["binge_sessions"],
-            category,
-            2,
-            F.format_string("Binge listening sessions: %d (%.1f%%)", "count", "percentage"),
-        ),
+        _lines(results["session_totals"], category, 1, length),
+        _lines(results["binge_sessions"], category, 2, binges),
     ]
 
 
 def platform_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
     text = F.format_string("Most used platform: %s", "platform_category")
-    return [_line(results["most_used_platform"], "platform_insights", 1, text)]
+    return [_lines(results["most_used_platform"], "platform_insights", 1, text)]
 
 
 def efficiency_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
-    category, overall = "efficiency_insights", results["overall"]
     efficiency = F.format_string(
         "Overall listening efficiency: %.1f%%", F.col("overall_efficiency") * 100
     )
     skips = F.format_string("Overall skip rate: %.1f%%", F.col("overall_skip_rate") * 100)
-    return [_line(overall, category, 1, efficiency), _line(overall, category, 2, skips)]
+    return [_lines(results["overall"], "efficiency_insights", 1, efficiency, skips)]
 
 
 # Which analysis feeds which sentences.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.functions.nulls import minutes, ratio
-from playtrail.operators.medians import exact_median
+from playtrail.operators.medians import column_medians
 from playtrail.operators.sessions import session_slots
 from playtrail.params import DEFAULTS, PlayParams
 
@@ -62,11 +62,14 @@ def session_patterns(sessions: DataFrame, params: PlayParams = DEFAULTS) -> Data
         F.avg("skip_rate").alias("skip_rate"),
         F.avg("completion_rate").alias("completion_rate"),
     )
-    by_length, by_size = (
-        exact_median(sessions, ["content_type"], column, name, params.median_accuracy)
-        for column, name in ((length, "minutes_median"), (size, "tracks_median"))
+    medians = column_medians(sessions, [length, size], params.median_accuracy, ["content_type"])
+    middle = medians.groupBy("content_type").agg(
+        *[
+            F.max(F.when(F.col("feature") == column, F.col("median"))).alias(name)
+            for column, name in ((length, "minutes_median"), (size, "tracks_median"))
+        ]
     )
-    return spread.join(by_length, "content_type", "left").join(by_size, "content_type", "left")
+    return spread.join(middle, "content_type", "left")
 
 
 def binge_sessions(sessions: DataFrame, params: PlayParams = DEFAULTS) -> DataFrame:
