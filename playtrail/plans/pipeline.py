@@ -19,18 +19,39 @@ from playtrail.plans import session_behavior as behavior
 from playtrail.plans.enrich import create_derived_metrics
 from playtrail.session import materialize, prepare
 from playtrail.sinks import writers
-from playtrail.sources.history import read_history
+from playtrail.sinks.layout import REJECTS
+from playtrail.sources.history import (
+    discover_files,
+    read_history,
+    read_history_texts,
+    rejected,
+)
 from playtrail.sources.tables import read_plays
 
 STAGES = ("parse", "enrich", "analyze")
 
 
 def parse(
-    spark: SparkSession, raw: str, out: str, bad_ts_value: Column | None = None
+    spark: SparkSession,
+    raw: str,
+    out: str,
+    bad_ts_value: Column | None = None,
+    report: bool = True,
 ) -> DataFrame:
-    """Exports -> parsed plays table."""
+    """Exports -> parsed plays table, rejects and parse statistics.
+
+    ``report=False`` leaves out rejects and statistics, which take a second pass over
+    the exports.
+    """
     prepare(spark)
-    return read_plays(spark, writers.write_plays(read_history(spark, raw, bad_ts_value), out))
+    plays = read_plays(spark, writers.write_plays(read_history(spark, raw, bad_ts_value), out))
+    if report:
+        rejects = rejected(read_history_texts(spark, raw))
+        path = writers.write_table(rejects, out, REJECTS)
+        stored = spark.read.schema(rejects.schema).parquet(path)
+        statistics = rollups.parse_statistics(plays, discover_files(spark, raw), stored)
+        writers.write_statistics(statistics, out)
+    return plays
 
 
 def _intermediates(enriched: DataFrame, params: PlayParams) -> tuple[DataFrame, ...]:

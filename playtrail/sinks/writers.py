@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.sinks.layout import ENRICHED, INSIGHTS, PARSED, SUMMARY
+from playtrail.sinks.layout import ENRICHED, INSIGHTS, PARSED, STATISTICS, SUMMARY
 
 
 def write_plays(plays: DataFrame, path: str) -> str:
@@ -43,6 +43,13 @@ def write_summary(summary: DataFrame, path: str) -> str:
     return target
 
 
+def write_statistics(statistics: DataFrame, path: str) -> str:
+    """The one-row parse statistics."""
+    target = f"{path}/{STATISTICS}"
+    statistics.write.mode("overwrite").json(target)
+    return target
+
+
 def write_results(results: dict[str, dict[str, DataFrame]], path: str) -> None:
     """Every table of every analysis as ``{analysis}_results.json/{table}``, machine readable."""
     for analysis, tables in results.items():

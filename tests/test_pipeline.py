@@ -1,7 +1,5 @@
 """Whole pipeline from export files to results on disk, sinks, clustering."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from playtrail.plans.enrich import enrich
 from playtrail.plans.insights import generate_insights
 from playtrail.session import materialize, work_folder
 from playtrail.sinks import writers
+from playtrail.sources.history import discover_files
 from playtrail.sources.tables import load_enriched
 
 
@@ -49,6 +48,17 @@ def test_stages_leave_their_files(spark, folders):
     assert data.summary.first().dataset_overview.total_records == parsed.count()
 
 
+def test_parse_statistics_account_for_every_file_and_row(spark, raw, folders):
+    out = folders["processed"]
+    stats = spark.read.json(f"{out}/parsing_statistics.json").first()
+    parsed = spark.read.parquet(f"{out}/{writers.PARSED}")
+    assert stats.total_records == parsed.count()
+    kinds = ("music", "podcast", "audiobook", "video")
+    assert sum(stats[f"{k}_records"] for k in kinds) == stats.total_records
+    assert stats.total_files == discover_files(spark, raw).count()
+    assert stats.errors == spark.read.parquet(f"{out}/rejects.parquet").count() > 0
+
+
 def test_rollups_add_up_to_the_plays(spark, folders):
     data = load_enriched(spark, folders["enriched"])
     timed = data.plays.filter("date is not null").agg(F.sum("ms_played")).first()[0]
