@@ -7,6 +7,8 @@ rollups (plays, names, session days, sessions), and for the exact medians.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from playtrail.operators.cleaning import fill_missing
@@ -54,9 +56,18 @@ def parse(
     return plays
 
 
-def _intermediates(enriched: DataFrame, params: PlayParams) -> tuple[DataFrame, ...]:
-    """Play cube, name cube, session days and sessions, each written once."""
-    return (
+@dataclass(frozen=True)
+class Parts:
+    """Intermediate rollups all results are computed from, each written once."""
+
+    cube: DataFrame
+    names: DataFrame
+    session_days: DataFrame
+    sessions: DataFrame
+
+
+def intermediate_rollups(enriched: DataFrame, params: PlayParams = DEFAULTS) -> Parts:
+    return Parts(
         materialize(play_cube(enriched), "play_cube"),
         materialize(name_cube(enriched), "name_cube"),
         materialize(rollups.session_cube(enriched, params.session_key), "session_days"),
@@ -69,7 +80,7 @@ def enrich(
     out: str,
     features: DataFrame | None = None,
     params: PlayParams = DEFAULTS,
-) -> DataFrame:
+) -> tuple[DataFrame, Parts]:
     """Parsed plays -> enriched table, five rollups and the summary, all written."""
     spark = prepare(plays.sparkSession)
     if features is not None:
@@ -80,43 +91,51 @@ def enrich(
     derived = create_derived_metrics(filled, params, index, tempos=plays)
     enriched = spark.read.parquet(writers.write_enriched(derived, out))
 
-    cube, names, session_days, sessions = _intermediates(enriched, params)
+    parts = intermediate_rollups(enriched, params)
     writers.write_tables(
         {
-            "daily_stats": rollups.daily_stats(cube),
-            "weekly_stats": rollups.weekly_stats(names),
-            "monthly_stats": rollups.monthly_stats(names, session_days, params.session_key),
-            "artist_stats": rollups.artist_stats(names),
-            "time_stats": rollups.time_stats(cube),
+            "daily_stats": rollups.daily_stats(parts.cube),
+            "weekly_stats": rollups.weekly_stats(parts.names),
+            "monthly_stats": rollups.monthly_stats(
+                parts.names, parts.session_days, params.session_key
+            ),
+            "artist_stats": rollups.artist_stats(parts.names),
+            "time_stats": rollups.time_stats(parts.cube),
         },
         out,
     )
-    writers.write_summary(rollups.summary_document(enriched, sessions, cube), out)
-    return enriched
+    writers.write_summary(rollups.summary_document(enriched, parts.sessions, parts.cube), out)
+    return enriched, parts
 
 
 def analyze(
-    enriched: DataFrame, out: str, params: PlayParams = DEFAULTS
+    enriched: DataFrame, out: str, params: PlayParams = DEFAULTS, parts: Parts | None = None
 ) -> tuple[dict[str, dict[str, DataFrame]], DataFrame]:
-    """Enriched table -> analysis results and insights, all written."""
+    """Enriched table -> analysis results and insights, all written.
+
+    ``parts`` are reused when the enrichment stage has just made them.
+    """
     prepare(enriched.sparkSession)
-    cube, names, session_days, sessions = _intermediates(enriched, params)
-    clustered = materialize(clustering.cluster_sessions(sessions, params), "clustered")
+    if parts is None:
+        parts = intermediate_rollups(enriched, params)
+    clustered = materialize(clustering.cluster_sessions(parts.sessions, params), "clustered")
     results = {
         "temporal_patterns": temporal.analyze_temporal_patterns(
-            cube, names, session_days, materialize, params
+            parts.cube, parts.names, parts.session_days, materialize, params
         ),
         "session_behavior": {
-            "session_stats": sessions,
-            "session_patterns": behavior.session_patterns(sessions, params),
-            "binge_sessions": behavior.binge_sessions(sessions, params),
-            "session_totals": behavior.session_totals(sessions),
+            "session_stats": parts.sessions,
+            "session_patterns": behavior.session_patterns(parts.sessions, params),
+            "binge_sessions": behavior.binge_sessions(parts.sessions, params),
+            "session_totals": behavior.session_totals(parts.sessions),
             "cluster_analysis": clustering.cluster_analysis(clustered),
             "cluster_distribution": clustering.cluster_distribution(clustered),
         },
-        "platform_usage": platform.analyze_platform_usage(cube, session_days, materialize, params),
+        "platform_usage": platform.analyze_platform_usage(
+            parts.cube, parts.session_days, materialize, params
+        ),
         "listening_efficiency": efficiency.analyze_listening_efficiency(
-            cube, names, enriched, materialize, params
+            parts.cube, parts.names, enriched, materialize, params
         ),
     }
     writers.write_results(results, out)
@@ -144,10 +163,12 @@ def run(
         raise ValueError(f"unknown stages: {sorted(unknown)}")
     if "parse" in stages:
         parse(spark, raw, processed)
+    parts = None
     if "enrich" in stages:
         plays = read_plays(spark, f"{processed}/{writers.PARSED}")
         if plays.isEmpty():
             return
-        enrich(plays, enriched, features, params)
+        _, parts = enrich(plays, enriched, features, params)
     if "analyze" in stages:
-        analyze(spark.read.parquet(f"{enriched}/{writers.ENRICHED}"), results, params)
+        stored = spark.read.parquet(f"{enriched}/{writers.ENRICHED}")
+        analyze(stored, results, params, parts)
