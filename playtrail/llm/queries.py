@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from playtrail.llm.common import share_folder
 from playtrail.llm.decontamination import decontaminate
+from playtrail.llm.jaccard import jaccard_components
 from playtrail.llm.licenses import scan_licenses
 from playtrail.llm.mixing import mix_sources
 from playtrail.llm.tokens import count_tokens
@@ -127,3 +128,8 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(texts(spark, sf_dir)).drop("text")
+
+
+@query
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(texts(spark, sf_dir))
