@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import share_folder
+from playtrail.llm.common import fold, share_folder
 from playtrail.llm.decontamination import decontaminate
 from playtrail.llm.jaccard import jaccard_components
+from playtrail.llm.language_model import score_texts
 from playtrail.llm.licenses import scan_licenses
 from playtrail.llm.mixing import mix_sources
 from playtrail.llm.tokens import count_tokens
@@ -133,3 +134,10 @@ def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(texts(spark, sf_dir))
+
+
+@query
+def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the texts outside the test fold, the weights on one fold in six of them."""
+    scored = score_texts(texts(spark, sf_dir), fold("doc_id", 7) != 2, fold("doc_id", 7) == 6)
+    return scored.withColumn("held_out", fold("doc_id", 7) == 2)
