@@ -90,18 +90,19 @@ def corpus_counts(
     told apart by these and by their bucket.  ``most``: sums stop there."""
 
     def send(chunk: pa.Table) -> pa.Table:
-        keys, counts = keys_of(chunk)
-        number = chunk.column("chunk")[0].as_py()
-        rows = [
-            (number, b, _key_bytes(keys[part], width), pack(counts[:, part].ravel())) for b, part in _buckets(keys, buckets)
-        ]
-        return _table(rows, ["chunk", "bucket", "keys", "counts"])
+        return sent(chunk.column("chunk")[0].as_py(), *keys_of(chunk), buckets, width)
 
     return answered(chunked.groupBy("chunk").applyInArrow(send, _SENT), width, most)
 
 
-def answered(sent: DataFrame, width: int, most: int | None) -> DataFrame:
-    """One answer to each chunk in each bucket."""
+def sent(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: int) -> pa.Table:
+    """What a chunk sends to the buckets."""
+    rows = [(chunk, b, _key_bytes(keys[part], width), pack(counts[:, part].ravel())) for b, part in _buckets(keys, buckets)]
+    return _table(rows, ["chunk", "bucket", "keys", "counts"])
+
+
+def answered(rows: DataFrame, width: int, most: int | None) -> DataFrame:
+    """One answer to each chunk in each bucket, from rows of ``sent``."""
 
     def add(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("chunk")
@@ -114,13 +115,13 @@ def answered(sent: DataFrame, width: int, most: int | None) -> DataFrame:
         total = np.stack(sums)[:, back] if most is None else np.minimum(np.stack(sums), most)[:, back]
         owned = np.zeros(len(back), np.uint8)
         owned[first] = 1
-        number, rows, at = bucket.column("bucket")[0].as_py(), [], 0
+        number, found, at = bucket.column("bucket")[0].as_py(), [], 0
         for chunk, n in zip(chunks, lengths):
-            rows.append((chunk, number, pack(total[:, at : at + n].ravel()), np.packbits(owned[at : at + n]).tobytes()))
+            found.append((chunk, number, pack(total[:, at : at + n].ravel()), np.packbits(owned[at : at + n]).tobytes()))
             at += n
-        return _table(rows, ["chunk", "bucket", "counts", "owned"])
+        return _table(found, ["chunk", "bucket", "counts", "owned"])
 
-    return sent.groupBy("bucket").applyInArrow(add, _ANSWER)
+    return rows.groupBy("bucket").applyInArrow(add, _ANSWER)
 
 
 def counts_for(keys: np.ndarray, answers: pa.Table, buckets: int, sums: int = 1) -> tuple[np.ndarray, np.ndarray]:

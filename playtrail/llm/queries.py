@@ -14,6 +14,7 @@ from playtrail.llm.jaccard import jaccard_components
 from playtrail.llm.language_model import score_texts
 from playtrail.llm.licenses import scan_licenses
 from playtrail.llm.mixing import mix_sources
+from playtrail.llm.substrings import remove_repeats
 from playtrail.llm.tokens import count_tokens
 
 #: Target weights of the mixture; sources not listed weigh 1.
@@ -116,6 +117,37 @@ FROM doc LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
 
+@query
+def op5_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept words are joined by one space, also where nothing was removed."""
+    found = remove_repeats(texts(spark, sf_dir))
+    words = F.expr(r"array_join(filter(split(coalesce(kept, ''), '[ \t-\r]+'), w -> w <> ''), ' ')")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+_SPACED_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES["op5_remove_repeats"] = f"""
+WITH doc AS (
+    SELECT doc_id, row_number() OVER () AS row, {_SPACED_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), starts AS (
+    SELECT row, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35
+), windows AS (
+    SELECT row, i, array_to_string(w[i:i + 34], ' ') AS win FROM starts
+), repeated AS (
+    SELECT win FROM windows GROUP BY win HAVING count(*) > 1
+), gone AS (
+    SELECT DISTINCT row, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (win)
+), words AS (
+    SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc
+), kept AS (
+    SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (row, p) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (row)
+"""
+
+
 @query
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, so that every run encodes every distinct text."""
@@ -141,3 +173,25 @@ def op10_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the texts outside the test fold, the weights on one fold in six of them."""
     scored = score_texts(texts(spark, sf_dir), fold("doc_id", 7) != 2, fold("doc_id", 7) == 6)
     return scored.withColumn("held_out", fold("doc_id", 7) == 2)
+
+
+ORACLES["op9_jaccard_components"] = f"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, {_SPACED_WORDS.format(_LOWER.format('text'))} AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM doc WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s)
+    WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
