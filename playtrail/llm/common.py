@@ -30,8 +30,10 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of Arrow batches with about SLICE_BYTES of text, and their texts (null: empty).
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of Arrow batches with about so many bytes of text, and their texts (null: empty).
 
     ``text`` names a column or, after a point, a field of a struct column."""
     name, _, field = text.partition(".")
@@ -41,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
         if not len(column):
             continue
         sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
-        part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        part = np.cumsum(sizes, dtype=np.int64) // size
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
         for begin, end in zip(edges, edges[1:]):
             yield batch.slice(begin, end - begin), [t or b"" for t in column.slice(begin, end - begin).to_pylist()]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playtrail.llm import language, toxicity
 from playtrail.llm.common import fold, share_folder
 from playtrail.llm.decontamination import decontaminate
 from playtrail.llm.jaccard import jaccard_components
@@ -117,6 +118,13 @@ FROM doc LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = language.learn(table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2)
+    predicted = language.predict(texts(spark, sf_dir), field)
+    return predicted.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept words are joined by one space, also where nothing was removed."""
@@ -148,6 +156,14 @@ FROM doc LEFT JOIN kept USING (row)
 """
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    machine = toxicity.learn(texts(spark, sf_dir), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    scored = toxicity.score_toxicity(texts(spark, sf_dir), machine)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", predicted)
+
+
 @query
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, so that every run encodes every distinct text."""
