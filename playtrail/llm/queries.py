@@ -15,6 +15,7 @@ from playtrail.llm.jaccard import jaccard_components
 from playtrail.llm.language_model import score_texts
 from playtrail.llm.licenses import scan_licenses
 from playtrail.llm.mixing import mix_sources
+from playtrail.llm.neighbours import nearest
 from playtrail.llm.substrings import remove_repeats
 from playtrail.llm.tokens import count_tokens
 
@@ -118,6 +119,11 @@ FROM doc LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
 
+@query
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = language.learn(table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2)
