@@ -67,8 +67,8 @@ def prefix_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def keys_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return distinct(shingle_sets(chunk.column("text").to_pylist(), shingle)[0])
 
-    # Five bytes beside the bucket: a false repeat only makes a prefix longer.
-    counts = corpus_counts(chunked, keys_of, n, width=5, most=255)
+    # Four bytes beside the bucket: a false repeat only makes a prefix longer.
+    counts = corpus_counts(chunked, keys_of, n, width=4, most=255)
 
     def prefix(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, owner, sizes = shingle_sets(chunk.column("text").to_pylist(), shingle)
@@ -137,15 +137,16 @@ class SignatureTree:
         overlap = min(most, most_y, int(np.bitwise_count(bits & bits_y).sum()))
         return (100 + self.percent) * overlap >= self.percent * (least + least_y)
 
-    def links(self) -> list[tuple[int, int]]:
-        """Links that join components, by the sets' original numbers."""
-        found, stack = [], [((0, len(self.sizes)),) * 2]
+    def links(self) -> np.ndarray:
+        """For each set, by its original number, a label that it shares with all sets it is
+        linked with, directly or through others."""
+        stack = [((0, len(self.sizes)),) * 2]
         while stack:
             x, y = stack.pop()
             if not self.possible(x, y):
                 continue
             if x[1] - x[0] <= LEAF and y[1] - y[0] <= LEAF:
-                found += self.compare(x, y)
+                self.compare(x, y)
             elif x == y:
                 a, b = x
                 m = (a + b) // 2
@@ -154,23 +155,23 @@ class SignatureTree:
                 wide, other = (x, y) if x[1] - x[0] >= y[1] - y[0] else (y, x)
                 m = (wide[0] + wide[1]) // 2
                 stack += [((wide[0], m), other), ((m, wide[1]), other)]
-        return found
+        label = np.empty_like(self.label)
+        label[self.order] = self.label
+        return label
 
-    def compare(self, x: tuple[int, int], y: tuple[int, int]) -> list[tuple[int, int]]:
+    def compare(self, x: tuple[int, int], y: tuple[int, int]) -> None:
         both = self.bitmaps[x[0] : x[1], None] & self.bitmaps[None, y[0] : y[1]]
         overlap = np.bitwise_count(both).sum(axis=2, dtype=np.int64)
         total = self.sizes[x[0] : x[1], None] + self.sizes[None, y[0] : y[1]]
-        found = []
         for i, j in zip(*np.nonzero((100 + self.percent) * overlap >= self.percent * total)):
             a, b = x[0] + int(i), y[0] + int(j)
             if self.label[a] != self.label[b]:
                 self.label[self.label == self.label[b]] = self.label[a]
-                found.append((int(self.order[a]), int(self.order[b])))
-        return found
 
 
 def tree_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` inside each block of ``block, doc_id, n_shingles, tokens, component``."""
+    """Stars ``doc_id, head`` of what is linked inside each block of ``block, doc_id,
+    n_shingles, tokens, component`` (sets of one component are linked already)."""
 
     def join(block: pa.Table) -> pa.Table:
         ids = block.column("doc_id").to_numpy()
@@ -185,36 +186,39 @@ def tree_links(members: DataFrame, percent: int) -> DataFrame:
         at = bit[back[keep]]
         np.bitwise_or.at(bitmaps, (owner[keep], at // 64), U(1) << (at % 64).astype(U))
         _, label = np.unique(block.column("component").to_numpy(), return_inverse=True)
-        tree = SignatureTree(bitmaps, block.column("n_shingles").to_numpy().astype(np.int64), label, percent)
-        links = [(ids[i], ids[j]) for i, j in tree.links()]
-        return pa.table({n: pa.array([x[k] for x in links], pa.int64()) for k, n in enumerate("ab")})
+        label = SignatureTree(bitmaps, block.column("n_shingles").to_numpy().astype(np.int64), label, percent).links()
+        head = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(head, label, ids)
+        return pa.table({"doc_id": pa.array(ids), "head": pa.array(head[label])})
 
-    return members.groupBy("block").applyInArrow(join, "a long, b long")
+    return members.groupBy("block").applyInArrow(join, "doc_id long, head long")
 
 
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``component``: of the links so far, or the class itself."""
-    found = components(links).withColumnRenamed("node", "doc_id")
-    return members.drop("component").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def cluster_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links ``a, b`` that connect all that is connected inside the clusters of ``cluster,
+    doc_id``.  Only ids move until blocks are known; ``sets`` has the sets of all ids."""
 
+    def trees(placed: DataFrame) -> DataFrame:
+        return tree_links(placed.select("doc_id", "component", "block").join(sets, "doc_id"), percent)
 
-def cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """All links that matter inside the clusters of ``cluster, doc_id, n_shingles, tokens``."""
-    counted = members.join(members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+    counted = stored(members.join(members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"), "members")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block))
     first = counted.withColumn("component", F.col("doc_id")).withColumn("block", F.struct("cluster", part.alias("part")))
-    links = stored(tree_links(first, percent), "links")
+    inside = stored(trees(first), "links")
+    links = inside.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     large = counted.where(F.col("n") > block)
     if large.isEmpty():
         return links
 
-    # One set of each component stands for it.
-    large = stored(labelled(large, links), "large")
-    heads = large.where("doc_id = component")
-    heads = heads.drop("n").join(heads.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
-    heads = heads.withColumn("block", F.struct("cluster", part.alias("part")))
-    links = stored(links.union(tree_links(heads, percent)), "links")
-    large = stored(labelled(large, links), "large")
+    # One set of each component so far stands for it.
+    large = stored(large.join(inside, "doc_id"), "large")
+    heads = large.where("doc_id = head").drop("n")
+    heads = heads.join(heads.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+    heads = heads.withColumn("component", F.col("doc_id")).withColumn("block", F.struct("cluster", part.alias("part")))
+    across = stored(trees(heads), "links")
+    links = links.union(across.select("doc_id", "head"))
+    across = across.select(F.col("doc_id").alias("head"), F.col("head").alias("component"))
+    large = large.join(across, "head")
 
     # Components of half a block and more have blocks of their own; small ones share blocks.
     sizes = large.groupBy("cluster", "component").agg(F.count("*").alias("size"))
@@ -226,14 +230,14 @@ def cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
         large.join(sizes, ["cluster", "component"]).withColumn("part", F.struct(own.alias("own"), part.alias("part"))),
         "parts",
     )
-    parts = large.groupBy("cluster", "part").agg(F.first("part.own").alias("own"))
+    parts = large.select("cluster", "part").distinct().withColumn("own", F.col("part.own"))
     other = parts.select("cluster", F.col("part").alias("part_b"), F.col("own").alias("own_b"))
     cells = parts.join(other, "cluster").where(
         "(part < part_b AND NOT coalesce(own = own_b, false)) OR (part = part_b AND own IS NULL)"
     )
     cells = cells.select("cluster", "part", "part_b", F.struct("cluster", "part", "part_b").alias("block"))
     sides = cells.select("cluster", "part", "block").union(cells.select("cluster", "part_b", "block")).distinct()
-    return links.union(stored(tree_links(large.join(sides, ["cluster", "part"]), percent), "links"))
+    return links.union(trees(large.join(sides, ["cluster", "part"])).select("doc_id", "head"))
 
 
 def jaccard_components(
@@ -244,19 +248,18 @@ def jaccard_components(
     linked = sets.where((F.size("prefix") > 0) & F.col("doc_id").isNotNull())
     classes = stored(
         linked.groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("doc_id"),
-            F.any_value("n_shingles").alias("n_shingles"),
-            F.any_value("prefix").alias("prefix"),
-            F.any_value("tokens").alias("tokens"),
-        ),
+            F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("first")
+        ).select("h1", "h2", "first.*"),
         "classes",
     )
     postings = classes.select("doc_id", F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most")
-    edges = postings.join(heads, "token").select("a", F.col("doc_id").alias("b"))
+    edges = postings.join(heads, "token").select("a", F.col("doc_id").alias("b")).distinct()
     clusters = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    members = stored(classes.join(clusters, "doc_id").select("cluster", "doc_id", "n_shingles", "tokens"), "members")
-    found = components(cluster_links(members, percent, block)).withColumnRenamed("node", "rep")
+    # An id with several texts has a set for each of them.
+    own_sets = sets.where(F.size("prefix") > 0).select("doc_id", "n_shingles", "tokens")
+    links = cluster_links(clusters, own_sets, percent, block)
+    found = components(links).withColumnRenamed("node", "rep")
     reps = classes.select("h1", "h2", F.col("doc_id").alias("rep")).join(found, "rep", "left")
     rows = sets.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(None)
