@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.base import rows, rows_sql, sessions_sql, with_sql
 from checks.registry import big, check, hours, r, rate, rounded
 from checks.rollup_checks import (
@@ -27,6 +29,7 @@ from playtrail.plans import platform as L
 from playtrail.plans import rollups as A
 from playtrail.plans import session_behavior as Q
 from playtrail.plans import temporal as P
+from playtrail.session import materialize
 
 ROWS, S = rows_sql("events"), sessions_sql("events")
 EFF = "avg(listening_efficiency) AS listening_efficiency"
@@ -102,22 +105,69 @@ def session_totals(spark, sf):
     return rounded(Q.session_totals(_sessions(spark, sf)), 6, "average_session_duration")
 
 
-# --- clusters: iterative, so no SQL -----------------------------------------------
+# --- clusters: iterative, so SQL states what must hold of any outcome ---------------
+
+def _clustered(spark, sf):
+    """Clusters of the stored session table."""
+    return clustering.cluster_sessions(materialize(_sessions(spark, sf), "sessions"))
 
 
-@check("cluster_sessions")
+@check(
+    "cluster_sessions",
+    with_sql(
+        *ST,
+        select="SELECT content_type, session_id, "
+        + ", ".join(
+            f"round(coalesce({c}, 0)::DOUBLE, 6) AS {c}" for c in clustering.CLUSTER_FEATURES
+        )
+        + ", true AS labelled FROM stats",
+    ),
+)
 def cluster_sessions(spark, sf):
-    return clustering.cluster_sessions(_sessions(spark, sf))
+    """Every session comes back with its features and a label that fits its number."""
+    labels = F.array(*[F.lit(label) for label in clustering.CLUSTER_LABELS])
+    clustered = _clustered(spark, sf).select(
+        "content_type",
+        "session_id",
+        *clustering.CLUSTER_FEATURES,
+        (F.get(labels, F.col("cluster")) == F.col("cluster_type")).alias("labelled"),
+    )
+    return rounded(clustered, 6, *clustering.CLUSTER_FEATURES)
 
 
-@check("cluster_analysis")
+@check(
+    "cluster_analysis",
+    with_sql(
+        *ST,
+        select="SELECT "
+        + ", ".join(
+            f"round(avg(coalesce({c}, 0)), 6) AS {c}" for c in clustering.CLUSTER_FEATURES
+        )
+        + ", true AS longest_is_long FROM stats",
+    ),
+)
 def cluster_analysis(spark, sf):
-    return clustering.cluster_analysis(clustering.cluster_sessions(_sessions(spark, sf)))
+    """Cluster means weighted by size are the means of all sessions; the cluster with the
+    longest sessions is called so."""
+    clustered = materialize(_clustered(spark, sf), "clustered")
+    means = clustering.cluster_analysis(clustered)
+    weighed = means.join(clustering.cluster_distribution(clustered), "cluster")
+    longest = F.max_by("cluster_type", "session_duration_minutes") == clustering.CLUSTER_LABELS[1]
+    out = weighed.agg(
+        *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in clustering.CLUSTER_FEATURES],
+        longest.alias("longest_is_long"),
+    )
+    return rounded(out, 6, *clustering.CLUSTER_FEATURES)
 
 
-@check("cluster_distribution")
+@check(
+    "cluster_distribution",
+    with_sql(*ST, select="SELECT count(*) AS sessions, CAST(4 AS BIGINT) AS clusters FROM stats"),
+)
 def cluster_distribution(spark, sf):
-    return clustering.cluster_distribution(clustering.cluster_sessions(_sessions(spark, sf)))
+    """Cluster sizes add up to the number of sessions."""
+    sizes = clustering.cluster_distribution(_clustered(spark, sf))
+    return sizes.agg(F.sum("n").alias("sessions"), F.count("*").alias("clusters"))
 
 
 # --- platforms --------------------------------------------------------------------

@@ -88,7 +88,7 @@ def export_files(spark, sf) -> DataFrame:
     full = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     body = F.when((n % 19 == 0) & (n % 17 != 0), full).otherwise(lean)
     element = F.when(n % 101 == 0, n.cast("string")).otherwise(
-        F.concat(F.lit("{"), spelling, F.substring(body, 2, 1_000_000))
+        F.concat(F.lit("{"), spelling, F.right(body, F.length(body) - 1))
     )
     prefix = F.create_map(*[F.lit(x) for pair in FILE_NAMES.items() for x in pair])
     chunk = F.floor(n / ELEMENTS_PER_FILE)

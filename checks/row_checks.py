@@ -82,6 +82,18 @@ def feature_coverage(spark, sf):
     )
 
 
+@check(
+    "features_matched",
+    """SELECT count(*) AS features, count(*) AS matched FROM embeddings""",
+)
+def features_matched(spark, sf):
+    """Every row of the feature table meets a play."""
+    features = audio_features(spark, sf)
+    joined = joins.join_audio_features(plays_from_events(spark, sf), features)
+    matched = joined.agg(F.countDistinct("track_id")).scalar()
+    return features.agg(F.count("*").alias("features")).withColumn("matched", matched)
+
+
 @check(
     "default_features",
     with_sql(
@@ -249,6 +261,56 @@ def session_gaps(spark, sf):
     )
 
 
+@check(
+    "session_gaps_fanout",
+    with_sql(
+        EVENTS_SQL,
+        FEATURES_SQL,
+        """doubled AS (SELECT track_id, tempo FROM features
+              UNION ALL SELECT track_id, tempo + 1 FROM features WHERE key % 2 = 0)""",
+        "filled AS (SELECT p.*, f.tempo FROM plays_events p LEFT JOIN doubled f ON p.track_uri = f.track_id)",
+        """gaps AS (SELECT *, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w AS gap_us
+              FROM filled WINDOW w AS (PARTITION BY content_type ORDER BY timestamp, play_id))""",
+        select="""SELECT play_id, gap_us / 1000.0 AS time_since_last,
+  gap_us IS NULL OR gap_us > 1800000000 AS new_session,
+  CAST(sum(CASE WHEN gap_us IS NULL OR gap_us > 1800000000 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY content_type ORDER BY timestamp, play_id) AS BIGINT) AS session_id
+FROM gaps""",
+    ),
+)
+def session_gaps_fanout(spark, sf):
+    """Repeated track ids double plays; of the twins one keeps the gap, the other follows it."""
+    features = audio_features(spark, sf).select("track_id", "tempo", "key")
+    again = features.filter("key % 2 = 0").withColumn("tempo", F.col("tempo") + 1)
+    plays = enrich(plays_from_events(spark, sf), features.union(again).drop("key"))
+    return plays.select("play_id", "time_since_last", "new_session", "session_id")
+
+
+@check(
+    "session_gaps_null_user",
+    with_sql(
+        EVENTS_SQL,
+        """gaps AS (SELECT *, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w AS gap_us
+              FROM (SELECT * REPLACE (CASE WHEN user_id % 7 <> 0 THEN user_id END AS user_id)
+                    FROM plays_events)
+              WINDOW w AS (PARTITION BY user_id, content_type ORDER BY timestamp, play_id))""",
+        select="""SELECT play_id, gap_us / 1000.0 AS time_since_last,
+  gap_us IS NULL OR gap_us > 86400000000 AS new_session,
+  CAST(sum(CASE WHEN gap_us IS NULL OR gap_us > 86400000000 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY user_id, content_type ORDER BY timestamp, play_id) AS BIGINT) AS session_id
+FROM gaps""",
+    ),
+)
+def session_gaps_null_user(spark, sf):
+    """Plays without user form timelines of their own, in gaps and sessions alike."""
+    params = PlayParams(keys=("user_id", "content_type"), session_timeout_ms=86_400_000)
+    plays = plays_from_events(spark, sf).withColumn(
+        "user_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id"))
+    )
+    both = sessions.add_session_features(plays, params)
+    return both.select("play_id", "time_since_last", "new_session", "session_id")
+
+
 SESSION_SELECT = """SELECT play_id, session_id,
   CAST(sum(ms_played) OVER s AS BIGINT) AS session_duration,
   count(track_name) OVER s AS tracks_in_session,

@@ -9,28 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPREAD = "__spread"
-_NULL_KEY_SPREAD = 1024
 
 
 def spread_left_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], row_id: str = "play_id"
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    row_id: str = "play_id",
+    null_safe: Sequence[str] = (),
 ) -> DataFrame:
     """Left equi-join on ``on`` in which unmatched-by-definition rows do not pile up.
 
-    Rows whose key is null cannot match, yet a shuffled left join sends all of them
-    to one task.  A second key, derived from the row id for those rows and constant
-    for all others, spreads them out and leaves every real match as it was.  Hot
-    non-null keys are split by adaptive execution's skew-join handling.  No broadcast
-    hint: Spark broadcasts the right side on its own when its size is known and small.
+    Columns in ``null_safe`` match null with null; of the others a null cannot match, yet
+    a shuffled left join sends all such rows to one task.  A second key, the hash of the
+    row id for those rows and constant for all others, spreads them out and leaves every
+    real match as it was.  Hot non-null keys are split by adaptive execution's skew-join
+    handling, which `prepare` switches on.  No broadcast hint: Spark broadcasts the right
+    side on its own when its size is known and small.
     """
-    keyless = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in on])
-    spread = F.when(keyless, F.pmod(F.xxhash64(row_id), F.lit(_NULL_KEY_SPREAD)) + 1).otherwise(
-        F.lit(0).cast("long")
-    )
+    strict = [name for name in on if name not in null_safe]
+    keyless = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in strict], F.lit(False))
+    spread = F.when(keyless, F.xxhash64(row_id)).otherwise(F.lit(0).cast("long"))
+    other = right.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns])
+    matches = [
+        F.col(c).eqNullSafe(F.col(f"__{c}")) if c in null_safe else F.col(c) == F.col(f"__{c}")
+        for c in on
+    ]
+    condition = reduce(lambda a, b: a & b, matches, F.col(_SPREAD) == F.col("__right_spread"))
     return (
         left.withColumn(_SPREAD, spread)
-        .join(right.withColumn(_SPREAD, F.lit(0).cast("long")), [*on, _SPREAD], "left")
-        .drop(_SPREAD)
+        .join(other.withColumn("__right_spread", F.lit(0).cast("long")), condition, "left")
+        .drop(_SPREAD, "__right_spread", *[f"__{c}" for c in on])
     )
 
 

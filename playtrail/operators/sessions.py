@@ -96,31 +96,24 @@ def attach_sessions(
     if index is None:
         index = session_index(plays, params)
     slotted = plays.withColumn(SLOT, slot_start(F.col("timestamp"), params.session_timeout_us))
-    joined = spread_left_join(slotted, index.drop("previous_us"), [*params.keys, SLOT])
+    found = index.drop("previous_us")
+    joined = spread_left_join(slotted, found, [*params.keys, SLOT], null_safe=params.keys)
     added = [c for c in index.columns if c not in (*params.keys, SLOT, "previous_us")]
     return joined.select(*plays.columns, *added)
 
 
-def attach_gaps(
-    plays: DataFrame, params: PlayParams = DEFAULTS, index: DataFrame | None = None
-) -> DataFrame:
-    """``time_since_last`` (ms) and ``new_session`` on every play.
+def instant_gaps(plays: DataFrame, params: PlayParams, index: DataFrame) -> DataFrame:
+    """``(keys, us, play_id, gap_us)``: one row per instant, for the play that opens it.
 
     Needs the true predecessor of each play, which a window per key would find by
     sorting a whole timeline in one task.  Instead, plays collapse to distinct instants
     (all but one play of an instant have gap 0), instants are ordered inside one-second
-    cells (at most a million instants), cells inside slots, and slots inside keys.  The
-    result joins back on the id of the one play that opens each instant, so even an
-    instant shared by a third of all plays is spread evenly.
+    cells (at most a million instants), cells inside slots, and slots inside keys.
     """
     keys = list(params.keys)
-    if index is None:
-        index = session_index(plays, params)
-    ts = F.col("timestamp")
-    timed = plays.filter(ts.isNotNull()).withColumn("us", F.unix_micros(ts))
-    instants = timed.groupBy(*keys, "us").agg(F.min("play_id").alias("play_id"))
     cell = F.col("us") - F.pmod(F.col("us"), F.lit(_SECOND_US))
     slot = F.col("us") - F.pmod(F.col("us"), F.lit(params.session_timeout_us))
+    instants = plays.groupBy(*keys, "us").agg(F.min("play_id").alias("play_id"))
     instants = instants.withColumns({SLOT: slot, "cell": cell})
 
     in_slot = W.partitionBy(*keys, SLOT).orderBy("cell")
@@ -128,30 +121,74 @@ def attach_gaps(
         instants.groupBy(*keys, SLOT, "cell")
         .agg(F.max("us").alias("last_us"))
         .withColumn("before_us", F.lag("last_us").over(in_slot))
-        .join(index.select(*keys, SLOT, "previous_us"), [*keys, SLOT])
-        .select(*keys, SLOT, "cell", F.coalesce("before_us", "previous_us").alias("before_us"))
+    )
+    slots = index.select(*keys, SLOT, "previous_us")
+    cells = spread_left_join(cells, slots, [*keys, SLOT], "cell", null_safe=keys).select(
+        *keys, SLOT, "cell", F.coalesce("before_us", "previous_us").alias("before_us")
     )
     in_cell = W.partitionBy(*keys, SLOT, "cell").orderBy("us")
-    gaps = instants.join(cells, [*keys, SLOT, "cell"]).select(
-        "play_id",
-        F.lit(True).alias("opens_instant"),
-        (F.col("us") - F.coalesce(F.lag("us").over(in_cell), F.col("before_us"))).alias("gap_us"),
+    ordered = instants.withColumn("last_us", F.lag("us").over(in_cell))
+    placed = spread_left_join(ordered, cells, [*keys, SLOT, "cell"], null_safe=keys)
+    return placed.select(
+        *keys, "us", "play_id", (F.col("us") - F.coalesce("last_us", "before_us")).alias("gap_us")
     )
-    gap_us = F.when(truthy(F.col("opens_instant")), F.col("gap_us")).when(ts.isNotNull(), F.lit(0))
-    out = plays.join(gaps, "play_id", "left").withColumn("gap_us", gap_us)
+
+
+def add_session_features(
+    plays: DataFrame, params: PlayParams = DEFAULTS, index: DataFrame | None = None
+) -> DataFrame:
+    """Gaps, session ids and session statistics on every play.
+
+    Everything is worked out on the distinct (keys, instant, play_id) and reaches the
+    wide rows by one join on these.  Rows that agree in all three (fan-out of the feature
+    join, repeated ids) are numbered where the join has put them: the first one opens
+    the instant, the others follow it without a gap.  A null key is a key of its own.
+    """
+    keys = list(params.keys)
+    if index is None:
+        index = session_index(plays, params)
+    ts = F.col("timestamp")
+    narrow = plays.filter(ts.isNotNull()).select(*keys, F.unix_micros(ts).alias("us"), "play_id")
+    gaps = instant_gaps(narrow, params, index).withColumn("opens_instant", F.lit(True))
+    slot = F.col("us") - F.pmod(F.col("us"), F.lit(params.session_timeout_us))
+    placed = narrow.distinct().withColumn(SLOT, slot)
+    found = index.drop("previous_us")
+    placed = spread_left_join(placed, found, [*keys, SLOT], null_safe=keys).drop(SLOT)
+    placed = spread_left_join(
+        placed, gaps, [*keys, "us", "play_id"], null_safe=[*keys, "play_id"]
+    )
+    # One text for all that may be null: equal rows meet, and stay together for numbering.
+    identity = F.to_json(F.struct(*keys, "play_id")).alias("__identity")
+    us = F.coalesce(F.unix_micros(ts), F.xxhash64("play_id")).alias("__us")
+    wide = plays.select("*", identity, us, ts.isNull().alias("__untimed"))
+    added = [c for c in found.columns if c not in (*keys, SLOT)]
+    narrow_side = placed.select(
+        identity,
+        F.col("us").alias("__us"),
+        F.lit(False).alias("__untimed"),
+        "opens_instant",
+        "gap_us",
+        *added,
+    )
+    on = ["__identity", "__us", "__untimed"]
+    joined = wide.join(narrow_side, on, "left")
+    twin = F.row_number().over(W.partitionBy(*on).orderBy(F.lit(0)))
+    opens = truthy(F.col("opens_instant")) & (F.col("__twin") == 1)
+    gap_us = F.when(opens, F.col("gap_us")).when(ts.isNotNull(), F.lit(0))
+    out = joined.withColumn("__twin", twin).withColumn("gap_us", gap_us)
     return out.select(
         *plays.columns,
         (F.col("gap_us") / F.lit(1000.0)).alias("time_since_last"),
         (F.col("gap_us").isNull() | (F.col("gap_us") > params.session_timeout_us)).alias(
             "new_session"
         ),
+        *added,
     )
 
 
-def add_session_features(
+def attach_gaps(
     plays: DataFrame, params: PlayParams = DEFAULTS, index: DataFrame | None = None
 ) -> DataFrame:
-    """Gaps, session ids and session statistics on every play."""
-    if index is None:
-        index = session_index(plays, params)
-    return attach_sessions(attach_gaps(plays, params, index), params, index)
+    """``time_since_last`` (ms) and ``new_session`` on every play."""
+    both = add_session_features(plays, params, index)
+    return both.select(*plays.columns, "time_since_last", "new_session")

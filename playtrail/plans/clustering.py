@@ -21,22 +21,24 @@ CLUSTER_LABELS = ("Short Sessions", "Long Sessions", "High Skip Rate", "Engaged
 
 
 def _feature_rows(sessions: DataFrame, params: PlayParams) -> DataFrame:
-    """Features with nulls as 0, in a layout that does not depend on the input's.
-
-    k-means seeds its centres per partition, so both the partition of a session and its
-    place in it are pinned down.
-    """
+    """Features with nulls as 0."""
     keys = [*params.keys, "session_id"]
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in CLUSTER_FEATURES}
-    return (
-        sessions.select(
-            *{*keys, "content_type"}, *[column.alias(name) for name, column in filled.items()]
-        )
-        .repartition(params.cluster_partitions, *keys)
-        .sortWithinPartitions(*keys)
+    return sessions.select(
+        *{*keys, "content_type"}, *[column.alias(name) for name, column in filled.items()]
     )
 
 
+def _pinned(rows: DataFrame, params: PlayParams) -> DataFrame:
+    """Training rows in a layout that depends on nothing but the rows and their number.
+
+    k-means seeds its centres per partition, so both the partition of a session and its
+    place in it are pinned down."""
+    keys = [*params.keys, "session_id"]
+    partitions = max(1, -(-rows.count() // params.cluster_partition_rows))
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+
 def _numbers_by_meaning(model: PipelineModel) -> list[int]:
     """Cluster number for every k-means centre.
 
@@ -56,26 +58,24 @@ def _numbers_by_meaning(model: PipelineModel) -> list[int]:
 
 
 def cluster_sessions(sessions: DataFrame, params: PlayParams = DEFAULTS) -> DataFrame:
-    """Sessions with ``cluster`` and ``cluster_type``; empty below ``clusters`` sessions.
+    """All sessions with ``cluster`` and ``cluster_type``.
 
-    Training reads the features once per iteration, so hand in a written session table
-    when sessions are expensive to recompute.
+    There are as many centres as ``clusters``, or as there are different sessions if these
+    are fewer.  Training reads the features once per iteration, so hand in a written
+    session table when sessions are expensive to recompute.
     """
     rows = _feature_rows(sessions, params)
-    enough = rows.limit(params.clusters).count() >= params.clusters
-    if not enough:
-        return rows.limit(0).withColumns(
-            {"cluster": F.lit(0), "cluster_type": F.lit(CLUSTER_LABELS[0])}
-        )
+    centres = rows.select(*CLUSTER_FEATURES).distinct().limit(params.clusters).count()
+    if centres < 2:  # k-means wants two
+        only = {"cluster": F.lit(0), "cluster_type": F.lit(CLUSTER_LABELS[0])}
+        return rows.withColumns(only)
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(CLUSTER_FEATURES), outputCol="raw"),
             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-            KMeans(
-                featuresCol="scaled", predictionCol="centre", k=params.clusters, seed=params.seed
-            ),
+            KMeans(featuresCol="scaled", predictionCol="centre", k=centres, seed=params.seed),
         ]
-    ).fit(rows)
+    ).fit(_pinned(rows, params))
     numbers = F.array(*[F.lit(n) for n in _numbers_by_meaning(model)])
     labels = F.array(*[F.lit(label) for label in CLUSTER_LABELS])
     return (

@@ -48,8 +48,12 @@ def enrich(
 
     Promise ``unique_features`` when no track id repeats: the join then keeps the number
     of plays, so sessions are found on the narrow plays before it, and what concerns the
-    features only is asked of a join of two columns.
+    features only is asked of a join of two columns.  A broken promise raises an error.
     """
+    if features is not None and unique_features and "track_id" in features.columns:
+        ids = features.filter("track_id IS NOT NULL").groupBy("track_id").count()
+        if not ids.filter("count > 1").isEmpty():
+            raise ValueError("unique_features was promised, but track ids repeat")
     if features is None or not unique_features:
         if features is not None:
             plays = join_audio_features(plays, features)

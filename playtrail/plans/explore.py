@@ -238,12 +238,13 @@ def summary_report(plays: DataFrame, top: int = 5) -> DataFrame:
 
     def shares(column: str, section: int, title: str) -> DataFrame:
         # One entry per value of a closed domain; negative counts sort descending.
-        counts = rollup(plays, [column], ["n_rows"])
-        ordered = F.sort_array(
-            F.collect_list(
-                F.struct((-F.col("n_rows")).alias("neg"), F.col(column).alias("name"))
-            )
+        # Rows without a value have no line, but shares are of all rows.
+        counts = plays.groupBy(column).agg(measure(plays, "n_rows"))
+        named = F.when(
+            F.col(column).isNotNull(),
+            F.struct((-F.col("n_rows")).alias("neg"), F.col(column).alias("name")),
         )
+        ordered = F.sort_array(F.collect_list(named))
         packed = counts.agg(ordered.alias("entries"), F.sum("n_rows").alias("total"))
 
         def line(entry):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INSIGHTS_SCHEMA = "category string, ord int, insight string"
@@ -64,11 +64,15 @@ BUILDERS = {
 }
 
 
-def generate_insights(results: dict[str, dict[str, DataFrame]], spark=None) -> DataFrame:
-    """Rows ``(category, ord, insight)`` for the analyses present in ``results``."""
+def generate_insights(
+    results: dict[str, dict[str, DataFrame]], spark: SparkSession | None = None
+) -> DataFrame:
+    """Rows ``(category, ord, insight)`` for the analyses present in ``results``; none of
+    them gives no rows."""
     lines = [
         line for name, build in BUILDERS.items() if name in results for line in build(results[name])
     ]
     if not lines:
+        spark = spark or SparkSession.getActiveSession()
         return spark.createDataFrame([], INSIGHTS_SCHEMA)
     return reduce(DataFrame.union, lines)

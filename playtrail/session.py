@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,20 +22,41 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", _JIT_METHOD_BYTES)
+    # Joins on hot keys rely on adaptive execution splitting them.
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, from ``spark.checkpoint.dir``.
+    """This application's folder for intermediate tables, below ``spark.checkpoint.dir``;
+    removed when Python ends.
 
-    A machine-local folder is only made up where there is one machine.
+    Where the setting is absent, as in tests on one machine, the warehouse folder serves.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="playtrail-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
+    folder = f"{root}/playtrail-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(remove_folder, spark, folder)
+    return folder
+
+
+_FOLDERS: set[str] = set()
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate folder, wherever it is stored."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _FOLDERS.discard(folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from playtrail.schema import PARSED_SCHEMA
 from playtrail.sinks.layout import ENRICHED, SUMMARY
@@ -38,11 +37,12 @@ def _if_there(read, path: str) -> DataFrame | None:
 
 
 def table_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of the ``*.parquet`` tables directly under a directory, from its listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.regexp_extract("path", rf"/{path.rstrip('/').split('/')[-1]}/([^/]+)\.parquet/", 1)
-    found = files.select(name.alias("name")).filter("name != ''").distinct()
-    return sorted(row.name for row in found.collect())
+    """Names of the ``*.parquet`` tables directly under a directory, from its own listing:
+    what lies deeper, such as the files of the plays, is not visited."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in files.listStatus(folder)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame | None:

@@ -11,7 +11,7 @@ from playtrail.plans import clustering, explore, pipeline, rollups
 from playtrail.plans import session_behavior as behavior
 from playtrail.plans.enrich import enrich
 from playtrail.plans.insights import generate_insights
-from playtrail.session import materialize, work_folder
+from playtrail.session import materialize, remove_folder, work_folder
 from playtrail.sinks import writers
 from playtrail.sources.history import discover_files
 from playtrail.sources.tables import load_enriched
@@ -139,14 +139,40 @@ def test_filters(spark, sf):
 
 
 def test_work_folder_comes_from_the_session(spark):
-    assert work_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert work_folder(spark) == work_folder(spark)
     kept = materialize(spark.range(3), "three")
     assert kept.count() == 3
 
 
+def test_intermediate_folder_is_removed(spark, tmp_path):
+    (tmp_path / "x" / "part").mkdir(parents=True)
+    remove_folder(spark, str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
+    remove_folder(spark, str(tmp_path / "never-there"))
+
+
 # --- clusters ---------------------------------------------------------------------
 
 
+def test_tables_next_to_the_plays_in_an_odd_folder(spark, sf, tmp_path):
+    folder = str(tmp_path / "out+v1 (a)")
+    plays = base_rows(spark, sf, "events")
+    writers.write_enriched(plays, folder)
+    writers.write_tables({"daily_stats": rollups.daily_stats(plays)}, folder)
+    assert list(load_enriched(spark, folder).rollups) == ["daily_stats"]
+
+
+def test_no_analyses_give_no_insights(spark):
+    assert generate_insights({}).count() == 0
+
+
+def test_broken_promise_of_unique_features(spark, sf):
+    features = audio_features(spark, sf)
+    with pytest.raises(ValueError):
+        enrich(plays_from_events(spark, sf), features.union(features), unique_features=True)
+
+
 def test_clusters(spark, sf):
     sessions = materialize(behavior.session_stats(base_rows(spark, sf, "events")), "s")
     clustered = clustering.cluster_sessions(sessions).cache()
@@ -170,9 +196,12 @@ def test_clusters_do_not_depend_on_input_partitions(spark, sf):
     assert sizes[0] == sizes[1]
 
 
-def test_too_few_sessions_give_no_clusters(spark, sf):
-    sessions = behavior.session_stats(base_rows(spark, sf, "events")).limit(3)
-    assert clustering.cluster_sessions(sessions).count() == 0
+@pytest.mark.parametrize("count", [0, 1, 3, 4])
+def test_few_sessions_all_get_a_cluster(spark, sf, count):
+    sessions = behavior.session_stats(base_rows(spark, sf, "events")).limit(count).cache()
+    clustered = clustering.cluster_sessions(sessions)
+    assert clustered.count() == count
+    assert clustered.filter("cluster IS NULL OR cluster_type IS NULL").count() == 0
 
 
 def test_multi_user_sessions_are_counted_per_user(spark, sf):

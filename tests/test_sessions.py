@@ -109,6 +109,18 @@ def test_plays_without_time_have_no_session_and_are_kept(spark):
     assert len(placed) == 2
 
 
+def test_repeated_ids_and_null_keys_keep_every_play(spark):
+    rows = [(7, 10, "music", 1, "a"), (7, 10, "music", 1, "a"), (7, 20, "music", 1, "a")]
+    rows += [(8, 10, None, 1, "a"), (None, 5, None, 1, "a"), (None, 5, None, 1, "a")]
+    rows += [(9, None, None, 1, "a")]
+    placed = sessions.add_session_features(frame(spark, rows)).collect()
+    assert len(placed) == len(rows)
+    assert sum(r.new_session for r in placed if r.session_id is not None) == 2
+    music = sorted(r.time_since_last for r in placed if r.content_type and not r.new_session)
+    assert music == [0.0, 0.01]
+    assert sorted(r.session_id or 0 for r in placed) == [0, 1, 1, 1, 1, 1, 1]
+
+
 def test_session_table_partitions_the_plays(spark, sf):
     from checks.base import rows as base_rows
 
