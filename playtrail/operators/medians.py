@@ -32,41 +32,13 @@ def exact_median(
 ) -> DataFrame:
     """One row per key with the exact median (mean of the two middle values).
 
-    The brackets, one row per key, are broadcast to the rows, so the keys must come from
-    closed domains, whose number of values does not grow with the data.
+    The keys must come from closed domains, whose number of values does not grow with the
+    data: the values inside a group's bracket are ranked by one task.
     """
     if not set(keys) <= CLOSED_DOMAINS:
         raise ValueError(f"median keys must be among {sorted(CLOSED_DOMAINS)}")
-    rows = df.select(*keys, _clean(F.col(value)).alias("v")).filter(F.col("v").isNotNull())
-    margin = 2.0 / accuracy
-    bracket = F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy)
-    if keys:
-        bounds = rows.groupBy(*keys).agg(bracket.alias("b"))
-        bounded = rows.join(F.broadcast(bounds), list(keys))
-    else:
-        bounded = rows.withColumn("b", rows.agg(bracket).scalar())
-
-    side = F.expr("CASE WHEN v < b[0] THEN -1 WHEN v > b[1] THEN 1 ELSE 0 END")
-    counted = (
-        bounded.select(*keys, "v", side.alias("side"))
-        .groupBy(*keys, "side", F.when(F.col("side") == 0, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    group = W.partitionBy(*keys)
-    upto = F.sum("n").over(
-        group.orderBy("side", "v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    ranked = counted.select(
-        *keys, "side", "v", "n", upto.alias("upto"), F.sum("n").over(group).alias("total")
-    )
-
-    def at_rank(rank: Column) -> Column:
-        hit = (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
-        miss = F.raise_error(F.lit("median fell outside its bracket; lower the accuracy"))
-        return F.max(F.when(hit & (F.col("side") != 0), miss.cast("double")).when(hit, F.col("v")))
-
-    lower, upper = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
-    return ranked.groupBy(*keys).agg(((at_rank(lower) + at_rank(upper)) / 2).alias(name))
+    found = column_medians(df, [value], accuracy, keys)
+    return found.select(*keys, F.col("median").alias(name))
 
 
 def column_medians(
@@ -75,9 +47,44 @@ def column_medians(
     accuracy: int = DEFAULTS.median_accuracy,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact median of several columns at once: rows ``(*keys, feature, median)``."""
+    """Exact median of several columns at once: rows ``(*keys, feature, median)``.
+
+    One aggregate has the sketches of all columns, a second one their counts below the
+    bracket; of the rows only values inside a bracket are taken apart and counted.
+    """
+    keys = list(keys)
+    values = [f"__v{i}" for i in range(len(columns))]
+    rows = df.select(*keys, *[_clean(F.col(c)).alias(v) for c, v in zip(columns, values)])
+    margin = 2.0 / accuracy
+    sketches = F.struct(
+        *[F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy).alias(v) for v in values]
+    )
+    if keys:
+        bounded = rows.join(rows.groupBy(*keys).agg(sketches.alias("__b")), keys)
+    else:
+        bounded = rows.withColumn("__b", rows.agg(sketches).scalar())
+
+    counts = [f"count({v}) AS n{v}, count_if({v} < __b.{v}[0]) AS below{v}" for v in values]
+    counted = bounded.groupBy(*keys).agg(*[F.expr(e) for text in counts for e in text.split(", ")])
+    names = [f"'{c}', n{v}, below{v}" for c, v in zip(columns, values)]
+    counted = counted.selectExpr(
+        *keys, f"stack({len(columns)}, {', '.join(names)}) AS (feature, total, below)"
+    )
+
     cells = ", ".join(
-        f"struct('{c}' AS feature, CAST(`{c}` AS DOUBLE) AS v)" for c in columns
+        f"IF({v} BETWEEN __b.{v}[0] AND __b.{v}[1], struct('{c}' AS feature, {v} AS v), NULL)"
+        for c, v in zip(columns, values)
     )
-    long = df.selectExpr(*keys, f"inline(array({cells}))")
-    return exact_median(long, [*keys, "feature"], "v", accuracy=accuracy)
+    inside = bounded.selectExpr(*keys, f"inline(array_compact(array({cells})))")
+    inside = inside.groupBy(*keys, "feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    group = W.partitionBy(*keys, "feature").orderBy("v")
+    upto = F.sum("n").over(group.rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = inside.withColumn("inside", upto).join(counted, [*keys, "feature"])
+
+    def at_rank(rank: str) -> Column:
+        hit = F.expr(f"below + inside - n < {rank} AND below + inside >= {rank}")
+        miss = F.raise_error(F.lit("median fell outside its bracket; lower the accuracy"))
+        return F.coalesce(F.max(F.when(hit, F.col("v"))), miss.cast("double"))
+
+    median = (at_rank("(total + 1) div 2") + at_rank("total div 2 + 1")) / 2
+    return ranked.groupBy(*keys, "feature").agg(median.alias("median"))
