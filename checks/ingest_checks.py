@@ -3,13 +3,18 @@ included, and the parser reads those; the SQL states the expected plays."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.adapters import read
 from checks.registry import check
 from playtrail.plans.rollups import parse_statistics, top_artists_by_plays, value_counts
+from playtrail.session import work_folder
+from playtrail.sinks.writers import write_plays
 from playtrail.sources import history
+from playtrail.sources.tables import read_plays
 
 ELEMENTS_PER_FILE = 500
 FILE_NAMES = {
@@ -187,6 +192,13 @@ def parse_all(spark, sf):
     return _plays(spark, sf).drop("play_id")
 
 
+@check("parsed_round_trip", _parsed_sql("SELECT * EXCLUDE (event_id) FROM parsed"))
+def parsed_round_trip(spark, sf):
+    """Parsed plays written and read back."""
+    out = f"{work_folder(spark)}/parsed-{uuid.uuid4().hex}"
+    return read_plays(spark, write_plays(_plays(spark, sf), out)).drop("play_id")
+
+
 def _of_class(kind: str) -> str:
     return _parsed_sql(f"SELECT * EXCLUDE (event_id) FROM parsed WHERE content_type = '{kind}'")
 

@@ -27,7 +27,6 @@ DATED = {
     "filter_plays": ("date",),
     "filter_options": ("min_date", "max_date"),
     "sink_enriched_plays": ("date",),
-    "sink_rollups": ("date",),
     "sink_results": ("date",),
 }
 

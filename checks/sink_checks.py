@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 
 from checks.adapters import audio_features, plays_from_orders
 from checks.base import rows, rows_sql, with_sql
-from checks.registry import ORACLES, check, r, rounded
-from checks.rollup_checks import DAILY6, means6
-from playtrail.operators.rollup import name_cube, play_cube
+from checks.registry import ORACLES, QUERIES, check, r, rounded
+from checks.rollup_checks import DAILY6
+from playtrail.operators.rollup import play_cube
 from playtrail.plans import explore, pipeline, rollups
 from playtrail.plans import session_behavior as behavior
-from playtrail.plans.insights import efficiency_insights
-from playtrail.plans.efficiency import overall_efficiency
 from playtrail.session import work_folder
 from playtrail.sinks import writers
 from playtrail.sources.tables import load_enriched, read_summary
@@ -43,16 +41,20 @@ def sink_enriched_plays(spark, sf):
     return kept.select("play_id", "date", "year", "season", "mood", "listening_efficiency")
 
 
-@check("sink_rollups", with_sql(*E, select=DAILY6))
-def sink_rollups(spark, sf):
-    out = _folder(spark)
-    plays = rows(spark, sf, "events")
-    writers.write_enriched(plays, out)
-    cube, names = play_cube(plays), name_cube(plays)
-    writers.write_tables(
-        {"daily_stats": rollups.daily_stats(cube), "artist_stats": rollups.artist_stats(names)}, out
-    )
-    return means6(load_enriched(spark, out).rollups["daily_stats"])
+def _stored_rollup(name: str):
+    """The rollup's checked rows, written next to the plays and found again by name."""
+
+    def query(spark, sf):
+        out = _folder(spark)
+        writers.write_enriched(rows(spark, sf, "events"), out)
+        writers.write_tables({name: QUERIES[name](spark, sf)}, out)
+        return load_enriched(spark, out).rollups[name]
+
+    return query
+
+
+for _name in ("daily_stats", "weekly_stats", "monthly_stats", "artist_stats", "time_stats"):
+    check(f"sink_{_name}", ORACLES[_name])(_stored_rollup(_name))
 
 
 @check(
@@ -88,22 +90,11 @@ def sink_results(spark, sf):
     return stored.select(F.col("date").cast("date").alias("date"), "plays", "skips")
 
 
-@check(
-    "sink_insights",
-    with_sql(
-        *E,
-        select="""SELECT 'efficiency_insights' AS category, CAST(1 AS BIGINT) AS ord,
-  format('Overall listening efficiency: {:.1f}%', avg(listening_efficiency) * 100) AS insight
-FROM events_rows
-UNION ALL SELECT 'efficiency_insights', 2, format('Overall skip rate: {:.1f}%',
-  100.0::DOUBLE * count(*) FILTER (is_skip) / count(*)) FROM events_rows""",
-    ),
-)
+@check("sink_insights", ORACLES["insights"])
 def sink_insights(spark, sf):
+    """All four categories."""
     out = _folder(spark)
-    overall = overall_efficiency(play_cube(rows(spark, sf, "events")))
-    [sentences] = efficiency_insights({"overall": overall})
-    return spark.read.json(writers.write_insights(sentences, out))
+    return spark.read.json(writers.write_insights(QUERIES["insights"](spark, sf), out))
 
 
 @check(

@@ -25,8 +25,10 @@ from playtrail.sinks.layout import REJECTS
 from playtrail.sources.history import (
     discover_files,
     read_history,
+    read_history_lines,
     read_history_texts,
     rejected,
+    rejected_lines,
 )
 from playtrail.sources.tables import read_plays
 
@@ -39,16 +41,18 @@ def parse(
     out: str,
     bad_ts_value: Column | None = None,
     report: bool = True,
+    lines: bool = False,
 ) -> DataFrame:
     """Exports -> parsed plays table, rejects and parse statistics.
 
-    ``report=False`` leaves out rejects and statistics, which take a second pass over
-    the exports.
+    ``lines``: files hold one object per line and are split over tasks.  ``report=False``
+    leaves out rejects and statistics, which take a second pass over the exports.
     """
     prepare(spark)
-    plays = read_plays(spark, writers.write_plays(read_history(spark, raw, bad_ts_value), out))
+    read = read_history_lines if lines else read_history
+    plays = read_plays(spark, writers.write_plays(read(spark, raw, bad_ts_value), out))
     if report:
-        rejects = rejected(read_history_texts(spark, raw))
+        rejects = rejected_lines(spark, raw) if lines else rejected(read_history_texts(spark, raw))
         path = writers.write_table(rejects, out, REJECTS)
         stored = spark.read.schema(rejects.schema).parquet(path)
         statistics = rollups.parse_statistics(plays, discover_files(spark, raw), stored)

@@ -266,17 +266,38 @@ def read_history(spark: SparkSession, path: str, bad_ts_value: Column | None = N
     return parse_history(read_history_texts(spark, path), bad_ts_value)
 
 
+def line_elements(spark: SparkSession, path: str) -> DataFrame:
+    """One row per non-empty line of files with one JSON object per line; large files split
+    over tasks.  An id is the hash of file and line, so it is the same on every reading;
+    equal lines of a file share it, which sessions and joins bear."""
+    lines = spark.read.text(path, pathGlobFilter="*.json*").filter("trim(value) != ''")
+    return _classified(
+        lines.select(
+            F.col("_metadata.file_name").alias("file_source"),
+            F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("play_id"),
+            F.col("value").alias("line"),
+            F.try_parse_json("value").alias("item"),
+        )
+    )
+
+
 def read_history_lines(
     spark: SparkSession, path: str, bad_ts_value: Column | None = None
 ) -> DataFrame:
-    """Plays from files with one JSON object per line; large files split over tasks.
+    """Plays from files with one JSON object per line; `rejected_lines` has the rest."""
+    return plays_from_elements(line_elements(spark, path), bad_ts_value)
 
-    Lines have no stable number in a split file, so ids come from the scan layout: write
-    the plays before deriving several results from them.
-    """
-    lines = spark.read.text(path, pathGlobFilter="*.json*").select(
-        F.col("_metadata.file_name").alias("file_source"),
-        F.try_parse_json("value").alias("item"),
-        F.monotonically_increasing_id().alias("play_id"),
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are no play, in the form of `rejected`."""
+    reason = F.when(F.col("item").isNull(), "unreadable line").otherwise("element is not an object")
+    return (
+        line_elements(spark, path)
+        .filter(_record().isNull())
+        .select(
+            "file_source",
+            F.lit(None).cast("int").alias("pos"),
+            reason.alias("reason"),
+            F.col("line").alias("content"),
+        )
     )
-    return plays_from_elements(_classified(lines), bad_ts_value)

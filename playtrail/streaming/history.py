@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from playtrail.sources.history import parse_history
+from playtrail.sources.history import parse_history, rejected
 
 
-def stream_history(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Plays of export files as they arrive; same columns as the batch reader."""
-    files = (
+def stream_files(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Export files as they arrive, each with its whole text."""
+    return (
         spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
         .option("pathGlobFilter", "*.json")
         .text(path, wholetext=True)
@@ -21,7 +21,16 @@ def stream_history(spark: SparkSession, path: str, files_per_trigger: int = 1000
             F.col("value").alias("text"),
         )
     )
-    return parse_history(files)
+
+
+def stream_history(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Plays of export files as they arrive; same columns as the batch reader."""
+    return parse_history(stream_files(spark, path, files_per_trigger))
+
+
+def stream_rejected(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """What of the arriving files could not be parsed; same columns as the batch rejects."""
+    return rejected(stream_files(spark, path, files_per_trigger))
 
 
 def append_new_plays(plays: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

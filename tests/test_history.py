@@ -19,10 +19,10 @@ def exports(tmp_path):
     put(
         "Streaming_History_Audio_2023.json",
         [
-            {"ts": "2024-01-01T12:00:00Z", "ms_played": 180000, "master_metadata_track_name": "S",
+            {"ts": "2019-07-23T04:56:07Z", "ms_played": 98765, "master_metadata_track_name": "S",
              "master_metadata_album_artist_name": "A", "master_metadata_album_album_name": "B",
-             "spotify_track_uri": "u", "shuffle": True, "skipped": False, "platform": "web_player",
-             "conn_country": "US"},
+             "spotify_track_uri": "u", "shuffle": False, "skipped": True, "platform": "ios",
+             "conn_country": "NZ"},
             {"ts": 1704067200, "ms_played": None, "master_metadata_track_name": None},
             7,
             None,
@@ -65,9 +65,9 @@ def test_records_and_defaults(spark, exports):
     rows = history.read_history(spark, exports).collect()
     music = [r for r in rows if r.content_type == "music"]
     full = next(r for r in music if r.track_name == "S")
-    assert full.timestamp == datetime(2024, 1, 1, 12)
+    assert full.timestamp == datetime(2019, 7, 23, 4, 56, 7)
     assert (full.artist_name, full.album_name, full.track_uri) == ("A", "B", "u")
-    assert (full.ms_played, full.shuffle, full.skipped, full.country) == (180000, True, False, "US")
+    assert (full.ms_played, full.shuffle, full.skipped, full.country) == (98765, False, True, "NZ")
     null = next(r for r in music if r.track_name is None)
     assert (null.ms_played, null.artist_name) == (None, "Unknown Artist")
     empty = next(r for r in music if r.track_name == "Unknown Track")
@@ -145,6 +145,13 @@ def test_json_lines(spark, tmp_path):
     lines = [json.dumps({"ts": 1704067200 + i, "ms_played": i}) for i in range(50)] + ["oops", "3"]
     (tmp_path / "Streaming_History_Audio.jsonl").write_text("\n".join(lines))
     plays = history.read_history_lines(spark, str(tmp_path))
+    rejects = history.rejected_lines(spark, str(tmp_path)).collect()
+    assert {(r.reason, r.content) for r in rejects} == {
+        ("unreadable line", "oops"),
+        ("element is not an object", "3"),
+    }
+    again = history.read_history_lines(spark, str(tmp_path))
+    assert sorted(r.play_id for r in again.collect()) == sorted(r.play_id for r in plays.collect())
     assert plays.count() == 50
     assert plays.agg(F.sum("ms_played")).first()[0] == sum(range(50))
 

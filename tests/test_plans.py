@@ -17,7 +17,7 @@ def plan(df) -> str:
 
 
 # Queries that run jobs while being built.
-EAGER = {n for n in QUERIES if n.startswith(("sink_", "cluster_", "pipeline_"))}
+EAGER = {n for n in QUERIES if n.startswith(("sink_", "cluster_", "pipeline_", "parsed_"))}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
