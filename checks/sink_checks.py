@@ -90,7 +90,10 @@ def sink_results(spark, sf):
     return stored.select(F.col("date").cast("date").alias("date"), "plays", "skips")
 
 
-@check("sink_insights", ORACLES["insights"])
+@check(
+    "sink_insights",
+    f"SELECT * REPLACE (CAST(ord AS BIGINT) AS ord) FROM ({ORACLES['insights']})",
+)
 def sink_insights(spark, sf):
     """All four categories."""
     out = _folder(spark)
