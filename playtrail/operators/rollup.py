@@ -1,9 +1,9 @@
 """The one group-by every rollup is built from, over plays or over a play cube.
 
 A *cube* is an intermediate rollup holding additive parts (sums and counts) at a grain
-fine enough for many results.  Its size depends on the calendar and the category
-domains, not on the number of plays, so a pipeline reads the plays once, writes the
-cube, and computes all additive results from it.
+fine enough for many results, so a pipeline reads the plays once, writes the cube, and
+computes all additive results from it.  The play cube's size depends on the calendar and
+the category domains only; the name cube grows with the albums heard per day.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from playtrail.operators.grid import densify
 from playtrail.schema import AUDIO_MEANS
 
 EFFICIENCY = "listening_efficiency"
-_CUBE_MARK = "n_rows"
+# A part that only cubes have; plays may well carry a column of counts.
+_CUBE_MARK = f"{EFFICIENCY}__n"
 
 PLAY_CUBE_KEYS = ("date", "hour", "content_type", "platform_category", "mood")
 NAME_CUBE_KEYS = ("date", "content_type", "artist_name", "album_name")

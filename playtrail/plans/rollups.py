@@ -9,7 +9,16 @@ from playtrail.functions.binning import derive
 from playtrail.functions.nulls import hours, ratio
 from playtrail.functions.temporal import calendar_columns
 from playtrail.operators.ranking import top_rows
-from playtrail.operators.rollup import EFFICIENCY, count_distinct, mean, measure, rollup
+from playtrail.operators.rollup import (
+    EFFICIENCY,
+    count_distinct,
+    is_cube,
+    mean,
+    measure,
+    name_cube,
+    play_cube,
+    rollup,
+)
 from playtrail.params import DEFAULTS
 from playtrail.schema import AUDIO_MEANS
 
@@ -47,12 +56,14 @@ def _counting_sessions(
 ) -> DataFrame:
     """A rollup plus distinct sessions per group.
 
-    Given a session cube, two aggregates of small tables are joined on the group keys;
-    else everything is counted from the plays in one aggregate.
+    Two aggregates of small tables, a cube of the plays and a session cube, are joined on
+    the group keys: no play is multiplied for the sake of a distinct count.  Given plays
+    alone, both cubes are made first.
     """
     if sessions is None:
-        distinct = {**spec.pop("distinct", {}), "total_sessions": session_key}
-        return rollup(plays, keys, distinct=distinct, **spec)
+        sessions = session_cube(plays, session_key)
+        if not is_cube(plays):
+            plays = name_cube(plays) if "distinct" in spec else play_cube(plays)
     counted = (
         sessions.dropna(subset=keys)
         .groupBy(*keys)
