@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -54,6 +56,11 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
+def row_and(rows: DataFrame, results: str) -> T.StructType:
+    """The schema of ``row`` as it is, and of results given as SQL."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(results)])
+
+
 def with_columns(batch: pa.RecordBatch, drop: str, **columns: pa.Array) -> pa.RecordBatch:
     """The batch without one column and with others at the end."""
     kept = [i for i, name in enumerate(batch.schema.names) if name != drop]
@@ -131,8 +138,17 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Written to the shared folder and read back: results survive lost executors."""
     path = f"{share_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which a driver with little to do puts
+    off for half an hour; after a table as large as the corpus was written, that is late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

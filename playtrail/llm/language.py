@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import SLICE_BYTES, U, ends_of, mixed, over, slices, whole_rows, window_hashes, with_columns
+from playtrail.llm.common import SLICE_BYTES, U, ends_of, mixed, over, row_and, slices, whole_rows, window_hashes, with_columns
 
 #: Hashed features, lengths of n-grams, and most languages learned.
 HASHES, GRAMS, LANGUAGES = 1 << 18, (2, 3, 4), 500
@@ -255,5 +255,4 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                 best[has], score[has] = mean.argmax(axis=1), np.minimum(mean.max(axis=1), 1.0)
             yield with_columns(batch, "", lang_pred=pa.array(names[best], pa.string()), score=pa.array(score))
 
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return over(rows.mapInArrow(label, schema), RESULTS)
+    return over(rows.mapInArrow(label, row_and(rows, "lang_pred string, score double")), RESULTS)

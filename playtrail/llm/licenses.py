@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from playtrail.llm.common import WORDS, over, slices, whole_rows, with_columns
+from playtrail.llm.common import WORDS, over, row_and, slices, whole_rows, with_columns
 
 #: Exact phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -131,4 +131,4 @@ def scan_licenses(
             )
 
     rows = whole_rows(docs)
-    return over(rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, {_DDL}"), RESULTS)
+    return over(rows.mapInArrow(scan, row_and(rows, _DDL)), RESULTS)

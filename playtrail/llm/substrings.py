@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import U, ends_of, mixed, over, sums_by_run, text_bytes, whole_rows, window_hashes
-from playtrail.llm.packed import answered, chunks_for, corpus_counts, counts_for, distinct, in_chunks, sent
+from playtrail.llm.common import U, ends_of, mixed, over, row_and, sums_by_run, text_bytes, whole_rows, window_hashes
+from playtrail.llm.packed import SENT, chunks_for, corpus_counts, counts_for, distinct, in_chunks, sent
 
 GRAM = 8
 #: Places of an anchor from which its windows are counted one by one.
@@ -40,7 +40,6 @@ HOT = 1024
 _MOST = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _CONTEXT = "anchor long, weight int, chunk long, place int, text binary"
-_ANSWER = "chunk long, kind int, bucket long, counts binary, owned binary, place int, stop int"
 RESULTS = ["n_words", "n_removed", "kept"]
 
 
@@ -87,14 +86,11 @@ class Chunk:
         self.place = np.flatnonzero(grams == reach[: len(grams)]) if len(least) else np.zeros(0, np.int64)
         self.anchor = grams[self.place]
 
-    def anchors(self) -> np.ndarray:
-        return np.unique(self.anchor)
-
     def contexts(self, answers: pa.Table, buckets: int, most: int) -> None:
         """Begin, end, key and anchor count of the contexts of repeated anchors, and the
         begins and keys of the windows of hot ones, which have more than ``most`` places."""
-        keys = self.anchors()
-        (total,), _ = counts_for(keys, answers, buckets)
+        keys, own = distinct(self.anchor)
+        (total,), _ = counts_for(keys, own, answers, buckets)
         count = total[np.searchsorted(keys, self.anchor)]
         again = count > 1
         place, anchor, count = self.place[again], self.anchor[again], count[again]
@@ -129,8 +125,8 @@ class Chunk:
     def repeats(self, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """For each context how often it occurs, and whether this is the place that stands
         for all; ``hot_again``: the same count for hot windows."""
-        keys = np.unique(np.concatenate([self.key, self.hot_key]))
-        (total,), owned = counts_for(keys, answers, buckets)
+        keys, own = distinct(np.concatenate([self.key, self.hot_key]))
+        (total,), owned = counts_for(keys, own, answers, buckets)
         self.hot_again = total[np.searchsorted(keys, self.hot_key)]
         at = np.searchsorted(keys, self.key)
         first = np.zeros(len(self.key), bool)
@@ -266,15 +262,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, hot_from: int = HOT) -> Da
     n = chunks_for(text_bytes(docs))
     chunked = in_chunks(whole_rows(docs), n)
     by_chunk = chunked.groupBy("chunk")
-    row = chunked.schema["row"].dataType.simpleString()
 
-    def anchor_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return distinct(Chunk(table, window).anchor)
+    def anchor_keys(table: pa.Table) -> pa.Table:
+        chunk = Chunk(table, window)
+        return sent(chunk.number, *distinct(chunk.anchor), n)
 
     def context_keys(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
         chunk.contexts(answers_of(answers, 1), n, hot_from)
-        return sent(chunk.number, *distinct(np.concatenate([chunk.key, chunk.hot_key])), n, 8)
+        return sent(chunk.number, *distinct(np.concatenate([chunk.key, chunk.hot_key])), n)
 
     def different(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
@@ -327,15 +323,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, hot_from: int = HOT) -> Da
         )
 
     def answer(df: DataFrame, kind: int) -> DataFrame:
-        for name, sql in (("bucket", "long"), ("counts", "binary"), ("owned", "binary"), ("place", "int"), ("stop", "int")):
+        for name, sql in (("bucket", "long"), ("counts", "binary"), ("flags", "binary"), ("place", "int"), ("stop", "int")):
             if name not in df.columns:
                 df = df.withColumn(name, F.lit(None).cast(sql))
-        return df.select("chunk", F.lit(kind).alias("kind"), "bucket", "counts", "owned", "place", "stop")
+        return df.select("chunk", F.lit(kind).alias("kind"), "bucket", "counts", "flags", "place", "stop")
 
-    anchors = answer(corpus_counts(chunked, anchor_keys, n, most=_MOST), 1)
-    keys = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(context_keys, "chunk long, bucket long, keys binary, counts binary")
-    counts = anchors.union(answer(answered(keys, 8, _MOST), 2))
+    anchors = answer(corpus_counts(by_chunk.applyInArrow(anchor_keys, SENT), most=_MOST), 1)
+    keys = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(context_keys, SENT)
+    counts = anchors.union(answer(corpus_counts(keys, most=_MOST), 2))
     contexts = by_chunk.cogroup(counts.groupBy("chunk")).applyInArrow(different, _CONTEXT)
     found = counts.union(answer(shard_spans(contexts, window), 3))
-    whole = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(cut, f"row {row}, n_words long, n_removed long, kept string")
+    whole = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(
+        cut, row_and(chunked, "n_words long, n_removed long, kept string")
+    )
     return over(whole, RESULTS)

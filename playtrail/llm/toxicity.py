@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import U, WORDS, over, slices, whole_rows, with_columns
+from playtrail.llm.common import WORDS, over, row_and, slices, whole_rows, with_columns
 
 #: Hashed terms; lengths of beginnings that are terms too; words a task remembers at once.
 HASHES, BEGINNINGS, REMEMBERED = 1 << 24, (4, 5, 6), 400_000
@@ -170,4 +170,4 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
             yield with_columns(batch, "", score=pa.array(scores, pa.float64()))
 
     rows = whole_rows(docs)
-    return over(rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double"), ["score"])
+    return over(rows.mapInArrow(score, row_and(rows, "score double")), ["score"])
