@@ -40,7 +40,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: bytes) -> list[str]:
-    return _WORD.findall(text.decode().lower())
+    words = _WORD.findall(text.decode().lower())
+    # The pattern also takes number signs such as fractions: alone they are no text.
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +241,8 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        size = SLICE_BYTES * 16 // max(16, len(own.languages) ** 2)
+        # The steps of a slice are as many matrices as it has words.
+        size = 4 * SLICE_BYTES // max(16, len(own.languages) ** 2)
         names = np.array([*own.languages, "und"], object)
         for batch, texts in slices(batches, "row.text", size):
             words = [words_of(t) for t in texts]
