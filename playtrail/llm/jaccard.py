@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import LOWER, U, ends_of, mixed, stored, sums_by_run, text_bytes, window_hashes
+from playtrail.llm.common import LOWER, U, ends_of, free_shuffles, mixed, stored, sums_by_run, text_bytes, window_hashes
 from playtrail.llm.components import components
-from playtrail.llm.packed import chunks_for, corpus_counts, counts_for, distinct, in_chunks
+from playtrail.llm.packed import SENT, chunks_for, corpus_counts, counts_for, distinct, in_chunks, sent
 
 #: Classes of a block; sets of a leaf.
 BLOCK, LEAF = 512, 16
@@ -64,16 +64,17 @@ def prefix_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     n = chunks_for(text_bytes(docs))
     chunked = in_chunks(docs, n)
 
-    def keys_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return distinct(shingle_sets(chunk.column("text").to_pylist(), shingle)[0])
+    def send(chunk: pa.Table) -> pa.Table:
+        hashes, _, _ = shingle_sets(chunk.column("text").to_pylist(), shingle)
+        # Four bytes beside the bucket: a false repeat only makes a prefix longer.
+        return sent(chunk.column("chunk")[0].as_py(), *distinct(hashes), n, width=4)
 
-    # Four bytes beside the bucket: a false repeat only makes a prefix longer.
-    counts = corpus_counts(chunked, keys_of, n, width=4, most=255)
+    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(send, SENT), most=255)
 
     def prefix(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, owner, sizes = shingle_sets(chunk.column("text").to_pylist(), shingle)
-        keys = np.unique(hashes)
-        (total,), _ = counts_for(keys, answers, n)
+        keys, own = distinct(hashes)
+        (total,), _ = counts_for(keys, own, answers, n)
         frequency = total[np.searchsorted(keys, hashes)]
         sums = [
             sums_by_run(mixed(hashes ^ U(seed)), sizes).view(np.int64) for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -198,13 +199,13 @@ def cluster_links(members: DataFrame, sets: DataFrame, percent: int, block: int)
     """Links ``a, b`` that connect all that is connected inside the clusters of ``cluster,
     doc_id``.  Only ids move until blocks are known; ``sets`` has the sets of all ids."""
 
-    def trees(placed: DataFrame) -> DataFrame:
+    def trees(placed: DataFrame, sets: DataFrame) -> DataFrame:
         return tree_links(placed.select("doc_id", "component", "block").join(sets, "doc_id"), percent)
 
     counted = stored(members.join(members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"), "members")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block))
     first = counted.withColumn("component", F.col("doc_id")).withColumn("block", F.struct("cluster", part.alias("part")))
-    inside = stored(trees(first), "links")
+    inside = stored(trees(first, sets), "links")
     links = inside.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     large = counted.where(F.col("n") > block)
     if large.isEmpty():
@@ -212,10 +213,11 @@ def cluster_links(members: DataFrame, sets: DataFrame, percent: int, block: int)
 
     # One set of each component so far stands for it.
     large = stored(large.join(inside, "doc_id"), "large")
+    sets = stored(large.select("doc_id").join(sets, "doc_id"), "large-sets")
     heads = large.where("doc_id = head").drop("n")
     heads = heads.join(heads.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
     heads = heads.withColumn("component", F.col("doc_id")).withColumn("block", F.struct("cluster", part.alias("part")))
-    across = stored(trees(heads), "links")
+    across = stored(trees(heads, sets), "links")
     links = links.union(across.select("doc_id", "head"))
     across = across.select(F.col("doc_id").alias("head"), F.col("head").alias("component"))
     large = large.join(across, "head")
@@ -237,7 +239,7 @@ def cluster_links(members: DataFrame, sets: DataFrame, percent: int, block: int)
     )
     cells = cells.select("cluster", "part", "part_b", F.struct("cluster", "part", "part_b").alias("block"))
     sides = cells.select("cluster", "part", "block").union(cells.select("cluster", "part_b", "block")).distinct()
-    return links.union(trees(large.join(sides, ["cluster", "part"])).select("doc_id", "head"))
+    return links.union(trees(large.join(sides, ["cluster", "part"]), sets).select("doc_id", "head"))
 
 
 def jaccard_components(
@@ -245,6 +247,7 @@ def jaccard_components(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; documents link from ``percent``."""
     sets = prefix_sets(docs.select(F.col(id).cast("long").alias("doc_id"), "text"), shingle, percent)
+    free_shuffles(docs.sparkSession)
     linked = sets.where((F.size("prefix") > 0) & F.col("doc_id").isNotNull())
     classes = stored(
         linked.groupBy("h1", "h2").agg(

@@ -12,7 +12,7 @@ chunk sends each key once, however often it occurs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from playtrail.llm.common import U
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
-_SENT = "chunk long, bucket long, keys binary, counts binary"
-_ANSWER = "chunk long, bucket long, counts binary, owned binary"
+SENT = "chunk long, bucket long, keys binary, counts binary"
+ANSWER = "chunk long, bucket long, counts binary, flags binary"
 
 
 def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
@@ -33,9 +33,9 @@ def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.withColumn("chunk", F.pmod(key, F.lit(chunks).cast("long"))).repartition("chunk")
 
 
-def chunks_for(size: int) -> int:
+def chunks_for(size: int, each: int = CHUNK_BYTES) -> int:
     """Chunks for so many bytes of text; also the buckets of keys."""
-    return max(8, -(-size // CHUNK_BYTES))
+    return max(8, -(-size // each))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -77,62 +77,61 @@ def distinct(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return own, np.stack([np.bincount(back, w, len(own)).astype(np.int64) for w in weights])
 
 
-def corpus_counts(
-    chunked: DataFrame,
-    keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    buckets: int,
-    width: int = 8,
-    most: int | None = None,
-) -> DataFrame:
-    """Answers for ``counts_for``: sums over all chunks of what ``keys_of`` gives for each.
+def sent(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: int = 8, kind: int = 0) -> pa.Table:
+    """What a chunk sends to the buckets: rows of SENT.
 
-    ``keys_of`` returns ``distinct(...)``.  ``width``: bytes of a key that are sent; keys are
-    told apart by these and by their bucket.  ``most``: sums stop there."""
-
-    def send(chunk: pa.Table) -> pa.Table:
-        return sent(chunk.column("chunk")[0].as_py(), *keys_of(chunk), buckets, width)
-
-    return answered(chunked.groupBy("chunk").applyInArrow(send, _SENT), width, most)
-
-
-def sent(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: int) -> pa.Table:
-    """What a chunk sends to the buckets."""
-    rows = [(chunk, b, _key_bytes(keys[part], width), pack(counts[:, part].ravel())) for b, part in _buckets(keys, buckets)]
+    ``width``: bytes of a key that are sent; keys are told apart by these and by their
+    bucket.  ``kind`` numbers kinds of keys that are counted apart."""
+    rows = [
+        (chunk, kind * buckets + b, _key_bytes(keys[part], width), pack(counts[:, part].ravel()))
+        for b, part in _buckets(keys, buckets)
+    ]
     return _table(rows, ["chunk", "bucket", "keys", "counts"])
 
 
-def answered(rows: DataFrame, width: int, most: int | None) -> DataFrame:
-    """One answer to each chunk in each bucket, from rows of ``sent``."""
+def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None) -> DataFrame:
+    """An answer to each row of ``sent``, for ``counts_for``: the counts of its keys summed
+    over all chunks, where they differ from what the chunk sent itself.
+
+    ``sums``: counts of a key; ``most``: sums stop there."""
 
     def add(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("chunk")
         chunks = bucket.column("chunk").to_pylist()
-        keys = [_keys(k, width) for k in bucket.column("keys").to_pylist()]
+        counts = [unpack(c).reshape(sums, -1) for c in bucket.column("counts").to_pylist()]
+        lengths = [c.shape[1] for c in counts]
+        keys = [_keys(k, len(k) // n) for k, n in zip(bucket.column("keys").to_pylist(), lengths)]
         _, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        lengths = [len(k) for k in keys]
-        counts = [unpack(c).reshape(-1, n) for c, n in zip(bucket.column("counts").to_pylist(), lengths)]
-        sums = [np.bincount(back, np.concatenate(c)).astype(np.int64) for c in zip(*counts)]
-        total = np.stack(sums)[:, back] if most is None else np.minimum(np.stack(sums), most)[:, back]
-        owned = np.zeros(len(back), np.uint8)
-        owned[first] = 1
+        own = np.concatenate(counts, axis=1).astype(np.int64)
+        total = np.stack([np.bincount(back, c).astype(np.int64) for c in own])[:, back]
+        if most is not None:
+            total = np.minimum(total, most)
+        more = (total != own).any(axis=0)
+        owned = np.zeros(len(back), bool)
+        owned[first] = True
         number, found, at = bucket.column("bucket")[0].as_py(), [], 0
         for chunk, n in zip(chunks, lengths):
-            found.append((chunk, number, pack(total[:, at : at + n].ravel()), np.packbits(owned[at : at + n]).tobytes()))
+            part = slice(at, at + n)
+            flags = np.packbits(np.stack([owned[part], more[part]])).tobytes()
+            found.append((chunk, number, pack(total[:, part][:, more[part]].ravel()), flags))
             at += n
-        return _table(found, ["chunk", "bucket", "counts", "owned"])
+        return _table(found, ["chunk", "bucket", "counts", "flags"])
 
-    return rows.groupBy("bucket").applyInArrow(add, _ANSWER)
+    return rows.groupBy("bucket").applyInArrow(add, ANSWER)
 
 
-def counts_for(keys: np.ndarray, answers: pa.Table, buckets: int, sums: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """For a chunk's distinct keys: the sums (a row for each), and whether the chunk is the
-    first (by number) that holds the key."""
-    found = {b: (c, o) for b, c, o in zip(*(answers.column(n).to_pylist() for n in ("bucket", "counts", "owned")))}
-    total, owned = np.zeros((sums, len(keys)), np.int64), np.zeros(len(keys), bool)
+def counts_for(
+    keys: np.ndarray, counts: np.ndarray, answers: pa.Table, buckets: int, kind: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """For what a chunk sent: the sums over all chunks, and whether the chunk is the first
+    (by number) that holds the key."""
+    found = {b: (c, f) for b, c, f in zip(*(answers.column(n).to_pylist() for n in ("bucket", "counts", "flags")))}
+    total, owned = counts.astype(np.int64), np.zeros(len(keys), bool)
     for b, part in _buckets(keys, buckets):
-        counts, own = found[b]
-        total[:, part] = unpack(counts).reshape(sums, -1)
-        owned[part] = np.unpackbits(np.frombuffer(own, np.uint8), count=len(part)).astype(bool)
+        sums, flags = found[kind * buckets + b]
+        bits = np.unpackbits(np.frombuffer(flags, np.uint8), count=2 * len(part)).astype(bool)
+        owned[part], more = bits[: len(part)], bits[len(part) :]
+        total[:, part[more]] = unpack(sums).reshape(len(total), -1)
     return total, owned
 
 
