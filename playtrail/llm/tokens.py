@@ -54,12 +54,18 @@ def encoded(misses: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
         tokenizer = Tokenizer.from_buffer(model.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        seen: set[str] = set()
         for batch, texts in slices(batches, "text"):
-            found = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            new = {}
+            for digest, text in zip(batch.column(batch.schema.get_field_index("digest")).to_pylist(), texts):
+                if digest not in seen:
+                    new[digest] = text.decode()
+            seen.update(new)
+            found = tokenizer.encode_batch_fast(list(new.values()), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(batch.schema.get_field_index("digest")),
-                    pa.array([version] * len(texts), pa.string()),
+                    pa.array(list(new), pa.string()),
+                    pa.array([version] * len(new), pa.string()),
                     pa.array([len(e) for e in found], pa.int64()),
                 ],
                 names=["digest", "tokenizer", "n_tokens"],
@@ -77,9 +83,10 @@ def count_tokens(
     keyed = docs.select(F.col(id).cast("string").alias("id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
     cache = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     # One row holds a digest's text; only keys are grouped, so copies combine before they move.
+    # A merge join brings rows that repeat with their id together; the first is encoded.
     owners = keyed.groupBy("digest").agg(F.min("id").alias("owner")).join(cache, "digest", "left_anti")
     misses = keyed.join(
-        owners.withColumnRenamed("digest", "own_digest"),
+        owners.withColumnRenamed("digest", "own_digest").hint("merge"),
         (F.col("digest") == F.col("own_digest")) & F.col("id").eqNullSafe(F.col("owner")),
         "left_semi",
     )
