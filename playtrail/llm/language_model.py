@@ -26,16 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import LOWER, U, ends_of, mixed, stored, sums_by_run, text_bytes
-from playtrail.llm.packed import chunks_for, corpus_counts, counts_for, distinct, in_chunks, pack, unpack
+from playtrail.llm.common import LOWER, U, ends_of, free_shuffles, mixed, stored, text_bytes
+from playtrail.llm.packed import SENT, chunks_for, corpus_counts, counts_for, distinct, in_chunks, pack, sent, unpack
 
 #: The end token's hash: no word has it but by chance of 1 in 2^64.
 END = U(0x9AE16A3B2F90404F)
 #: Contexts seen 2^(k-1) to 2^k - 1 times are in bucket k; steps of the grid for a factor of 2.
 CONTEXTS, GRID = 48, 8
-#: Bytes of a key sent beside its bucket.
-WIDTH = 7
-_COUNTED = "doc_id long, part int, known binary, pairs binary"
+#: Bytes of a word's and of a pair's key sent beside its bucket: words are told apart by 48
+#: bits and more; one pair in some thousands shares its count with another.
+WIDTH = (6, 4)
+_COUNTED = (
+    "doc_id long, part int, n_tokens long, n_known long, base_sum double, types double, "
+    "words binary, pairs binary, main_words binary, main_pairs binary"
+)
+#: Text bytes of a chunk: larger ones send fewer pairs that others send too.
+CHUNK_BYTES = 12 << 20
 #: Texts that a step inside a task handles at once.
 TEXTS = 1000
 
@@ -64,57 +70,74 @@ def pair_hashes(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def counted(docs: DataFrame) -> DataFrame:
     """For each row of ``doc_id, text, part`` (0: estimates, 1: held out for the weights,
-    2: test): for each token, how often it and its pair occur in parts 0 and 1, packed as
-    two arrays that hold the counts of part 0 first."""
-    n = chunks_for(text_bytes(docs))
+    2: test), of its tokens: how many occur in training texts, the sum of log10(count + 1),
+    of training rows the sum of 1 / count (which adds up to the number of types), and packed
+    the counts of all words and pairs in parts 0 and 1, for part 1 also in part 0 alone."""
+    n = chunks_for(text_bytes(docs), CHUNK_BYTES)
     chunked = in_chunks(docs, n)
 
-    def keys(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def keys(chunk: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         flat, lengths = word_hashes(chunk.column("text").to_pylist())
         part = np.repeat(chunk.column("part").to_numpy(), lengths)
-        return flat, pair_hashes(flat, lengths), part, lengths
+        return [flat, pair_hashes(flat, lengths)], part, lengths
 
-    def keys_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat, pairs, part, _ = keys(chunk)
-        both, part = np.concatenate([flat, pairs]), np.concatenate([part, part])
-        return distinct(both, part == 0, part == 1)
+    def send(chunk: pa.Table) -> pa.Table:
+        hashes, part, _ = keys(chunk)
+        number = chunk.column("chunk")[0].as_py()
+        return pa.concat_tables(
+            sent(number, *distinct(h, part == 0, part == 1), n, WIDTH[kind], kind) for kind, h in enumerate(hashes)
+        )
 
-    counts = corpus_counts(chunked, keys_of, n, width=WIDTH)
+    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(send, SENT), sums=2)
 
     def answer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        flat, pairs, part, lengths = keys(chunk)
-        own = np.unique(np.concatenate([flat, pairs]))
-        totals, _ = counts_for(own, answers, n, sums=2)
+        hashes, part, lengths = keys(chunk)
         begin, end = ends_of(lengths)
-
-        def arrays(hashes: np.ndarray) -> pa.Array:
-            found = totals[:, np.searchsorted(own, hashes)]
-            return pa.array([pack(found[:, a:b].ravel()) for a, b in zip(begin, end)], pa.binary())
-
+        found = []
+        for kind in (0, 1):
+            own, counts = distinct(hashes[kind], part == 0, part == 1)
+            totals, _ = counts_for(own, counts, answers, n, kind)
+            found.append(totals[:, np.searchsorted(own, hashes[kind])])
+        (main_words, held_words), (main_pairs, held_pairs) = found
+        words, pairs = main_words + held_words, main_pairs + held_pairs
+        part_of = chunk.column("part").to_numpy()
+
+        def packed(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+            return pa.array([pack(values[a:b]) if r else None for a, b, r in zip(begin, end, rows)], pa.binary())
+
+        every, held = np.ones(len(begin), bool), part_of == 1
         return pa.table(
             {
                 "doc_id": chunk.column("doc_id"),
                 "part": chunk.column("part"),
-                "known": arrays(flat),
-                "pairs": arrays(pairs),
+                "n_tokens": pa.array(lengths.astype(np.int64)),
+                "n_known": pa.array(np.add.reduceat((words > 0).astype(np.int64), begin)),
+                "base_sum": pa.array(np.add.reduceat(np.log10(words + 1.0), begin)),
+                "types": pa.array(np.add.reduceat(np.where(part < 2, 1 / np.maximum(words, 1), 0), begin)),
+                "words": packed(words, every),
+                "pairs": packed(pairs, every),
+                "main_words": packed(main_words, held),
+                "main_pairs": packed(main_pairs, held),
             }
         )
 
-    return stored(chunked.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(answer, _COUNTED), "lm-counts")
+    answers = chunked.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(answer, _COUNTED)
+    return stored(answers, "lm-counts", compression="zstd")
 
 
 class Counts:
-    """Counts of the tokens of some rows, texts on end."""
-
-    def __init__(self, rows: pa.RecordBatch, ends: tuple[int, int] = (0, 0)) -> None:
-        column = {n: rows.column(i).to_pylist() for i, n in enumerate(rows.schema.names) if n in ("known", "pairs")}
-        known, pairs = ([unpack(x).reshape(2, -1) for x in column[n]] for n in ("known", "pairs"))
-        self.lengths = np.array([k.shape[1] for k in known], np.int64)
-        self.word = np.concatenate([k.astype(np.int64) for k in known], axis=1)
-        self.pair = np.concatenate([k.astype(np.int64) for k in pairs], axis=1)
+    """Counts of the tokens of some rows, texts on end, and of the tokens before them;
+    ``ends``: how often the end token occurs, the context of each text's first word."""
+
+    def __init__(self, rows: pa.RecordBatch, words: str, pairs: str, ends: int) -> None:
+        by_text = [unpack(x) for x in rows.column(rows.schema.get_field_index(words)).to_pylist()]
+        self.begin = np.cumsum([0, *(len(x) for x in by_text)])[:-1]
+        self.word = np.concatenate([x.astype(np.int64) for x in by_text])
+        column = rows.column(rows.schema.get_field_index(pairs)).to_pylist()
+        self.pair = np.concatenate([unpack(x).astype(np.int64) for x in column])
         self.context = np.empty_like(self.word)
-        self.context[:, 1:] = self.word[:, :-1]
-        self.context[:, ends_of(self.lengths)[0]] = np.array(ends)[:, None]
+        self.context[1:] = self.word[:-1]
+        self.context[self.begin] = ends
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,61 +187,43 @@ def score_texts(docs: DataFrame, train: Column, held: Column, id: str = "doc_id"
     part = F.when(~train, 2).when(held, 1).otherwise(0)
     rows = counted(docs.select(F.col(id).cast("long").alias("doc_id"), "text", part.cast("int").alias("part")))
     spark = docs.sparkSession
+    free_shuffles(spark)
 
-    # Training tokens by part, and distinct ones.  A type counts once: its tokens
-    # add up to 1 when each weighs 1 / (its count).
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
-            c = Counts(batch)
-            own = np.repeat(batch.column(batch.schema.get_field_index("part")).to_numpy(), c.lengths)
-            count = c.word.sum(axis=0)
-            types = (1.0 / count[own < 2]).sum()
-            yield pa.RecordBatch.from_pydict(
-                {"n0": [int((own == 0).sum())], "n1": [int((own == 1).sum())], "types": [float(types)]}
-            )
-
-    total = rows.select("part", "known", "pairs").mapInArrow(sums, "n0 long, n1 long, types double")
-    n0, n1, types = total.agg(F.sum("n0"), F.sum("n1"), F.sum("types")).first()
-    n0, n1, types = n0 or 0, n1 or 0, round(types or 0)
-    texts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
-    ends = texts.get(0, 0), texts.get(1, 0)
+    stats = rows.where("part < 2").groupBy("part").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("texts"), F.sum("types").alias("types")
+    )
+    by_part = {r["part"]: r for r in stats.collect()}  # two rows
+    n0, all_tokens = (by_part[0]["n"] if 0 in by_part else 0), sum(r["n"] for r in by_part.values())
+    ends0, all_ends = (by_part[0]["texts"] if 0 in by_part else 0), sum(r["texts"] for r in by_part.values())
+    types = round(sum(r["types"] for r in by_part.values()))
     uniform = 1 / (types + 1)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            c = Counts(batch, ends)
-            pair = c.pair[0] / np.maximum(c.context[0], 1)
-            table = np.stack([buckets_of(c.context[0]), grid(pair), grid(c.word[0] / max(n0, 1))])
-            distinct_cells, n = np.unique(table, axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, distinct_cells), pa.array(n)], names=["b", "p", "w", "n"])
-
-    held_cells = rows.where("part = 1").mapInArrow(cells, "b long, p long, w long, n long")
+            c = Counts(batch, "main_words", "main_pairs", ends0)
+            pair, word = c.pair / np.maximum(c.context, 1), c.word / max(n0, 1)
+            table = np.stack([buckets_of(c.context), grid(pair), grid(word)])
+            cell, n = np.unique(table, axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cell), pa.array(n)], names=["b", "p", "w", "n"])
+
+    held_rows = rows.where("part = 1").select("main_words", "main_pairs")
+    held_cells = held_rows.mapInArrow(cells, "b long, p long, w long, n long")
     learned = held_cells.groupBy("b", "p", "w").agg(F.sum("n").alias("n")).collect()
     weights = spark.sparkContext.broadcast(fit(np.array([tuple(r) for r in learned], np.int64), uniform))
-    all_tokens = n0 + n1
-    base = math.log10(all_tokens + types + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            c = Counts(batch, ends)
-            word, pair, context = c.word.sum(axis=0), c.pair.sum(axis=0), c.context.sum(axis=0)
-            w = weights.value[buckets_of(context)]
-            p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(all_tokens, 1) + w[:, 2] * uniform
-            columns = {
-                "doc_id": batch.column(0),
-                "n_tokens": pa.array(c.lengths.astype(np.int64)),
-                "n_known": pa.array(sums_by_run((word > 0).astype(np.int64), c.lengths)),
-                "train_tokens": pa.array(np.full(len(c.lengths), all_tokens)),
-                "base_score": pa.array(run_sums(np.log10(word + 1.0) - base, c.lengths)),
-                "score": pa.array(run_sums(np.log10(p), c.lengths)),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return rows.select("doc_id", "known", "pairs").mapInArrow(
-        score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+            c = Counts(batch, "words", "pairs", all_ends)
+            w = weights.value[buckets_of(c.context)]
+            p = w[:, 0] * c.pair / np.maximum(c.context, 1) + w[:, 1] * c.word / max(all_tokens, 1) + w[:, 2] * uniform
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "n_tokens", "n_known", "base_sum")]
+            score = pa.array(np.add.reduceat(np.log10(p), c.begin))
+            yield pa.RecordBatch.from_arrays([*kept, score], names=["doc_id", "n_tokens", "n_known", "base_sum", "score"])
+
+    scored = rows.select("doc_id", "n_tokens", "n_known", "base_sum", "words", "pairs").mapInArrow(
+        score, "doc_id long, n_tokens long, n_known long, base_sum double, score double"
+    )
+    base = F.col("base_sum") - F.col("n_tokens") * math.log10(all_tokens + types + 1)
+    return scored.select(
+        "doc_id", "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
     )
-
-
-def run_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of each run (all have a value), without the error of long running totals."""
-    return np.add.reduceat(values, ends_of(lengths)[0])
