@@ -55,6 +55,7 @@ def _stored_rollup(name: str):
 
 for _name in ("daily_stats", "weekly_stats", "monthly_stats", "artist_stats", "time_stats"):
     check(f"sink_{_name}", ORACLES[_name])(_stored_rollup(_name))
+check("sink_rollups", ORACLES["daily_stats"])(_stored_rollup("daily_stats"))
 
 
 @check(
