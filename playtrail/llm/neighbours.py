@@ -58,8 +58,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """For each row the k rows of largest cosine, in blocks."""
     out = []
-    for at in range(0, len(x), 1024):
-        near = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        near = x[at : at + 256] @ x.T
         near[np.arange(len(near)), np.arange(at, at + len(near))] = -2
         out.append(np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k])
     return np.concatenate(out)
