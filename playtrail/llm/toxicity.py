@@ -83,7 +83,7 @@ def training_terms(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
 
     found = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(hash_texts, "toxic int, terms binary")
     # Copies would make all their terms look like signs of their label: each set counts once.
-    return [(y, np.frombuffer(t, np.uint32)) for y, t in sorted({(r["toxic"], bytes(r["terms"])) for r in found.toLocalIterator()})]
+    return [(y, np.frombuffer(t, np.uint32)) for y, t in sorted({(r["toxic"], bytes(r["terms"])) for r in found.collect()})]
 
 
 def choose(terms: np.ndarray, owner: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def fit(rows: list[tuple[int, np.ndarray]], most: int, factors: int, epochs: int
         return Machine()
     label = np.array([y for y, _ in rows], np.float64)
     lengths = np.array([len(t) for _, t in rows])
-    terms, owner = np.concatenate([t for _, t in rows]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
+    terms, owner = np.concatenate([t for _, t in rows]), np.repeat(np.arange(len(rows)), lengths)
     own = choose(terms, owner, label, most)
     at = np.minimum(np.searchsorted(own, terms), max(0, len(own) - 1))
     keep = own[at] == terms if len(own) else np.zeros(len(terms), bool)
@@ -145,7 +145,7 @@ def fit(rows: list[tuple[int, np.ndarray]], most: int, factors: int, epochs: int
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000, terms: int = 8192, factors: int = 4,
+    docs: DataFrame, labels: DataFrame, train: Column, sample: int = 6_000, terms: int = 8192, factors: int = 4,
     epochs: int = 12, seed: int = 5,
 ) -> Machine:
     """A machine from at most ``sample`` labelled rows of ``train`` (a condition on doc_id)."""
