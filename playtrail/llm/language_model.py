@@ -6,7 +6,8 @@ the training texts and the weights a, b, c depend on how often the context u was
 of texts that the estimates were not made from; scoring uses estimates from all of both.
 
 All counts cover the whole corpus: each chunk of documents sends its distinct words and
-word pairs to the buckets that add them up and gets the sums back (``packed``).  What EM
+word pairs to the buckets that add them up and gets the sums back (``packed``); all 64 bits
+of their hashes tell them apart.  What EM
 needs from the held-out texts are counts in cells of (bucket, f(w|u), f(w)) on a fine
 logarithmic grid, so their number has a bound that doesn't grow with the corpus.
 
@@ -33,9 +34,6 @@ from playtrail.llm.packed import SENT, chunks_for, corpus_counts, counts_for, di
 END = U(0x9AE16A3B2F90404F)
 #: Contexts seen 2^(k-1) to 2^k - 1 times are in bucket k; steps of the grid for a factor of 2.
 CONTEXTS, GRID = 48, 8
-#: Bytes of a word's and of a pair's key sent beside its bucket: words are told apart by 48
-#: bits and more; one pair in some thousands shares its count with another.
-WIDTH = (6, 4)
 _COUNTED = (
     "doc_id long, part int, n_tokens long, n_known long, base_sum double, types double, "
     "words binary, pairs binary, main_words binary, main_pairs binary"
@@ -85,10 +83,10 @@ def counted(docs: DataFrame) -> DataFrame:
         hashes, part, _ = keys(chunk)
         number = chunk.column("chunk")[0].as_py()
         return pa.concat_tables(
-            sent(number, *distinct(h, part == 0, part == 1), n, WIDTH[kind], kind) for kind, h in enumerate(hashes)
+            sent(number, *distinct(h, part == 0, part == 1), n, None, kind) for kind, h in enumerate(hashes)
         )
 
-    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(send, SENT), sums=2)
+    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(send, SENT), sums=2, steps=True)
 
     def answer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, part, lengths = keys(chunk)

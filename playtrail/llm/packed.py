@@ -52,6 +52,14 @@ def _key_bytes(keys: np.ndarray, width: int) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def _key_steps(keys: np.ndarray, buckets: int) -> bytes:
+    """A bucket's ascending keys, whole, as differences of what its number doesn't tell of
+    them; in as few bytes each as the largest needs."""
+    within = ((keys >> U(32)) // U(buckets) << U(32)) | (keys & U(0xFFFFFFFF))
+    steps = np.diff(within, prepend=U(0))
+    return _key_bytes(steps, max(1, -(-int(steps.max()).bit_length() // 8)))
+
+
 def _keys(data: bytes, width: int) -> np.ndarray:
     part = np.frombuffer(data, np.uint8).reshape(-1, width)
     whole = np.zeros((len(part), 8), np.uint8)
@@ -77,23 +85,28 @@ def distinct(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return own, np.stack([np.bincount(back, w, len(own)).astype(np.int64) for w in weights])
 
 
-def sent(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: int = 8, kind: int = 0) -> pa.Table:
+def sent(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: int | None = 8, kind: int = 0) -> pa.Table:
     """What a chunk sends to the buckets: rows of SENT.
 
     ``width``: bytes of a key that are sent; keys are told apart by these and by their
-    bucket.  ``kind`` numbers kinds of keys that are counted apart."""
+    bucket.  None: whole ascending keys as steps.  ``kind`` numbers kinds of keys that are counted apart."""
+
+    def packed(own: np.ndarray) -> bytes:
+        return _key_steps(own, buckets) if width is None else _key_bytes(own, width)
+
     rows = [
-        (chunk, kind * buckets + b, _key_bytes(keys[part], width), pack(counts[:, part].ravel()))
+        (chunk, kind * buckets + b, packed(keys[part]), pack(counts[:, part].ravel()))
         for b, part in _buckets(keys, buckets)
     ]
     return _table(rows, ["chunk", "bucket", "keys", "counts"])
 
 
-def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None) -> DataFrame:
+def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None, steps: bool = False) -> DataFrame:
     """An answer to each row of ``sent``, for ``counts_for``: the counts of its keys summed
     over all chunks, where they differ from what the chunk sent itself.
 
-    ``sums``: counts of a key; ``most``: sums stop there."""
+    ``sums``: counts of a key; ``most``: sums stop there; ``steps``: keys were sent
+    with width None."""
 
     def add(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("chunk")
@@ -101,6 +114,8 @@ def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None) -> Da
         counts = [unpack(c).reshape(sums, -1) for c in bucket.column("counts").to_pylist()]
         lengths = [c.shape[1] for c in counts]
         keys = [_keys(k, len(k) // n) for k, n in zip(bucket.column("keys").to_pylist(), lengths)]
+        if steps:
+            keys = [np.cumsum(k, dtype=U) for k in keys]
         _, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         own = np.concatenate(counts, axis=1).astype(np.int64)
         total = np.stack([np.bincount(back, c).astype(np.int64) for c in own])[:, back]

@@ -4,13 +4,15 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from playtrail.llm.common import fold
 from playtrail.llm.components import components
 from playtrail.llm.jaccard import jaccard_components
-from playtrail.llm.language_model import score_texts
+from playtrail.llm.language_model import counted, pair_hashes, score_texts, word_hashes
+from playtrail.llm.packed import unpack
 from playtrail.llm.substrings import SuffixAutomaton, remove_repeats, repeated_spans
 from tests.llm.helpers import LOWER, empty, frame, odd_texts
 
@@ -121,6 +123,19 @@ def test_language_model(docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_pairs_with_equal_low_bits_are_counted_apart(spark):
+    texts = [f"w{i} w{j}" for i in range(1000) for j in range(1000)]
+    hashes = pair_hashes(*word_hashes(texts)).reshape(-1, 3)[:, 1]
+    low = (hashes & np.uint64(0xFFFFFFFF)) | ((hashes >> np.uint64(32)) % np.uint64(8) << np.uint64(32))
+    order = np.argsort(low, kind="stable")
+    (equal,) = np.nonzero(np.diff(low[order]) == 0)
+    assert len(equal)
+    seen, unseen = (texts[order[equal[0] + k]] for k in (0, 1))
+    rows = spark.createDataFrame([(1, seen, 0), (2, unseen, 2)], "doc_id long, text string, part int")
+    pairs = {r["doc_id"]: unpack(r["pairs"]).tolist() for r in counted(rows).collect()}
+    assert pairs[1][1] == 1 and pairs[2][1] == 0
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert remove_repeats(none).count() == 0
