@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and
 as the next one's docs.  All but the last return the columns of their docs, extra ones too.
 
 * ``language``: texts without a letter, and those in which no language is likely, go.
-* ``near_duplicates``: of each group of linked documents the smallest id stays; of rows with
-  one id, one; rows without id stay.
+* ``near_duplicates``: of each group of linked rows the one with the smallest id stays (no id
+  is the largest), whatever other rows have its id; of rows equal in all columns, one.
 * ``repeated_passages``: words in runs that occur elsewhere too are cut out; ``n_chars``
   follows the text.
 * ``benchmark_passages``: documents that hold a passage of the benchmark go.
@@ -20,7 +20,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from playtrail.llm import language
 from playtrail.llm.common import fold, stored
@@ -50,12 +49,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard_components(docs.select("doc_id", "text"))
-    stays = linked.where("doc_id = component_id").select("doc_id")
-    first = F.row_number().over(Window.partitionBy("rest.doc_id").orderBy("text"))
-    rows = apart(docs).join(stays.withColumnRenamed("doc_id", "stays"), F.col("rest.doc_id") == F.col("stays"), "left_semi")
-    once = rows.withColumn("copy", first).where("copy = 1").select("rest", "text")
-    return together(once.union(apart(docs.where("doc_id IS NULL"))), docs.columns)
+    parts = [F.col("text") if c == "text" else F.col("rest").getField(c) for c in docs.columns]
+    # A hash passes over nulls, so where they are is hashed too.
+    rows = apart(docs).withColumn("key", F.xxhash64(*parts, *(p.isNull() for p in parts)))
+    linked = jaccard_components(rows.select(F.col("key").alias("doc_id"), "text"))
+    components = linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    ids = rows.select("key", F.col("rest").getField("doc_id").alias("id")).distinct()
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
+    stays = components.join(ids, "key").groupBy("component").agg(least).select(F.col("least.key").alias("key"))
+    once = rows.dropDuplicates(["key"]).join(stays, "key", "left_semi")
+    return together(once, docs.columns)
 
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

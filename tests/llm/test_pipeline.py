@@ -62,6 +62,16 @@ def test_odd_rows_pass(spark, sf):
         assert stage(spark, none, sf).count() == 0, name
 
 
+def test_near_duplicates_are_rows_not_ids(spark, sf):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "ABCD")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c + " end"), (None, d), (7, d), (9, "e"), (9, "e"), (9, None), (None, "9")]
+    docs = spark.createDataFrame([(i, t, s) for i, t in rows for s in ("s", None)], "doc_id long, text string, source string")
+    kept = [(r["doc_id"], r["text"]) for r in P.near_duplicates_stage(spark, docs, sf).collect()]
+    assert {x for x in kept if x[1]} - {(None, c), (None, c + " end")} == {(3, a), (5, b), (7, d), (9, "e"), (None, "9")}
+    assert sum(x[0] is None and x[1].startswith("C") for x in kept) == 1
+    assert len({t for _, t in kept if t}) == len([t for _, t in kept if t])
+
+
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
 
