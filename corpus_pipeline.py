@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and read again
 as the next one's docs.  All but the last return the columns of their docs, extra ones too.
 
-* ``language``: texts without a letter, and those in which no language is likely, go.
+* ``language``: texts without a letter, and those whose words have no likely language, go;
+  texts in several languages stay.  Where no row has a language to learn, only the former go.
 * ``near_duplicates``: of each group of linked rows the one with the smallest id stays (no id
   is the largest), whatever other rows have its id; of rows equal in all columns, one.
 * ``repeated_passages``: words in runs that occur elsewhere too are cut out; ``n_chars``
@@ -29,7 +30,7 @@ from playtrail.llm.mixing import mix_sources
 from playtrail.llm.queries import WEIGHTS
 from playtrail.llm.substrings import remove_repeats
 
-#: A text's language must have this mean probability.
+#: The likeliest languages of a text's words, each word's own, must have this mean probability.
 LEAST_LANGUAGE_SCORE = 0.4
 
 
@@ -44,8 +45,10 @@ def together(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     field = language.learn(docs, fold("doc_id", 4) != 2)
-    found = language.predict(apart(docs), field)
-    return together(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs.columns)
+    if field is None:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = language.predict(apart(docs), field, sure="sure")
+    return together(found.where((F.col("lang_pred") != "und") & (F.col("sure") >= LEAST_LANGUAGE_SCORE)), docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,11 +232,15 @@ def learn(docs: DataFrame, train: Column, per_language: int = 600, id: str = "do
     return fit(training_pieces(sample.limit(2 * per_language * len(counts))), seed=seed)
 
 
-def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score``, its mean probability over the text's words."""
+def predict(docs: DataFrame, field: Field | None, sure: str | None = None) -> DataFrame:
+    """Adds ``lang_pred`` and ``score``, its mean probability over the text's words.
+
+    ``sure``: a column for the mean probability of each word's own likeliest language."""
     rows = whole_rows(docs)
+    results = RESULTS + [sure] * (sure is not None)
     if field is None:
-        return over(rows.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")), RESULTS)
+        none = [F.lit(0.0).alias(n) for n in results[1:]]
+        return over(rows.select("row", F.lit("und").alias("lang_pred"), *none), results)
     model = docs.sparkSession.sparkContext.broadcast(field)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +252,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
             words = [words_of(t) for t in texts]
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             best, score = np.full(len(words), len(own.languages)), np.zeros(len(words))
+            each = np.zeros(len(words))
             if lengths.sum():
                 has = np.flatnonzero(lengths)
                 begin = ends_of(lengths[has])[0]
@@ -256,6 +261,10 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                 p = marginals(emissions([w for x in words for w in x], own), first, own)
                 mean = np.add.reduceat(p, begin, axis=0) / lengths[has][:, None]
                 best[has], score[has] = mean.argmax(axis=1), np.minimum(mean.max(axis=1), 1.0)
-            yield with_columns(batch, "", lang_pred=pa.array(names[best], pa.string()), score=pa.array(score))
+                if sure is not None:
+                    each[has] = np.minimum(np.add.reduceat(p.max(axis=1), begin) / lengths[has], 1.0)
+            more = {} if sure is None else {sure: pa.array(each)}
+            yield with_columns(batch, "", lang_pred=pa.array(names[best], pa.string()), score=pa.array(score), **more)
 
-    return over(rows.mapInArrow(label, row_and(rows, "lang_pred string, score double")), RESULTS)
+    schema = ", ".join(["lang_pred string", *(f"`{n}` double" for n in results[1:])])
+    return over(rows.mapInArrow(label, row_and(rows, schema)), results)

@@ -72,6 +72,18 @@ def test_near_duplicates_are_rows_not_ids(spark, sf):
     assert len({t for _, t in kept if t}) == len([t for _, t in kept if t])
 
 
+def test_mixed_and_unlabelled_texts_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    long = {r["lang"]: r["text"].split()[:60] for r in docs.where("length(text) > 800").orderBy("doc_id").collect()}
+    assert len(long) >= 3
+    switched = " ".join(w for words in long.values() for w in words)
+    more = spark.createDataFrame([(-1, switched, None), (-2, "12 34", None)], docs.schema)
+    kept = {r["doc_id"] for r in P.language_stage(spark, docs.union(more), sf).collect()}
+    assert -1 in kept and -2 not in kept
+    unlabelled = more.union(spark.createDataFrame([(-3, None, None)], docs.schema))
+    assert [r["doc_id"] for r in P.language_stage(spark, unlabelled, sf).collect()] == [-1]
+
+
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
 
