@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtrail.llm import language, toxicity
+from playtrail.llm.chats import format_chats, read_back
 from playtrail.llm.common import fold, share_folder
 from playtrail.llm.decontamination import decontaminate
+from playtrail.llm.filter_audit import audit_filters
 from playtrail.llm.jaccard import jaccard_components
 from playtrail.llm.language_model import score_texts
 from playtrail.llm.licenses import scan_licenses
 from playtrail.llm.mixing import mix_sources
 from playtrail.llm.neighbours import nearest
+from playtrail.llm.resampling import resample
 from playtrail.llm.substrings import remove_repeats
 from playtrail.llm.tokens import count_tokens
 
@@ -217,3 +220,142 @@ WITH RECURSIVE doc AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+
+#: One more conversation, whose texts look like the template's marks.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op11_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns but the id are computed from the formatted examples."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    found = read_back(format_chats(turns.union(more)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join("losses", "")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(trained).cast("long").alias("loss_chars"),
+        F.sha2(trained, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+ORACLES["op11_format_chats"] = rf"""
+WITH turns AS (
+    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM (SELECT conv_id, turn, role, text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}')
+), sized AS (
+    SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id, alone) AS n,
+           24 + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A'))
+           + length(text) + len(regexp_extract_all(text, '<\\*\|')) AS size
+    FROM turns WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
+), summed AS (
+    SELECT *, sum(size) OVER (PARTITION BY conv_id, alone ORDER BY pos) AS so_far FROM sized
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(so_far) FILTER (role = 'assistant' OR pos = n)::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id, alone
+"""
+
+
+@query
+def op12_audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_audit_filters"] = f"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_SPACED_WORDS.format("coalesce(text, '')")} AS w
+    FROM documents
+), marks AS (
+    SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), failing AS (
+    SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+           CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+           || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN doc.doc_id > min(doc.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+    FROM doc LEFT JOIN marks USING (doc_id)
+), cells AS (
+    SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY ALL
+), orders AS (
+    SELECT '' AS o UNION ALL SELECT o || c FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(o, c)
+), steps AS (
+    SELECT part, o, step, n, good, toxic, fails, substr(o, step, 1) AS f, contains(fails, substr(o, step, 1)) AS here,
+           NOT regexp_matches(fails, '[' || substr(o, 1, step - 1) || '_]') AS alive
+    FROM cells, (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5)
+), summed AS (
+    SELECT part, o AS filter_order, step::INT AS step, f,
+           sum(CASE WHEN alive AND NOT here THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN alive AND here THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN NOT alive AND here THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN alive AND here THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN alive AND here THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM steps GROUP BY ALL
+)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM summed
+"""
+
+
+@query
+def op13_resample_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_resample_to_target"] = f"""
+WITH side AS (
+    SELECT 0 AS target, row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT 1, 0, NULL, text FROM benchmark
+), doc AS (
+    SELECT target, row, doc_id, {_ASCII_WORDS.format(_LOWER.format('text'))} AS w FROM side
+), grams AS (
+    SELECT target, row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+           || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+    FROM doc
+), counted AS (
+    SELECT target, row, g, count(*) AS n FROM grams GROUP BY ALL
+), remainders AS (
+    SELECT list(list_reduce(range(0, 8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b)
+           ORDER BY b) AS t
+    FROM range(256) r(b)
+), coded AS (
+    SELECT g, xor(list_reduce(list_transform(range(0, octet_length(encode(g))), lambda i:
+                  ('0x' || substr(hex(encode(g)), 2 * i::INT + 1, 2))::BIGINT),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT g FROM counted), remainders
+), placed AS (
+    SELECT target, row, bucket, sum(n) AS n FROM counted JOIN coded USING (g) GROUP BY ALL
+), shares AS (
+    SELECT bucket, sum(n) FILTER (target = 0) AS s, sum(n) FILTER (target = 1) AS t FROM placed GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM shares) + 10000)::DOUBLE
+           / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM shares) + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM shares
+), weights AS (
+    SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+    FROM placed JOIN gains USING (bucket) WHERE target = 0 GROUP BY row
+), scored AS (
+    SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+           + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM doc LEFT JOIN weights USING (row) WHERE target = 0
+), ranked AS (
+    SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS place,
+           5 * count(*) FILTER (words >= 20) OVER () // 100 AS wanted
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank FROM ranked
+"""
