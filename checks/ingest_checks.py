@@ -4,14 +4,22 @@ included, and the parser reads those; the SQL states the expected plays."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks.adapters import read
-from checks.registry import check
-from playtrail.plans.rollups import parse_statistics, top_artists_by_plays, value_counts
+from checks.registry import ORACLES, check
+from playtrail.plans import pipeline
+from playtrail.plans.rollups import (
+    PARSE_COUNTS,
+    parse_statistics,
+    top_artists_by_plays,
+    value_counts,
+)
 from playtrail.session import work_folder
+from playtrail.sinks.layout import REJECTS, STATISTICS
 from playtrail.sinks.writers import write_plays
 from playtrail.sources import history
 from playtrail.sources.tables import read_plays
@@ -26,11 +34,12 @@ FILE_NAMES = {
 }
 
 
-def export_files(spark, sf) -> DataFrame:
-    """``(file_source, file_path, text)``: up to 500 events of one type per file.
+def export_elements(spark, sf) -> DataFrame:
+    """``(event_id, event_type, prefix, x)``: each event as the text of an export's element, and
+    the beginning of its file's name.
 
     Every 101st element is a bare number, every 17th lacks names and length, every 19th
-    has them as null.  Some video files are garbage, some podcast files hold an object.
+    has them as null.
     """
     e = read(spark, sf, "events")
     n, us = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
@@ -96,12 +105,17 @@ def export_files(spark, sf) -> DataFrame:
         F.concat(F.lit("{"), spelling, F.right(body, F.length(body) - 1))
     )
     prefix = F.create_map(*[F.lit(x) for pair in FILE_NAMES.items() for x in pair])
-    chunk = F.floor(n / ELEMENTS_PER_FILE)
-    file = F.concat(prefix[F.col("event_type")], F.lit("_"), chunk, F.lit(".json"))
+    return e.select(n, "event_type", prefix[F.col("event_type")].alias("prefix"), element.alias("x"))
+
+
+def export_files(spark, sf) -> DataFrame:
+    """``(file_source, file_path, text)``: up to 500 events of one type per file.  Some video
+    files are garbage, some podcast files hold an object."""
+    chunk = F.floor(F.col("event_id") / ELEMENTS_PER_FILE)
+    file = F.concat("prefix", F.lit("_"), chunk, F.lit(".json"))
     files = (
-        e.select(
-            file.alias("file_source"), chunk.alias("chunk"), "event_type", n, element.alias("x")
-        )
+        export_elements(spark, sf)
+        .select(file.alias("file_source"), chunk.alias("chunk"), "event_type", "event_id", "x")
         .groupBy("file_source", "chunk", "event_type")
         .agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("items"))
     )
@@ -114,6 +128,63 @@ def export_files(spark, sf) -> DataFrame:
     return files.select("file_source", F.col("file_source").alias("file_path"), text.alias("text"))
 
 
+def export_folder(spark, lines: DataFrame) -> str:
+    """A folder with one file for each ``file_source``, of its rows' ``text`` in the order of
+    ``ord``.  Spark writes the files; only their names are set from here."""
+    out = f"{work_folder(spark)}/exports-{uuid.uuid4().hex}"
+    rows = lines.repartition("file_source").sortWithinPartitions("file_source", "ord")
+    rows.select("file_source", "text").write.partitionBy("file_source").text(f"{out}/parts")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.listStatus(path(f"{out}/parts")):
+        _, _, name = folder.getPath().getName().partition("=")
+        if name:
+            (part,) = files.listStatus(folder.getPath())
+            files.rename(part.getPath(), path(f"{out}/{name}"))
+    files.delete(path(f"{out}/parts"), True)
+    return out
+
+
+def whole_files(spark, sf) -> str:
+    """`export_files` as a folder."""
+    return export_folder(spark, export_files(spark, sf).withColumn("ord", F.lit(0)))
+
+
+def _class_files(spark, sf) -> DataFrame:
+    """All elements of a class for one file, in the order of events."""
+    name = F.concat("prefix", F.lit("_all.json"))
+    return export_elements(spark, sf).select(name.alias("file_source"), F.col("event_id").alias("ord"), F.col("x").alias("text"))
+
+
+def array_folder(spark, sf) -> str:
+    """One array for each class, however many events there are."""
+    rows = _class_files(spark, sf)
+    ends = rows.groupBy("file_source").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    at = F.col("ord")
+    framed = F.concat(
+        F.when(at == F.col("first"), "[").otherwise(","), "text", F.when(at == F.col("last"), "]").otherwise("")
+    )
+    return export_folder(spark, rows.join(ends, "file_source").select("file_source", "ord", framed.alias("text")))
+
+
+def line_folder(spark, sf) -> str:
+    """The same elements one a line; every 103rd line is cut short."""
+    text = F.when(F.col("ord") % 103 == 0, F.expr("left(text, 3)")).otherwise(F.col("text"))
+    return export_folder(spark, _class_files(spark, sf).withColumn("text", text))
+
+
+@contextmanager
+def file_ranges(spark, size: int):
+    """Ranges of so many bytes, so that the test tables' files have many."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _garbage():
     return (F.col("event_type") == "signup") & (F.col("chunk") % 4 == 3)
 
@@ -165,6 +236,18 @@ parsed AS (
   FROM readable WHERE event_id % 101 <> 0)"""
 
 
+# The same events in one file for each class, all of them readable.
+CLASS_SOURCE_SQL = SOURCE_SQL.replace("'_' || (event_id // 500) || '.json'", "'_all.json'").replace(
+    """
+    AND NOT (event_type = 'signup' AND chunk % 4 = 3) AND NOT (event_type = 'view' AND chunk % 5 = 4)""", ""
+)
+assert CLASS_SOURCE_SQL.count("_all.json") == 1 and "AND NOT (event" not in CLASS_SOURCE_SQL
+
+
+def _class_sql(select: str) -> str:
+    return f"WITH {CLASS_SOURCE_SQL}\n{select}"
+
+
 def _plays(spark, sf) -> DataFrame:
     return history.parse_history(export_files(spark, sf))
 
@@ -275,7 +358,7 @@ FROM parsed"""
 )
 def parsing_statistics(spark, sf):
     files = export_files(spark, sf)
-    return parse_statistics(history.parse_history(files), files, history.rejected(files))
+    return parse_statistics(history.parsed(history.file_elements(files)), files)
 
 
 @check(
@@ -295,3 +378,94 @@ GROUP BY artist_name ORDER BY n DESC, artist_name LIMIT 10"""
 )
 def parse_profile_artists(spark, sf):
     return top_artists_by_plays(_plays(spark, sf))
+
+
+# --- folders of files --------------------------------------------------------------
+
+
+@check(
+    "discovered_files",
+    _parsed_sql("SELECT DISTINCT file_source, content_type, TRUE AS has_content FROM source"),
+)
+def discovered_files(spark, sf):
+    files = history.discover_files(spark, whole_files(spark, sf))
+    return files.select("file_source", "content_type", (F.col("length") > 0).alias("has_content"))
+
+
+@check(
+    "parse_split_arrays",
+    _class_sql("SELECT * EXCLUDE (event_id), TRUE AS own_id FROM parsed"),
+)
+def parse_split_arrays(spark, sf):
+    """Each class is one array, read in ranges of 16 KB; an id belongs to one play."""
+    with file_ranges(spark, 1 << 14):
+        plays = history.read_history(spark, array_folder(spark, sf), whole_bytes=0)
+    alone = F.count(F.lit(1)).over(Window.partitionBy("play_id")) == 1
+    return plays.withColumn("own_id", alone).drop("play_id")
+
+
+@check(
+    "rejected_split_arrays",
+    _class_sql(
+        """SELECT file_source, row_in_file AS pos, 'element is not an object' AS reason,
+  CAST(event_id AS VARCHAR) AS content
+FROM (SELECT *, row_number() OVER (PARTITION BY file_source ORDER BY event_id) - 1 AS row_in_file
+      FROM readable) WHERE event_id % 101 = 0"""
+    ),
+)
+def rejected_split_arrays(spark, sf):
+    with file_ranges(spark, 1 << 14):
+        return history.rejects_of(history.read_parsed(spark, array_folder(spark, sf), whole_bytes=0))
+
+
+@check(
+    "parse_lines",
+    _class_sql("SELECT * EXCLUDE (event_id) FROM parsed WHERE event_id % 103 <> 0"),
+)
+def parse_lines(spark, sf):
+    return history.read_history_lines(spark, line_folder(spark, sf)).drop("play_id")
+
+
+@check(
+    "rejected_lines",
+    _class_sql(
+        """SELECT file_source, CAST(NULL AS BIGINT) AS pos,
+  CASE WHEN event_id % 101 = 0 THEN 'element is not an object' ELSE 'unreadable line' END AS reason,
+  CASE WHEN event_id % 101 <> 0 THEN '{"t' WHEN event_id % 103 = 0 THEN left(event_id::VARCHAR, 3)
+    ELSE event_id::VARCHAR END AS content
+FROM readable WHERE event_id % 101 = 0 OR event_id % 103 = 0"""
+    ),
+)
+def rejected_lines(spark, sf):
+    """What is left of a cut line begins like a time or, where there is none, like a name."""
+    found = history.rejected_lines(spark, line_folder(spark, sf))
+    content = F.when(F.col("reason") == "unreadable line", '{"t').otherwise(F.col("content"))
+    return found.withColumn("content", content)
+
+
+@check("pipeline_parse", _parsed_sql("SELECT * EXCLUDE (event_id) FROM parsed"))
+def pipeline_parse(spark, sf):
+    """The parse stage on a folder of files: its stored plays."""
+    return pipeline.parse(spark, whole_files(spark, sf), _out(spark)).drop("play_id")
+
+
+@check(
+    "pipeline_parse_rejects",
+    f"SELECT * REPLACE (CAST(pos AS BIGINT) AS pos) FROM ({ORACLES['rejected_elements']})",
+)
+def pipeline_parse_rejects(spark, sf):
+    out = _out(spark)
+    pipeline.parse(spark, whole_files(spark, sf), out)
+    return spark.read.parquet(f"{out}/{REJECTS}.parquet")
+
+
+@check("pipeline_parse_statistics", ORACLES["parse_statistics"])
+def pipeline_parse_statistics(spark, sf):
+    """Counts observed while the parsed elements were written."""
+    out = _out(spark)
+    pipeline.parse(spark, whole_files(spark, sf), out)
+    return spark.read.schema(f"total_files bigint, {PARSE_COUNTS}").json(f"{out}/{STATISTICS}")
+
+
+def _out(spark) -> str:
+    return f"{work_folder(spark)}/parse-{uuid.uuid4().hex}"

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from playtrail.operators.cleaning import fill_missing
 from playtrail.operators.joins import join_audio_features
@@ -24,11 +25,10 @@ from playtrail.sinks import writers
 from playtrail.sinks.layout import REJECTS
 from playtrail.sources.history import (
     discover_files,
-    read_history,
-    read_history_lines,
-    read_history_texts,
-    rejected,
-    rejected_lines,
+    plays_of,
+    read_parsed,
+    read_parsed_lines,
+    rejects_of,
 )
 from playtrail.sources.tables import read_plays
 
@@ -45,18 +45,22 @@ def parse(
 ) -> DataFrame:
     """Exports -> parsed plays table, rejects and parse statistics.
 
-    ``lines``: files hold one object per line and are split over tasks.  ``report=False``
-    leaves out rejects and statistics, which take a second pass over the exports.
+    The exports are parsed once: every element is stored with the reason why it is no play,
+    if it is none; plays and rejects are filters of that table, and the statistics are
+    observed while it is written.  ``lines``: files hold one object per line.
+    ``report=False`` leaves out rejects and statistics.
     """
     prepare(spark)
-    read = read_history_lines if lines else read_history
-    plays = read_plays(spark, writers.write_plays(read(spark, raw, bad_ts_value), out))
+    read = read_parsed_lines if lines else read_parsed
+    observed = Observation("parsed elements")
+    elements = read(spark, raw, bad_ts_value).observe(observed, *rollups.parse_counts())
+    stored = materialize(elements, "parsed_elements")
+    plays = read_plays(spark, writers.write_plays(plays_of(stored), out))
     if report:
-        rejects = rejected_lines(spark, raw) if lines else rejected(read_history_texts(spark, raw))
-        path = writers.write_table(rejects, out, REJECTS)
-        stored = spark.read.schema(rejects.schema).parquet(path)
-        statistics = rollups.parse_statistics(plays, discover_files(spark, raw), stored)
-        writers.write_statistics(statistics, out)
+        writers.write_table(rejects_of(stored), out, REJECTS)
+        counts = spark.createDataFrame([observed.get], rollups.PARSE_COUNTS)
+        files = discover_files(spark, raw, "*.json*" if lines else "*.json").agg(F.count(F.lit(1))).scalar()
+        writers.write_statistics(counts.withColumn("total_files", files), out)
     return plays
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.functions.binning import derive
@@ -122,17 +122,6 @@ def time_stats(plays: DataFrame) -> DataFrame:
     return rollup(plays, ["time_of_day", "content_type"], means=AUDIO_MEANS, dense="time_of_day")
 
 
-def aggregated_metrics(plays: DataFrame) -> dict[str, DataFrame]:
-    """The five named rollups."""
-    return {
-        "daily_stats": daily_stats(plays),
-        "weekly_stats": weekly_stats(plays),
-        "monthly_stats": monthly_stats(plays),
-        "artist_stats": artist_stats(plays),
-        "time_stats": time_stats(plays),
-    }
-
-
 # --- summary document -------------------------------------------------------------
 
 
@@ -222,21 +211,32 @@ def summary_document(plays: DataFrame, sessions: DataFrame, cube: DataFrame) ->
 # --- parse statistics -------------------------------------------------------------
 
 
-def parse_statistics(plays: DataFrame, files: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Files seen, rows per class, errors and the covered time range."""
-    file_count = files.agg(F.count(F.lit(1))).scalar()
-    errors = rejects.agg(F.count(F.lit(1))).scalar()
+PARSE_COUNTS = (
+    "total_records bigint, music_records bigint, podcast_records bigint, audiobook_records bigint, "
+    "video_records bigint, start timestamp, end timestamp, errors bigint"
+)
+
+
+def parse_counts() -> list[Column]:
+    """Aggregates over parsed elements: plays by class, the time they cover, and rejects."""
+    play = F.col("reason").isNull()
     per_class = [
-        F.count_if(F.col("content_type") == kind).alias(f"{kind}_records")
+        F.count_if(play & (F.col("content_type") == kind)).alias(f"{kind}_records")
         for kind in ("music", "podcast", "audiobook", "video")
     ]
-    counted = plays.agg(
-        F.count(F.lit(1)).alias("total_records"),
+    return [
+        F.count_if(play).alias("total_records"),
         *per_class,
-        F.min("timestamp").alias("start"),
-        F.max("timestamp").alias("end"),
-    )
-    return counted.withColumns({"total_files": file_count, "errors": errors})
+        F.min(F.when(play, F.col("timestamp"))).alias("start"),
+        F.max(F.when(play, F.col("timestamp"))).alias("end"),
+        F.count_if(~play).alias("errors"),
+    ]
+
+
+def parse_statistics(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """Files seen, rows per class, errors and the covered time range, from parsed elements."""
+    file_count = files.agg(F.count(F.lit(1))).scalar()
+    return elements.agg(*parse_counts()).withColumn("total_files", file_count)
 
 
 def top_artists_by_plays(plays: DataFrame, n: int = 10) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from playtrail.sinks.layout import ENRICHED, INSIGHTS, PARSED, STATISTICS, SUMMARY
 
+#: Spark writes milliseconds unless told otherwise.
+_STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def write_plays(plays: DataFrame, path: str) -> str:
     """Parsed plays, one directory per content type."""
@@ -39,14 +42,14 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
 def write_summary(summary: DataFrame, path: str) -> str:
     """The one-row summary document."""
     target = f"{path}/{SUMMARY}"
-    summary.write.mode("overwrite").json(target)
+    summary.write.mode("overwrite").options(**_STAMPS).json(target)
     return target
 
 
 def write_statistics(statistics: DataFrame, path: str) -> str:
     """The one-row parse statistics."""
     target = f"{path}/{STATISTICS}"
-    statistics.write.mode("overwrite").json(target)
+    statistics.write.mode("overwrite").options(**_STAMPS).json(target)
     return target
 
 
@@ -54,12 +57,12 @@ def write_results(results: dict[str, dict[str, DataFrame]], path: str) -> None:
     """Every table of every analysis as ``{analysis}_results.json/{table}``, machine readable."""
     for analysis, tables in results.items():
         for name, table in tables.items():
-            table.write.mode("overwrite").json(f"{path}/{analysis}_results.json/{name}")
+            table.write.mode("overwrite").options(**_STAMPS).json(f"{path}/{analysis}_results.json/{name}")
 
 
 def write_insights(insights: DataFrame, path: str) -> str:
     target = f"{path}/{INSIGHTS}"
-    insights.coalesce(1).write.mode("overwrite").json(target)
+    insights.coalesce(1).write.mode("overwrite").options(**_STAMPS).json(target)
     return target
 
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from playtrail.functions.timestamps import add_parsed_timestamp
 from playtrail.schema import PLAYS_SCHEMA
+from playtrail.sources.arrays import split_elements
+
+#: Text bytes of a file that one task reads whole.
+WHOLE_BYTES = 64 << 20
 
 # Substring of the lower-cased file name -> class, first match wins.
 FILE_CLASSES = {
@@ -106,13 +110,13 @@ def _or_empty(spark: SparkSession, load, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def discover_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_source, file_path, length, content_type)`` of the ``*.json`` files in a
+def discover_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """``(file_source, file_path, length, content_type)`` of the export files in a
     directory, without reading their content; 'other' files are listed but never parsed.
     Spark does not show files of zero bytes, so they are neither listed nor rejected."""
 
     def load() -> DataFrame:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
         name = F.element_at(F.split("path", "/"), -1)
         return files.select(
             F.url_decode(name).alias("file_source"), F.col("path").alias("file_path"), "length"
@@ -123,11 +127,13 @@ def discover_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumn("content_type", file_class(F.col("file_source")))
 
 
-def read_history_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``*.json`` file with its whole text."""
+def read_history_texts(spark: SparkSession, path: str, at_most: int | None = None) -> DataFrame:
+    """One row per ``*.json`` file with its whole text; ``at_most``: files of so many bytes."""
 
     def load() -> DataFrame:
         files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+        if at_most is not None:
+            files = files.where(F.col("_metadata.file_size") <= at_most)
         return files.select(
             F.col("_metadata.file_name").alias("file_source"),
             F.col("_metadata.file_path").alias("file_path"),
@@ -142,13 +148,46 @@ def _classified(files: DataFrame) -> DataFrame:
     return files.withColumn("content_type", kind).filter(F.col("content_type") != "other")
 
 
-def _elements(files: DataFrame) -> DataFrame:
-    """One row per array element; a file that is no array contributes none."""
-    items = F.from_json("text", "array<variant>")
-    exploded = _classified(files).select(
-        "content_type", "file_source", "file_path", F.posexplode(items).alias("pos", "item")
+def file_elements(files: DataFrame) -> DataFrame:
+    """One row per array element, and one with a ``reason`` for a file that cannot be read; a
+    readable file that is no array contributes none."""
+    read = _classified(files).select(
+        "content_type", "file_source", "file_path", "text", F.from_json("text", "array<variant>").alias("items")
+    )
+    # Only what is no array is parsed again.
+    broken = F.when(F.col("items").isNull(), F.try_parse_json("text").isNull())
+    exploded = read.select(
+        "content_type", "file_source", "file_path", broken.alias("broken"), F.posexplode_outer("items").alias("pos", "item")
+    )
+    return exploded.where("pos IS NOT NULL OR broken").select(
+        F.xxhash64("file_path", "pos").alias("play_id"),
+        "content_type",
+        "file_source",
+        "pos",
+        "item",
+        F.when(F.col("broken"), "unreadable file").alias("reason"),
+        F.lit(None).cast("string").alias("line"),
+    )
+
+
+def _array_elements(spark: SparkSession, path: str, more_than: int) -> DataFrame:
+    """The same of files of more than so many bytes, each read by many tasks.
+
+    An element that cannot be read, or text around the array, costs no other element."""
+    found = _classified(split_elements(spark, path, more_than))
+    small = F.col("pos") <= 2**31 - 1
+    play_id = F.when(small, F.xxhash64("file_path", F.col("pos").cast("int"))).otherwise(F.xxhash64("file_path", "pos"))
+    item = F.when(F.col("pos").isNotNull(), F.try_parse_json("text"))
+    reason = F.when(F.col("pos").isNull(), F.col("text")).when(F.col("item").isNull(), "unreadable element")
+    return found.withColumn("item", item).select(
+        play_id.alias("play_id"),
+        "content_type",
+        "file_source",
+        "pos",
+        "item",
+        reason.alias("reason"),
+        F.when(reason == "unreadable element", F.col("text")).alias("line"),
     )
-    return exploded.withColumn("play_id", F.xxhash64("file_path", "pos"))
 
 
 def _record_type() -> str:
@@ -182,20 +221,20 @@ def _by_class(text) -> str:
     return f"CASE content_type {steps} END"
 
 
-def plays_from_elements(elements: DataFrame, bad_ts_value: Column | None = None) -> DataFrame:
-    """Typed plays plus ``ts_status`` from rows ``(play_id, content_type, file_source, item)``.
+def parsed(elements: DataFrame, bad_ts_value: Column | None = None) -> DataFrame:
+    """All elements, taken apart by a single cast to a struct: typed plays plus ``ts_status``,
+    and ``pos``, ``reason`` and ``content`` of those that are no play (null reason: a play).
 
-    Each element is taken apart by a single cast to a struct; what is no object casts to
-    null and is left to `rejected`.  A timestamp that is missing or unreadable becomes
-    null, or ``bad_ts_value``.
+    From rows ``(play_id, content_type, file_source, pos, item, reason, line)``.  A timestamp
+    that is missing or unreadable becomes null, or ``bad_ts_value``.
     """
 
     def or_default(field: str, default: str) -> str:
         return f"IF(r.{field} IS NULL, '{default}', {_text(field)})"
 
     records = elements.select(
-        "play_id", "content_type", "file_source", _record().alias("r")
-    ).filter("r IS NOT NULL")
+        "play_id", "content_type", "file_source", "pos", "item", "reason", "line", _record().alias("r")
+    )
     timed = add_parsed_timestamp(records, "r.ts", "timestamp", "ts_status")
     timed = add_parsed_timestamp(timed, "r.offline_timestamp", "offline_timestamp", "__offline")
     if bad_ts_value is not None:
@@ -210,22 +249,36 @@ def plays_from_elements(elements: DataFrame, bad_ts_value: Column | None = None)
         **{column: f"r.{field}" for column, field in COMMON_FIELDS.items()},
         **{flag: f"r.{flag}" for flag in COMMON_FLAGS},
     }
+    reason = "coalesce(reason, IF(r IS NULL, 'element is not an object', NULL))"
     return timed.selectExpr(
         *[
             f"CAST({columns.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in PLAYS_SCHEMA
         ],
         "ts_status",
+        "pos",
+        f"{reason} AS reason",
+        f"IF({reason} IS NULL, NULL, coalesce(line, to_json(item))) AS content",
     )
 
 
+def plays_of(elements: DataFrame) -> DataFrame:
+    """The plays among rows of `parsed`."""
+    return elements.filter("reason IS NULL").drop("pos", "reason", "content")
+
+
+def rejects_of(elements: DataFrame) -> DataFrame:
+    """What of the rows of `parsed` is no play: ``(file_source, pos, reason, content)``."""
+    return elements.filter("reason IS NOT NULL").select("file_source", "pos", "reason", "content")
+
+
 def _record() -> Column:
     return F.try_variant_get("item", "$", RECORD_TYPE)
 
 
 def parse_history(files: DataFrame, bad_ts_value: Column | None = None) -> DataFrame:
     """Plays of all classes from rows ``(file_source, file_path, text)``, in one pass."""
-    return plays_from_elements(_elements(files), bad_ts_value)
+    return plays_of(parsed(file_elements(files), bad_ts_value))
 
 
 def rejected(files: DataFrame) -> DataFrame:
@@ -235,35 +288,28 @@ def rejected(files: DataFrame) -> DataFrame:
     one reject.  A readable file whose top level is no array has neither rows nor
     rejects.
     """
-    readable = F.from_json("text", "array<variant>").isNotNull() | (
-        F.try_parse_json("text").isNotNull()
-    )
-    broken = (
-        _classified(files)
-        .filter(~readable)
-        .selectExpr(
-            "file_source",
-            "CAST(NULL AS INT) AS pos",
-            "'unreadable file' AS reason",
-            "CAST(NULL AS STRING) AS content",
-        )
-    )
-    odd = (
-        _elements(files)
-        .filter(_record().isNull())
-        .selectExpr(
-            "file_source",
-            "pos",
-            "'element is not an object' AS reason",
-            "to_json(item) AS content",
-        )
-    )
-    return broken.union(odd)
+    return rejects_of(parsed(file_elements(files)))
 
 
-def read_history(spark: SparkSession, path: str, bad_ts_value: Column | None = None) -> DataFrame:
-    """Plays from a directory of exports.  A file is read whole by one task."""
-    return parse_history(read_history_texts(spark, path), bad_ts_value)
+def read_parsed(
+    spark: SparkSession, path: str, bad_ts_value: Column | None = None, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """`parsed` elements of a directory of exports.
+
+    Files of more than ``whole_bytes`` are read by many tasks each, see `split_elements`: of an
+    unreadable one, the readable elements stay, and what is no array at all is a reject."""
+    small = parsed(file_elements(read_history_texts(spark, path, whole_bytes)), bad_ts_value)
+    small = small.withColumn("pos", F.col("pos").cast("long"))
+    if discover_files(spark, path).where(F.col("length") > whole_bytes).isEmpty():
+        return small
+    return small.unionByName(parsed(_array_elements(spark, path, whole_bytes), bad_ts_value))
+
+
+def read_history(
+    spark: SparkSession, path: str, bad_ts_value: Column | None = None, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """Plays from a directory of exports, of any size."""
+    return plays_of(read_parsed(spark, path, bad_ts_value, whole_bytes))
 
 
 def line_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -271,7 +317,7 @@ def line_elements(spark: SparkSession, path: str) -> DataFrame:
     over tasks.  An id is the hash of file and line, so it is the same on every reading;
     equal lines of a file share it, which sessions and joins bear."""
     lines = spark.read.text(path, pathGlobFilter="*.json*").filter("trim(value) != ''")
-    return _classified(
+    classified = _classified(
         lines.select(
             F.col("_metadata.file_name").alias("file_source"),
             F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("play_id"),
@@ -279,25 +325,24 @@ def line_elements(spark: SparkSession, path: str) -> DataFrame:
             F.try_parse_json("value").alias("item"),
         )
     )
+    reason = F.when(F.col("item").isNull(), "unreadable line")
+    return classified.withColumns({"pos": F.lit(None).cast("long"), "reason": reason})
+
+
+def read_parsed_lines(
+    spark: SparkSession, path: str, bad_ts_value: Column | None = None
+) -> DataFrame:
+    """`parsed` lines of a directory."""
+    return parsed(line_elements(spark, path), bad_ts_value)
 
 
 def read_history_lines(
     spark: SparkSession, path: str, bad_ts_value: Column | None = None
 ) -> DataFrame:
     """Plays from files with one JSON object per line; `rejected_lines` has the rest."""
-    return plays_from_elements(line_elements(spark, path), bad_ts_value)
+    return plays_of(read_parsed_lines(spark, path, bad_ts_value))
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are no play, in the form of `rejected`."""
-    reason = F.when(F.col("item").isNull(), "unreadable line").otherwise("element is not an object")
-    return (
-        line_elements(spark, path)
-        .filter(_record().isNull())
-        .select(
-            "file_source",
-            F.lit(None).cast("int").alias("pos"),
-            reason.alias("reason"),
-            F.col("line").alias("content"),
-        )
-    )
+    return rejects_of(read_parsed_lines(spark, path))
