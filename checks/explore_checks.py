@@ -367,7 +367,10 @@ FROM (SELECT {column}, count(*) AS n FROM orders_rows GROUP BY {column})"""
         *O,
         """facts AS (SELECT CAST(sum(ms_played) AS DOUBLE) / 3600000 AS h, count(*) AS n,
                   count(DISTINCT artist_name) AS a FROM orders_rows)""",
-        select=f"""SELECT 1 AS section_ord, 0 AS ord, 'BASIC STATISTICS:' AS line
+        select=f"""SELECT 0 AS section_ord, 0 AS ord, 'Play history report' AS line
+UNION ALL SELECT 0, 1, repeat('=', 19)
+UNION ALL SELECT unnest([1, 2, 3, 4]), -1, ''
+UNION ALL SELECT 1 AS section_ord, 0 AS ord, 'BASIC STATISTICS:' AS line
 UNION ALL SELECT 1, 1, format('- Total Listening Hours: {{:.1f}}', h) FROM facts
 UNION ALL SELECT 1, 2, format('- Total Tracks Played: {{:,}}', n) FROM facts
 UNION ALL SELECT 1, 3, format('- Unique Artists: {{:,}}', a) FROM facts

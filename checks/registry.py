@@ -27,7 +27,9 @@ DATED = {
     "filter_plays": ("date",),
     "filter_options": ("min_date", "max_date"),
     "sink_enriched_plays": ("date",),
+    "sink_enriched_filtered": ("date",),
     "sink_results": ("date",),
+    "pipeline_run": ("date",),
 }
 
 

@@ -146,9 +146,6 @@ def clean_constants(spark, sf):
     )
 
 
-MEDIANS_SQL = ",\n  ".join(f"(SELECT median({c}) FROM j) AS {c}" for c in FEATURES)
-
-
 @check(
     "feature_medians",
     with_sql(
@@ -182,6 +179,32 @@ def clean_medians(spark, sf):
     return cleaning.fill_medians(joined).select("play_id", *FEATURES)
 
 
+@check(
+    "clean_other_columns",
+    with_sql(
+        EVENTS_SQL,
+        """gaps AS (SELECT play_id,
+  CASE WHEN play_id % 3 <> 0 THEN 'agent ' || (play_id % 5) END AS user_agent,
+  CASE WHEN play_id % 7 <> 0 THEN '10.0.0.' || (play_id % 9) END AS ip_address,
+  CASE WHEN play_id % 4 <> 0 THEN CAST(3 + play_id % 3 AS INTEGER) END AS time_signature,
+  CASE WHEN play_id % 5 <> 0 THEN -(play_id % 37) / 2.0::DOUBLE END AS loudness FROM plays_events)""",
+        select="""SELECT play_id, coalesce(user_agent, 'Unknown') AS user_agent,
+  coalesce(ip_address, 'Unknown') AS ip_address, coalesce(time_signature, -1) AS time_signature,
+  coalesce(loudness, (SELECT median(loudness) FROM gaps)) AS loudness FROM gaps""",
+    ),
+)
+def clean_other_columns(spark, sf):
+    """The columns that the test tables' plays and features lack."""
+    plays = plays_from_events(spark, sf).selectExpr(
+        "play_id",
+        "IF(play_id % 3 != 0, concat('agent ', play_id % 5), NULL) AS user_agent",
+        "IF(play_id % 7 != 0, concat('10.0.0.', play_id % 9), NULL) AS ip_address",
+        "IF(play_id % 4 != 0, CAST(3 + play_id % 3 AS INT), NULL) AS time_signature",
+        "IF(play_id % 5 != 0, -(play_id % 37) / 2D, NULL) AS loudness",
+    )
+    return cleaning.fill_missing(plays)
+
+
 # --- derived columns --------------------------------------------------------------
 
 

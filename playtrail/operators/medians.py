@@ -33,7 +33,8 @@ def exact_median(
     """One row per key with the exact median (mean of the two middle values).
 
     The keys must come from closed domains, whose number of values does not grow with the
-    data: the values inside a group's bracket are ranked by one task.
+    data: the brackets of all groups are one value, and the values inside a group's bracket
+    are ranked by one task.
     """
     if not set(keys) <= CLOSED_DOMAINS:
         raise ValueError(f"median keys must be among {sorted(CLOSED_DOMAINS)}")
@@ -60,7 +61,12 @@ def column_medians(
         *[F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy).alias(v) for v in values]
     )
     if keys:
-        bounded = rows.join(rows.groupBy(*keys).agg(sketches.alias("__b")), keys)
+        # One scalar map of all groups' brackets: no row moves to learn its own.
+        rows = rows.dropna(subset=keys)
+        group = F.concat_ws("\0", *keys)
+        brackets = rows.groupBy(group.alias("__g")).agg(sketches.alias("__b"))
+        by_group = brackets.agg(F.map_from_entries(F.collect_list(F.struct("__g", "__b")))).scalar()
+        bounded = rows.withColumn("__all", by_group).withColumn("__b", F.col("__all")[group]).drop("__all")
     else:
         bounded = rows.withColumn("__b", rows.agg(sketches).scalar())
 

@@ -8,7 +8,7 @@ the category domains only; the name cube grows with the albums heard per day.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,8 @@ MEASURES = {
 }
 
 
-def _parts(mean_columns: Sequence[str]) -> list[Column]:
-    texts = [f"{text} AS {name}" for name, text in MEASURES.items()]
+def _parts(mean_columns: Sequence[str], measures: Iterable[str] = MEASURES) -> list[Column]:
+    texts = [f"{MEASURES[name]} AS {name}" for name in measures]
     texts += [f"sum({c}) AS {c}__sum" for c in mean_columns]
     texts += [f"count({c}) AS {c}__n" for c in mean_columns]
     return [F.expr(text) for text in texts]
@@ -87,10 +87,13 @@ def rollup(
 
     Rows with a null key are left out.  ``distinct`` maps output name to the column(s)
     whose distinct values are counted (exactly; Spark dedupes map-side, then by value,
-    so one large group is spread over tasks).  ``dense`` names the ordered category
+    so one large group is spread over tasks; several columns are counted on distinct
+    combinations, not on plays).  ``dense`` names the ordered category
     among the keys whose empty cells are to be reported.
     """
     distinct = distinct or {}
+    if len(distinct) > 1 and not is_cube(df):
+        df = _cells(df, keys, measures, means, distinct.values())
     cells = (
         df.dropna(subset=list(keys))
         .groupBy(*keys)
@@ -106,6 +109,22 @@ def rollup(
     return add_rates(cells)
 
 
+def _cells(
+    plays: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[str],
+    means: Sequence[str],
+    distinct: Iterable[str | tuple[str, ...]],
+) -> DataFrame:
+    """A cube just for one rollup: counting several columns' distinct values multiplies its
+    input, so that had better be distinct combinations than plays."""
+    counted = [c for d in distinct for c in ([d] if isinstance(d, str) else d)]
+    grain = list(dict.fromkeys([*keys, *counted]))
+    parts = _parts(means, measures)
+    mark = [] if EFFICIENCY in means else [F.count(F.lit(1)).alias(_CUBE_MARK)]
+    return plays.dropna(subset=list(keys)).groupBy(*grain).agg(*parts, *mark)
+
+
 def add_rates(df: DataFrame) -> DataFrame:
     present, extra = set(df.columns), {}
     if "ms_played" in present:

@@ -16,9 +16,12 @@ Session-level results need only steps 1 and 2.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from playtrail.functions.nulls import minutes, truthy
 from playtrail.operators.joins import spread_left_join
@@ -134,6 +137,18 @@ def instant_gaps(plays: DataFrame, params: PlayParams, index: DataFrame) -> Data
     )
 
 
+def _never_null(df: DataFrame, columns: Sequence[str]) -> tuple[list[Column], list[str]]:
+    """For each column its value, of some kind where it is null, and whether it is null."""
+    out, names = [], []
+    for k, name in enumerate(columns):
+        value, kind = F.col(name), df.schema[name].dataType
+        plain = value if isinstance(kind, NumericType) else value.cast("string")
+        filled = F.coalesce(plain, F.lit(0).cast(kind) if isinstance(kind, NumericType) else F.lit(""))
+        out += [filled.alias(f"__same{k}"), value.isNull().alias(f"__null{k}")]
+        names += [f"__same{k}", f"__null{k}"]
+    return out, names
+
+
 def add_session_features(
     plays: DataFrame, params: PlayParams = DEFAULTS, index: DataFrame | None = None
 ) -> DataFrame:
@@ -157,20 +172,22 @@ def add_session_features(
     placed = spread_left_join(
         placed, gaps, [*keys, "us", "play_id"], null_safe=[*keys, "play_id"]
     )
-    # One text for all that may be null: equal rows meet, and stay together for numbering.
-    identity = F.to_json(F.struct(*keys, "play_id")).alias("__identity")
-    us = F.coalesce(F.unix_micros(ts), F.xxhash64("play_id")).alias("__us")
-    wide = plays.select("*", identity, us, ts.isNull().alias("__untimed"))
+    # Keys that may be null, as pairs of columns that are not: equal rows meet in the join, and
+    # stay together for numbering.  A row without instant gets a number of its own instead.
+    same = [*keys, "play_id"]
+    own, names = _never_null(plays, same)
+    us = F.coalesce(F.unix_micros(ts), F.monotonically_increasing_id()).alias("__us")
+    wide = plays.select("*", *own, us, ts.isNull().alias("__untimed"))
     added = [c for c in found.columns if c not in (*keys, SLOT)]
     narrow_side = placed.select(
-        identity,
+        *_never_null(placed, same)[0],
         F.col("us").alias("__us"),
         F.lit(False).alias("__untimed"),
         "opens_instant",
         "gap_us",
         *added,
     )
-    on = ["__identity", "__us", "__untimed"]
+    on = [*names, "__us", "__untimed"]
     joined = wide.join(narrow_side, on, "left")
     twin = F.row_number().over(W.partitionBy(*on).orderBy(F.lit(0)))
     opens = truthy(F.col("opens_instant")) & (F.col("__twin") == 1)

@@ -27,8 +27,8 @@ class PlayParams:
     # rows of a group survive into the final ranking step.
     median_accuracy: int = 100_000
 
-    # k-means is only repeatable for a fixed layout: training rows per partition.
-    cluster_partition_rows: int = 1_000_000
+    # Rounds of k-means after which centres that still move are taken as they are.
+    cluster_rounds: int = 100
 
     @property
     def session_key(self) -> tuple[str, ...]:

@@ -17,6 +17,7 @@ from playtrail.functions.temporal import weekday_name
 from playtrail.operators.histogram import histogram
 from playtrail.operators.ranking import top_rows
 from playtrail.operators.rollup import EFFICIENCY, mean, measure, rollup, totals
+from playtrail.plans import texts
 from playtrail.plans.rollups import value_counts
 
 ALL = "All"
@@ -202,29 +203,30 @@ def favorite_season(plays: DataFrame) -> DataFrame:
 def key_insight_lines(cube: DataFrame, names: DataFrame) -> DataFrame:
     """Five headline sentences as ``(ord, line)``."""
     summed = cube.agg(measure(cube, "ms_played"), mean(cube, EFFICIENCY)).selectExpr(
-        "stack(2, 1, format_string('Total Listening Time: %.1f hours', ms_played / 3600000),"
-        " 5, format_string('Average Listening Efficiency: %.1f%%', listening_efficiency * 100))"
+        f"stack(2, 1, format_string('{texts.HEADLINE_TIME}', ms_played / 3600000),"
+        f" 5, format_string('{texts.HEADLINE_EFFICIENCY}', listening_efficiency * 100))"
         " AS (ord, line)"
     )
     best = top_artist(names).selectExpr(
-        "2", "format_string('Top Artist: %s (%.1f hours)', artist_name, listening_hours)"
+        "2", f"format_string('{texts.HEADLINE_ARTIST}', artist_name, listening_hours)"
     )
-    time = peak_time(cube).selectExpr("3", "concat('Peak Listening Time: ', time_of_day)")
-    season = favorite_season(cube).selectExpr("4", "concat('Favorite Season: ', season)")
+    time = peak_time(cube).selectExpr("3", f"format_string('{texts.HEADLINE_PEAK}', time_of_day)")
+    season = favorite_season(cube).selectExpr("4", f"format_string('{texts.HEADLINE_SEASON}', season)")
     return summed.union(best).union(time).union(season)
 
 
 def summary_report(plays: DataFrame, top: int = 5) -> DataFrame:
-    """The text report as ``(section_ord, ord, line)``: totals, shares, top artists.
+    """The text report as ``(section_ord, ord, line)``: title, totals, shares, top artists, an
+    empty line before each of these.
 
     Shares divide small grouped counts by their own sum; nothing per play is ordered.
     """
     summed = totals(plays, ["ms_played", "n_rows"], distinct={"unique_artists": "artist_name"})
     basics = F.array(
-        F.lit("BASIC STATISTICS:"),
-        F.format_string("- Total Listening Hours: %.1f", hours(F.col("ms_played"))),
-        F.format_string("- Total Tracks Played: %,d", "n_rows"),
-        F.format_string("- Unique Artists: %,d", "unique_artists"),
+        F.lit(texts.BASICS),
+        F.format_string(texts.BASIC_HOURS, hours(F.col("ms_played"))),
+        F.format_string(texts.BASIC_TRACKS, "n_rows"),
+        F.format_string(texts.BASIC_ARTISTS, "unique_artists"),
     )
     sections = [
         summed.select(F.lit(1).alias("section_ord"), F.posexplode(basics).alias("ord", "line"))
@@ -250,11 +252,11 @@ def summary_report(plays: DataFrame, top: int = 5) -> DataFrame:
         def line(entry):
             count = -entry["neg"]
             percent = ratio(count, F.col("total")) * 100
-            return F.format_string("- %s: %,d tracks (%.1f%%)", entry["name"], count, percent)
+            return F.format_string(texts.SHARE, entry["name"], count, percent)
 
         return numbered(packed, section, title, line)
 
-    sections.append(shares("content_type", 2, "CONTENT TYPE BREAKDOWN:"))
+    sections.append(shares("content_type", 2, texts.TYPES))
 
     artists = rollup(plays, ["artist_name"], ["ms_played"])
     best = top_rows(artists, "ms_played", top, ["artist_name"])
@@ -269,20 +271,22 @@ def summary_report(plays: DataFrame, top: int = 5) -> DataFrame:
         F.lit(3),
         F.posexplode(
             F.concat(
-                F.array(F.lit(f"TOP {top} ARTISTS:")),
+                F.array(F.lit(texts.TOP_ARTISTS.format(n=top))),
                 F.transform(
                     F.col("entries"),
                     lambda e, i: F.format_string(
-                        "%d. %s: %.1f hours", i + 1, e["name"], hours(-e["neg"])
+                        texts.RANKED_ARTIST, i + 1, e["name"], hours(-e["neg"])
                     ),
                 ),
             )
         ),
     )
     sections.append(heading)
-    sections.append(shares("platform_category", 4, "PLATFORM USAGE:"))
+    sections.append(shares("platform_category", 4, texts.PLATFORMS))
 
-    out = sections[0]
-    for section in sections[1:]:
+    layout = [(0, k, line) for k, line in enumerate(texts.TITLE)]
+    layout += [(k, -1, "") for k in range(1, len(sections) + 1)]
+    out = plays.sparkSession.createDataFrame(layout, "section_ord int, ord int, line string")
+    for section in sections:
         out = out.union(section)
     return out

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playtrail.plans import texts
+
 INSIGHTS_SCHEMA = "category string, ord int, insight string"
 
 
@@ -19,10 +21,10 @@ def _lines(source: DataFrame, category: str, first: int, *texts: Column) -> Data
 def temporal_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
     category = "temporal_insights"
     day = F.format_string(
-        "Peak listening day: %d with %.1f hours", "day_of_week", "listening_hours"
+        texts.PEAK_DAY, "day_of_week", "listening_hours"
     )
-    season = F.format_string("Favorite listening season: %s", "season")
-    time = F.format_string("Peak listening time: %s", "time_of_day")
+    season = F.format_string(texts.FAVORITE_SEASON, "season")
+    time = F.format_string(texts.PEAK_TIME, "time_of_day")
     return [
         _lines(results["peak_day"], category, 1, day),
         _lines(results["favorite_season"], category, 2, season),
@@ -33,9 +35,9 @@ def temporal_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
 def session_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
     category = "session_insights"
     length = F.format_string(
-        "Average session duration: %.1f minutes", "average_session_duration"
+        texts.SESSION_LENGTH, "average_session_duration"
     )
-    binges = F.format_string("Binge listening sessions: %d (%.1f%%)", "count", "percentage")
+    binges = F.format_string(texts.BINGES, "count", "percentage")
     return [
         _lines(results["session_totals"], category, 1, length),
         _lines(results["binge_sessions"], category, 2, binges),
@@ -43,15 +45,15 @@ def session_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
 
 
 def platform_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
-    text = F.format_string("Most used platform: %s", "platform_category")
+    text = F.format_string(texts.TOP_PLATFORM, "platform_category")
     return [_lines(results["most_used_platform"], "platform_insights", 1, text)]
 
 
 def efficiency_insights(results: dict[str, DataFrame]) -> list[DataFrame]:
     efficiency = F.format_string(
-        "Overall listening efficiency: %.1f%%", F.col("overall_efficiency") * 100
+        texts.EFFICIENCY, F.col("overall_efficiency") * 100
     )
-    skips = F.format_string("Overall skip rate: %.1f%%", F.col("overall_skip_rate") * 100)
+    skips = F.format_string(texts.SKIP_RATE, F.col("overall_skip_rate") * 100)
     return [_lines(results["overall"], "efficiency_insights", 1, efficiency, skips)]
 
 

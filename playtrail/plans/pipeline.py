@@ -7,6 +7,8 @@ rollups (plays, names, session days, sessions), and for the exact medians.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -23,6 +25,7 @@ from playtrail.plans.enrich import create_derived_metrics
 from playtrail.session import materialize, prepare
 from playtrail.sinks import writers
 from playtrail.sinks.layout import REJECTS
+from playtrail.sinks.versions import current, new_version
 from playtrail.sources.history import (
     discover_files,
     plays_of,
@@ -152,6 +155,15 @@ def analyze(
     return results, sentences
 
 
+@contextmanager
+def _output(spark: SparkSession, root: str, versioned: bool) -> Iterator[str]:
+    if versioned:
+        with new_version(spark, root) as folder:
+            yield folder
+    else:
+        yield root
+
+
 def run(
     spark: SparkSession,
     raw: str,
@@ -161,22 +173,28 @@ def run(
     features: DataFrame | None = None,
     params: PlayParams = DEFAULTS,
     stages: tuple[str, ...] = STAGES,
+    versioned: bool = False,
 ) -> None:
     """Run the given stages; a later stage alone starts from the earlier one's files.
 
     Errors are raised, never swallowed.  Stops after parsing if there are no plays.
+    ``versioned``: each stage writes a new version of its folder, which later stages and
+    readers see when it is complete, so a stage that was killed is just run again.
     """
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"unknown stages: {sorted(unknown)}")
     if "parse" in stages:
-        parse(spark, raw, processed)
+        with _output(spark, processed, versioned) as out:
+            parse(spark, raw, out)
     parts = None
     if "enrich" in stages:
-        plays = read_plays(spark, f"{processed}/{writers.PARSED}")
+        plays = read_plays(spark, f"{current(spark, processed)}/{writers.PARSED}")
         if plays.isEmpty():
             return
-        _, parts = enrich(plays, enriched, features, params)
+        with _output(spark, enriched, versioned) as out:
+            _, parts = enrich(plays, out, features, params)
     if "analyze" in stages:
-        stored = spark.read.parquet(f"{enriched}/{writers.ENRICHED}")
-        analyze(stored, results, params, parts)
+        stored = spark.read.parquet(f"{current(spark, enriched)}/{writers.ENRICHED}")
+        with _output(spark, results, versioned) as out:
+            analyze(stored, out, params, parts)

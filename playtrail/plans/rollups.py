@@ -132,10 +132,14 @@ def value_counts(plays: DataFrame, column: str) -> DataFrame:
 
 
 def dataset_overview(plays: DataFrame) -> DataFrame:
-    return plays.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.min("timestamp").alias("start"),
-        F.max("timestamp").alias("end"),
+    """Three distinct counts, on the distinct combinations of names and not on every play."""
+    names = plays.groupBy("track_name", "artist_name", "album_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end")
+    )
+    return names.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
         F.countDistinct("track_name").alias("unique_tracks"),
         F.countDistinct("artist_name").alias("unique_artists"),
         F.countDistinct("album_name").alias("unique_albums"),

@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 from playtrail.sinks.layout import ENRICHED, INSIGHTS, PARSED, STATISTICS, SUMMARY
 
+#: Order of the rows in a file of the enriched table, below the year.
+CLUSTERED = ("date", "content_type", "artist_name")
+_BLOOM = {
+    "parquet.bloom.filter.enabled#artist_name": "true",
+    # As large as the distinct names of a row group want, of several sizes tried.
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 #: Spark writes milliseconds unless told otherwise.
-_STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_STAMPS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def write_plays(plays: DataFrame, path: str) -> str:
@@ -19,13 +29,15 @@ def write_plays(plays: DataFrame, path: str) -> str:
 
 
 def write_enriched(enriched: DataFrame, path: str) -> str:
-    """Enriched plays, one directory per year.
+    """Enriched plays, one directory per year, laid out for filters on days and artists.
 
-    The rebalance hint groups rows by year, splits years that are too large for one file
-    and merges those that are too small.
+    The rebalance hint groups rows by month, splits months that are too large for one file
+    and merges those that are too small.  In a file rows are sorted by day and class, so the
+    statistics of its row groups and pages tell days apart; a Bloom filter tells artists.
     """
     target = f"{path}/{ENRICHED}"
-    enriched.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(target)
+    months = enriched.hint("rebalance", "year", "month").sortWithinPartitions("year", *CLUSTERED)
+    months.write.mode("overwrite").options(**_BLOOM).partitionBy("year").parquet(target)
     return target
 
 

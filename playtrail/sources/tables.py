@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from playtrail.schema import PARSED_SCHEMA
 from playtrail.sinks.layout import ENRICHED, SUMMARY
+from playtrail.sinks.versions import current
 
 
 def read_plays(spark: SparkSession, path: str) -> DataFrame:
@@ -52,8 +53,10 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
 def load_enriched(spark: SparkSession, path: str) -> EnrichedData:
     """Enriched plays, every other table next to them by name, and the summary.
 
-    Without enriched plays everything is empty; other absent parts just stay out.
+    Without enriched plays everything is empty; other absent parts just stay out.  Of a
+    folder with versions, the newest complete one is read.
     """
+    path = current(spark, path)
     plays = _if_there(spark.read.parquet, f"{path}/{ENRICHED}")
     if plays is None:
         return EnrichedData(None)

@@ -194,6 +194,8 @@ def test_clusters_do_not_depend_on_input_partitions(spark, sf):
         for p in (sessions.repartition(1), sessions.repartition(7))
     ]
     assert sizes[0] == sizes[1]
+    centres = [clustering.find_centres(sessions.repartition(n)) for n in (1, 3, 8)]
+    assert centres[0] == centres[1] == centres[2] and len(centres[0].values) == 4
 
 
 @pytest.mark.parametrize("count", [0, 1, 3, 4])

@@ -67,3 +67,77 @@ def test_small_features_are_broadcast_by_their_size_only(spark, sf):
         assert "SortMergeJoin" in plan(query(spark, sf))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def rows_read(df) -> int:
+    """Rows that the scan of a one-table query gave on, after it skipped row groups and pages."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+        for inner in ("executedPlan", "plan"):
+            if name in ("AdaptiveSparkPlan", "ShuffleQueryStage", "ResultQueryStage"):
+                try:
+                    walk(getattr(node, inner)())
+                    break
+                except Exception:
+                    continue
+
+    walk(plan)
+    (only,) = found
+    return only
+
+
+def test_stored_plays_are_skipped_by_day_and_artist(spark, sf, tmp_path):
+    out = str(tmp_path)
+    settings = {"parquet.block.size": str(1 << 15), "parquet.page.row.count.limit": "100"}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = {k: hadoop.get(k) for k in settings}
+    for k, v in settings.items():
+        hadoop.set(k, v)
+    try:
+        plays = base_rows(spark, "/root/testdata/sf0.01", "orders")
+        writers.write_enriched(plays, out)
+    finally:
+        for k, v in before.items():
+            hadoop.set(k, v) if v else hadoop.unset(k)
+    stored = load_enriched(spark, out).plays
+    total = stored.count()
+    day = stored.where("date = DATE '1996-03-05'").select("play_id", "ms_played")
+    assert day.count() > 0 and rows_read(day) < total / 20
+    least = stored.agg({"artist_name": "min"}).first()[0]
+    artist = stored.where(f"artist_name = '{least}x'").select("play_id")
+    assert rows_read(artist) == 0
+
+
+def test_keyed_medians_move_no_play_by_its_key(spark, sf):
+    from playtrail.operators.medians import exact_median
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plays = base_rows(spark, sf, "events").select("content_type", "listening_efficiency")
+        text = plan(exact_median(plays, ["content_type"], "listening_efficiency"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        if "Exchange hashpartitioning(content_type" in line:
+            # What is moved by the key was aggregated since the last exchange.
+            below = lines[k + 1 :]
+            stop = next((j for j, x in enumerate(below) if "Exchange" in x or "Scan" in x), len(below))
+            assert any("Aggregate" in x for x in below[:stop]), line
+
+
+def test_distinct_counts_expand_combinations_not_plays(spark, sf):
+    for table in (rollups.weekly_stats, rollups.monthly_stats, rollups.dataset_overview):
+        lines = plan(table(base_rows(spark, sf, "orders", sessions=True))).split("\n")
+        for k, line in enumerate(lines):
+            if "Expand" in line:
+                assert "HashAggregate" in lines[k + 1] or "Project" in lines[k + 1], lines[k + 1]
