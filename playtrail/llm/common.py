@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,30 @@ def slices(
             yield batch.slice(begin, end - begin), [t or b"" for t in column.slice(begin, end - begin).to_pylist()]
 
 
+def release_memory() -> None:
+    """Give back what a finished group held.  Workers are used again, and Arrow's pool and the
+    C library keep freed memory for later, so a worker would stay as large as its largest group."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` for ``applyInArrow``, by one or two tables, that releases what a large group held."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return f(*tables)
+        finally:
+            if sum(t.nbytes for t in tables) > 1 << 20:
+                release_memory()
+
+    # Spark looks at how many arguments a function takes.
+    return (lambda table: run(table)) if f.__code__.co_argcount == 1 else (lambda left, right: run(left, right))
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """Each row as one struct ``row``: no column name of the input can clash with another."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -77,6 +102,16 @@ def over(df: DataFrame, results: list[str]) -> DataFrame:
     return df.select(*(F.col("row").getField(n).alias(n) for n in kept), *results)
 
 
+def hashed_words(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (by ASCII white space) of all texts on end, and their number
+    in each.  A text's words are objects only while they are hashed: those of a whole group
+    would take ten times its bytes."""
+    from xxhash import xxh64_intdigest
+
+    hashes = [np.fromiter(map(xxh64_intdigest, (t or b"").split()), U) for t in texts]
+    return np.concatenate([np.zeros(0, U), *hashes]), np.fromiter(map(len, hashes), np.int64, len(hashes))
+
+
 def ends_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one-past-last position of consecutive runs of these lengths."""
     end = np.cumsum(lengths)

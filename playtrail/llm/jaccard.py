@@ -25,7 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import LOWER, U, ends_of, free_shuffles, mixed, stored, sums_by_run, text_bytes, window_hashes
+from playtrail.llm.common import (
+    LOWER,
+    U,
+    ends_of,
+    free_shuffles,
+    hashed_words,
+    lean,
+    mixed,
+    stored,
+    sums_by_run,
+    text_bytes,
+    window_hashes,
+)
 from playtrail.llm.components import components
 from playtrail.llm.packed import SENT, chunks_for, corpus_counts, counts_for, distinct, in_chunks, sent
 
@@ -37,13 +49,9 @@ _SETS = "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>, tok
 def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of all texts on end (sorted in each), the texts they
     belong to, and the size of each text's set."""
-    from xxhash import xxh64_intdigest
-
-    words = [(t or "").encode().translate(LOWER).split() for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((h for w in words for h in map(xxh64_intdigest, w)), U, int(lengths.sum()))
+    flat, lengths = hashed_words((t or "").encode().translate(LOWER) for t in texts)
     begin, end = ends_of(lengths)
-    text_of = np.repeat(np.arange(len(words)), lengths)
+    text_of = np.repeat(np.arange(len(lengths)), lengths)
     hashes = window_hashes(flat, size)
     whole = np.flatnonzero(np.arange(len(hashes)) + size <= end[text_of[: len(hashes)]])
     short = np.flatnonzero((lengths > 0) & (lengths < size))
@@ -55,7 +63,7 @@ def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.nda
     first = np.ones(len(hashes), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[first], owner[first]
-    return hashes, owner, np.bincount(owner, minlength=len(words))
+    return hashes, owner, np.bincount(owner, minlength=len(lengths))
 
 
 def prefix_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -69,7 +77,7 @@ def prefix_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         # Four bytes beside the bucket: a false repeat only makes a prefix longer.
         return sent(chunk.column("chunk")[0].as_py(), *distinct(hashes), n, width=4)
 
-    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(send, SENT), most=255)
+    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(lean(send), SENT), most=255)
 
     def prefix(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, owner, sizes = shingle_sets(chunk.column("text").to_pylist(), shingle)
@@ -98,7 +106,7 @@ def prefix_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             }
         )
 
-    found = chunked.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(prefix, _SETS)
+    found = chunked.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lean(prefix), _SETS)
     return stored(found, "sets")
 
 

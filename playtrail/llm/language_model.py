@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import LOWER, U, ends_of, free_shuffles, mixed, stored, text_bytes
+from playtrail.llm.common import LOWER, U, ends_of, free_shuffles, hashed_words, lean, mixed, stored, text_bytes
 from playtrail.llm.packed import SENT, chunks_for, corpus_counts, counts_for, distinct, in_chunks, pack, sent, unpack
 
 #: The end token's hash: no word has it but by chance of 1 in 2^64.
@@ -46,14 +46,12 @@ TEXTS = 1000
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts on end, and each text's number of tokens."""
-    from xxhash import xxh64_intdigest
-
-    words = [(t or "").encode().translate(LOWER).split() for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    flat = np.full(int(lengths.sum()), END, U)
+    words, lengths = hashed_words((t or "").encode().translate(LOWER) for t in texts)
+    lengths = lengths + 1
+    flat = np.full(len(words) + len(lengths), END, U)
     is_word = np.ones(len(flat), bool)
     is_word[np.cumsum(lengths) - 1] = False
-    flat[is_word] = np.fromiter((h for w in words for h in map(xxh64_intdigest, w)), U, int(is_word.sum()))
+    flat[is_word] = words
     return flat, lengths
 
 
@@ -86,7 +84,7 @@ def counted(docs: DataFrame) -> DataFrame:
             sent(number, *distinct(h, part == 0, part == 1), n, None, kind) for kind, h in enumerate(hashes)
         )
 
-    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(send, SENT), sums=2, steps=True)
+    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(lean(send), SENT), sums=2, steps=True)
 
     def answer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, part, lengths = keys(chunk)
@@ -119,7 +117,7 @@ def counted(docs: DataFrame) -> DataFrame:
             }
         )
 
-    answers = chunked.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(answer, _COUNTED)
+    answers = chunked.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lean(answer), _COUNTED)
     return stored(answers, "lm-counts", compression="zstd")
 
 

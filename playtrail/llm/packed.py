@@ -6,7 +6,7 @@ Each chunk sends its distinct keys, packed into one binary value for each bucket
 each bucket adds up what all chunks sent and answers each of them, again packed.  Spark
 does the grouping and shuffling; inside a task there are only sorted arrays.
 
-Chunks are even because rows are dealt by a hash of their whole content, buckets because a
+Chunks are even because rows are dealt by a hash of content and place, buckets because a
 chunk sends each key once, however often it occurs.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import U
+from playtrail.llm.common import U, lean
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
@@ -28,8 +28,12 @@ ANSWER = "chunk long, bucket long, counts binary, flags binary"
 
 
 def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
-    """The rows with a column ``chunk``, partitioned by it."""
-    key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows with a column ``chunk``, partitioned by it.
+
+    Rows are dealt by content and place in the input, so equal rows part too.  As all who read
+    by place (and Spark when it deals rows in turn), this wants an input that is read alike
+    again after a lost task: files, such as a stored table, not the result of a shuffle."""
+    key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), F.monotonically_increasing_id())
     return docs.withColumn("chunk", F.pmod(key, F.lit(chunks).cast("long"))).repartition("chunk")
 
 
@@ -132,7 +136,7 @@ def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None, steps
             at += n
         return _table(found, ["chunk", "bucket", "counts", "flags"])
 
-    return rows.groupBy("bucket").applyInArrow(add, ANSWER)
+    return rows.groupBy("bucket").applyInArrow(lean(add), ANSWER)
 
 
 def counts_for(

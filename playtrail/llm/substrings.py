@@ -31,7 +31,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import U, ends_of, mixed, over, row_and, sums_by_run, text_bytes, whole_rows, window_hashes
+from playtrail.llm.common import (
+    U,
+    ends_of,
+    hashed_words,
+    lean,
+    mixed,
+    over,
+    row_and,
+    sums_by_run,
+    text_bytes,
+    whole_rows,
+    window_hashes,
+)
 from playtrail.llm.packed import SENT, chunks_for, corpus_counts, counts_for, distinct, in_chunks, sent
 
 GRAM = 8
@@ -56,34 +68,32 @@ class Chunk:
     """The words of a chunk's texts on end, in an order that does not depend on the shuffle."""
 
     def __init__(self, table: pa.Table, window: int) -> None:
-        from xxhash import xxh64_intdigest
-
         texts = pa.chunked_array([c.field("text") for c in table.column("row").chunks], pa.string())
         self.order = pc.sort_indices(texts)
         self.table = table.take(self.order)
         self.number = table.column("chunk")[0].as_py()
         self.texts = texts.take(self.order).cast(pa.binary()).to_pylist()
-        self.words = [(t or b"").split() for t in self.texts]
-        self.lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.flat = np.fromiter(
-            (h for w in self.words for h in map(xxh64_intdigest, w)), U, int(self.lengths.sum())
-        )
+        self.flat, self.lengths = hashed_words(self.texts)
         self.begin, self.end = ends_of(self.lengths)
-        self.text_of = np.repeat(np.arange(len(self.words)), self.lengths)
+        self.text_of = np.repeat(np.arange(len(self.texts), dtype=np.int32), self.lengths)
         self.window = window
         self.gram = max(1, min(GRAM, window // 2))
         self.find_anchors()
 
+    def words(self, k: int) -> list[bytes]:
+        return (self.texts[k] or b"").split()
+
     def find_anchors(self) -> None:
         """Places and hashes of the smallest runs of all windows."""
         runs = self.window - self.gram + 1
         grams = window_hashes(self.flat, self.gram)
         least = sliding(np.minimum, grams, runs)[: max(0, len(self.flat) - self.window + 1)]
-        start = np.arange(len(least))
-        whole = start + self.window <= self.end[self.text_of[: len(least)]]
+        whole = np.arange(self.window, self.window + len(least)) <= self.end[self.text_of[: len(least)]]
+        least[~whole] = 0
         pad = np.zeros(runs - 1, U)
-        reach = sliding(np.maximum, np.concatenate([pad, np.where(whole, least, 0), pad]), runs)
-        self.place = np.flatnonzero(grams == reach[: len(grams)]) if len(least) else np.zeros(0, np.int64)
+        least = np.concatenate([pad, least, pad])
+        reach = sliding(np.maximum, least, runs)
+        self.place = np.flatnonzero(grams == reach[: len(grams)]) if len(grams) >= runs else np.zeros(0, np.int64)
         self.anchor = grams[self.place]
 
     def contexts(self, answers: pa.Table, buckets: int, most: int) -> None:
@@ -281,10 +291,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, hot_from: int = HOT) -> Da
         low, high = chunk.low[chosen], chunk.high[chosen]
         text = chunk.text_of[low]
         first = chunk.begin[text]
-        parts = [
-            b" ".join(chunk.words[k][a:b])
-            for k, a, b in zip(text.tolist(), (low - first).tolist(), (high - first).tolist())
-        ]
+        parts, own, words = [], -1, []
+        for k, a, b in zip(text.tolist(), (low - first).tolist(), (high - first).tolist()):
+            if k != own:
+                own, words = k, chunk.words(k)
+            parts.append(b" ".join(words[a:b]))
         return pa.table(
             {
                 "anchor": pa.array(chunk.of[chosen].view(np.int64)),
@@ -310,7 +321,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, hot_from: int = HOT) -> Da
         for k, text in enumerate(chunk.texts):
             if removed[k]:
                 stays = np.flatnonzero(~gone[chunk.begin[k] : chunk.end[k]]).tolist()
-                words = chunk.words[k]
+                words = chunk.words(k)
                 text = b" ".join([words[i] for i in stays])
             kept.append(text)
         return pa.table(
@@ -328,12 +339,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, hot_from: int = HOT) -> Da
                 df = df.withColumn(name, F.lit(None).cast(sql))
         return df.select("chunk", F.lit(kind).alias("kind"), "bucket", "counts", "flags", "place", "stop")
 
-    anchors = answer(corpus_counts(by_chunk.applyInArrow(anchor_keys, SENT), most=_MOST), 1)
-    keys = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(context_keys, SENT)
+    anchors = answer(corpus_counts(by_chunk.applyInArrow(lean(anchor_keys), SENT), most=_MOST), 1)
+    keys = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(lean(context_keys), SENT)
     counts = anchors.union(answer(corpus_counts(keys, most=_MOST), 2))
-    contexts = by_chunk.cogroup(counts.groupBy("chunk")).applyInArrow(different, _CONTEXT)
+    contexts = by_chunk.cogroup(counts.groupBy("chunk")).applyInArrow(lean(different), _CONTEXT)
     found = counts.union(answer(shard_spans(contexts, window), 3))
     whole = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(
-        cut, row_and(chunked, "n_words long, n_removed long, kept string")
+        lean(cut), row_and(chunked, "n_words long, n_removed long, kept string")
     )
     return over(whole, RESULTS)

@@ -1,8 +1,11 @@
 """Substrings, Jaccard components, language model: against brute force."""
 
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +15,7 @@ from playtrail.llm.common import fold
 from playtrail.llm.components import components
 from playtrail.llm.jaccard import jaccard_components
 from playtrail.llm.language_model import counted, pair_hashes, score_texts, word_hashes
-from playtrail.llm.packed import unpack
+from playtrail.llm.packed import in_chunks, unpack
 from playtrail.llm.substrings import SuffixAutomaton, remove_repeats, repeated_spans
 from tests.llm.helpers import LOWER, empty, frame, odd_texts
 
@@ -143,3 +146,48 @@ def test_empty_tables(spark):
     assert score_texts(none, F.lit(True), F.lit(False)).count() == 0
     untaught = score_texts(frame(spark, ["a b"]), F.lit(False), F.lit(False)).collect()
     assert all(math.isfinite(r["score"]) for r in untaught)
+
+
+def test_a_worker_stays_small():
+    """A chunk's peak is bounded by its bytes, and what it took is given back."""
+    code = f"""
+import random, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import numpy as np, pyarrow as pa
+from playtrail.llm import substrings
+from playtrail.llm.common import release_memory
+from playtrail.llm.packed import CHUNK_BYTES, distinct, sent
+
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+def peak():
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmHWM")) * 1024
+
+rng = random.Random(1)
+words = [f"word{{i}}" for i in range(50_000)]
+texts = [" ".join(rng.choices(words, k=400)) for _ in range(CHUNK_BYTES // 3900)]
+row = pa.StructArray.from_arrays([pa.array(texts)], ["text"])
+table = pa.table({{"row": row, "chunk": pa.array(np.zeros(len(texts), np.int64))}})
+del texts, row, words
+before = resident()
+open("/proc/self/clear_refs", "w").write("5")  # the peak so far was that of making texts
+peaks = []
+for _ in range(3):
+    chunk = substrings.Chunk(table, 35)
+    out = sent(0, *distinct(chunk.anchor), 60)
+    peaks.append(peak() - before)
+    del chunk, out
+    release_memory()
+print(max(peaks) / CHUNK_BYTES, (resident() - before) / CHUNK_BYTES)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    peak, kept = map(float, done.stdout.split())
+    assert peak < 18 and kept < 2
+
+
+def test_equal_rows_part(spark):
+    """Rows that are a third of the table are no larger a group than others."""
+    docs = spark.range(9_000).selectExpr("IF(id % 3 = 0, 0, id) AS doc_id", "IF(id % 3 = 0, 'same', concat('t', id)) AS text")
+    sizes = [r["count"] for r in in_chunks(docs, 64).groupBy("chunk").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 9_000 / 64
