@@ -53,14 +53,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     parts = [F.col("text") if c == "text" else F.col("rest").getField(c) for c in docs.columns]
-    # A hash passes over nulls, so where they are is hashed too.
-    rows = apart(docs).withColumn("key", F.xxhash64(*parts, *(p.isNull() for p in parts)))
+    # A hash passes over nulls, so where they are is hashed too; 64 bits name a row among its
+    # near duplicates, 128 tell whether it is the same row.
+    hashed = [*parts, *(p.isNull() for p in parts)]
+    rows = apart(docs).withColumns({"key": F.xxhash64(*hashed), "check": F.xxhash64(F.lit(1), *hashed)})
     linked = jaccard_components(rows.select(F.col("key").alias("doc_id"), "text"))
     components = linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
-    ids = rows.select("key", F.col("rest").getField("doc_id").alias("id")).distinct()
+    ids = rows.select("key", "check", F.col("rest").getField("doc_id").alias("id")).distinct()
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
     stays = components.join(ids, "key").groupBy("component").agg(least).select(F.col("least.key").alias("key"))
-    once = rows.dropDuplicates(["key"]).join(stays, "key", "left_semi")
+    stays = ids.select("key", "check").distinct().join(stays, "key")
+    once = rows.dropDuplicates(["key", "check"]).join(stays, ["key", "check"], "left_semi")
     return together(once, docs.columns)
 
 
