@@ -433,9 +433,10 @@ INSIGHT_LINES = [
     with_sql(*ST, f"daily AS ({PATTERN_DOW})", select=" UNION ALL ".join(INSIGHT_LINES)),
 )
 def insights(spark, sf):
-    """All sentences from one play cube, one session table and one platform rollup."""
+    """All sentences from one play cube and one session table, each stored once."""
     plays = rows(spark, sf, "events")
-    cube, sessions = play_cube(plays), Q.session_stats(plays)
+    cube = materialize(play_cube(plays), "play_cube")
+    sessions = materialize(Q.session_stats(plays), "sessions")
     seasons = A.rollup(cube, ["season", "content_type"], dense="season")
     results = {
         "temporal_patterns": {

@@ -16,6 +16,7 @@ from playtrail.operators import cleaning, joins, medians, sessions
 from playtrail.params import PlayParams
 from playtrail.plans.enrich import enrich
 from playtrail.schema import AUDIO_MEASURES
+from playtrail.session import materialize
 
 FEATURES = (
     "danceability",
@@ -176,7 +177,8 @@ def feature_medians(spark, sf):
 )
 def clean_medians(spark, sf):
     joined = joins.join_audio_features(plays_from_events(spark, sf), audio_features(spark, sf))
-    return cleaning.fill_medians(joined).select("play_id", *FEATURES)
+    stored = materialize(joined.select("play_id", *FEATURES), "joined_features")
+    return cleaning.fill_medians(stored)
 
 
 @check(

@@ -58,8 +58,10 @@ def _counting_sessions(
 
     Two aggregates of small tables, a cube of the plays and a session cube, are joined on
     the group keys: no play is multiplied for the sake of a distinct count.  Given plays
-    alone, both cubes are made first.
+    alone, both cubes are made first, unless sessions are all that is counted.
     """
+    if sessions is None and not is_cube(plays) and "distinct" not in spec:
+        return rollup(plays, keys, distinct={"total_sessions": session_key}, **spec)
     if sessions is None:
         sessions = session_cube(plays, session_key)
         if not is_cube(plays):

@@ -132,3 +132,15 @@ def test_no_feature_columns_give_the_neutral_row(spark):
     assert (row.mood, row.inferred_genre, row.tempo_category) == ("Happy", "Other", "Larghissimo")
     assert abs(row.musical_complexity - 0.5) < 1e-12
     assert add_default_features(spark.range(1)).first().liveness == 0.5
+
+
+def test_days_are_dates(spark, sf):
+    """The checks show days as midnight timestamps, so their type is asserted here."""
+    from checks.base import rows
+    from playtrail.plans import explore, rollups, temporal
+
+    plays = rows(spark, sf, "events")
+    for table in (plays, rollups.daily_stats(plays), temporal.daily_pattern_stats(plays), explore.daily_hours(plays)):
+        assert dict(table.dtypes)["date"] == "date"
+    options = dict(explore.filter_options(plays).dtypes)
+    assert options["min_date"] == options["max_date"] == "date"
