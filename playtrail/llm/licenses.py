@@ -6,7 +6,8 @@ finds of the pieces give all candidates.  Around each, the regex library's bound
 matching verifies the whole notice and gives span and edits.  Exact phrases are the base.
 
 * Null or empty text: no words, no spans, empty labels, score 0, null first and last word.
-* Every place counts, overlapping ones too; whole texts are searched.
+* Every place of a phrase counts, overlapping ones too; of a notice, places that a match has
+  covered are not matched again.  Whole texts are searched.
 * Rows are independent, so repeated rows repeat; result columns replace input columns.
 """
 
@@ -23,7 +24,7 @@ from playtrail.llm.common import WORDS, over, row_and, slices, whole_rows, with_
 
 #: Exact phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Short notices, their labels and the edits (characters) each may differ by.
+#: Short notices, their labels and the edits (characters) each may differ by.
 NOTICES = (
     ("licensed under the apache license version 2 0", "apache-2.0", 4),
     ("licensed under the mit license", "mit", 3),

@@ -191,3 +191,56 @@ def test_equal_rows_part(spark):
     docs = spark.range(9_000).selectExpr("IF(id % 3 = 0, 0, id) AS doc_id", "IF(id % 3 = 0, 'same', concat('t', id)) AS text")
     sizes = [r["count"] for r in in_chunks(docs, 64).groupBy("chunk").count().collect()]
     assert len(sizes) == 64 and max(sizes) < 2 * 9_000 / 64
+
+
+def test_scores_and_weights_equal_plain_loops(docs):
+    """Deletion estimates, EM by bucket and the sum of logarithms, token by token."""
+    rows = docs.collect()
+
+    def part(r):
+        k = zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 7
+        return 2 if k == 2 else 1 if k == 6 else 0
+
+    tokens = [((r["text"] or "").encode().translate(LOWER).split() + [None], part(r)) for r in rows]
+
+    def counts(parts):
+        word, pair, texts = Counter(), Counter(), 0
+        for w, p in tokens:
+            if p in parts:
+                word.update(w)
+                pair.update(zip([None, *w], w))
+                texts += 1
+        return word, pair, texts
+
+    def estimates(w, word, pair, texts, total):
+        for before, x in zip([None, *w], w):
+            context = texts if before is None else word[before]
+            yield context.bit_length(), pair[before, x] / max(context, 1), word[x] / total
+
+    everything, main = counts((0, 1)), counts((0,))
+    uniform = 1 / (len(everything[0]) + 1)
+    cells = Counter()
+    for w, p in tokens:
+        if p == 1:
+            for b, by_pair, by_word in estimates(w, *main, sum(main[0].values())):
+                step = [0 if x == 0 else round(-math.log2(x) * 8) for x in (by_pair, by_word)]
+                cells[b, *(None if x == 0 else s for x, s in zip((by_pair, by_word), step))] += 1
+    weights = {b: [0.5, 0.4, 0.1] for b in range(64)}
+    for _ in range(50):
+        gained = {b: [0.01, 0.1, 1.0] for b in weights}
+        for (b, *steps), n in cells.items():
+            parts = [0 if s is None else 2.0 ** (-s / 8) for s in steps] + [uniform]
+            share = [w * x for w, x in zip(weights[b], parts)]
+            for k, x in enumerate(share):
+                gained[b][k] += n * x / sum(share)
+        weights = {b: [x / sum(g) for x in g] for b, g in gained.items()}
+    want = Counter()
+    for r, (w, _) in zip(rows, tokens):
+        logs = (
+            math.log10(sum(a * x for a, x in zip(weights[b], (by_pair, by_word, uniform))))
+            for b, by_pair, by_word in estimates(w, *everything, sum(everything[0].values()))
+        )
+        want[r["doc_id"], round(sum(logs), 4)] += 1
+    found = score_texts(docs, fold("doc_id", 7) != 2, fold("doc_id", 7) == 6).collect()
+    assert Counter((r["doc_id"], round(r["score"], 4)) for r in found) == want
+    assert any(p == 1 for _, p in tokens) and len(cells) > 5

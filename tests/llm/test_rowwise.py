@@ -1,13 +1,14 @@
 """Mixing, decontamination, tokens, licenses: against direct computations."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
 from playtrail.llm.decontamination import decontaminate
-from playtrail.llm.licenses import PHRASES, scan_licenses
+from playtrail.llm.licenses import NOTICES, PHRASES, scan_licenses
 from playtrail.llm.mixing import mix_sources
 from playtrail.llm.tokens import count_tokens
 from tests.llm.helpers import empty, frame, odd_texts
@@ -130,3 +131,50 @@ def test_empty_tables(spark, tmp_path):
     assert decontaminate(frame(spark, ["a b"]), benchmark).where("n_hit > 0").count() == 0
     assert count_tokens(none, str(tmp_path / "c"), tables.path("byte_bpe_50k.json")).count() == 0
     assert scan_licenses(none).count() == 0
+
+
+def nearest_edits(pattern, text):
+    """Least edits between the pattern and any stretch of the text: one row of edits an end."""
+    row = list(range(len(pattern) + 1))
+    least = row[-1]
+    for c in text:
+        new = [0]
+        for i, p in enumerate(pattern, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (c != p)))
+        row = new
+        least = min(least, row[-1])
+    return least
+
+
+def test_fuzzy_notices_equal_edit_distances(spark):
+    """A label is found exactly where some stretch of the text is near enough."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(120):
+        phrase = list(rng.choice(NOTICES)[0])
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(phrase))
+            kind = rng.random()
+            if kind < 0.4:
+                phrase[at] = rng.choice("abcdexyz ")
+            elif kind < 0.7:
+                del phrase[at]
+            else:
+                phrase.insert(at, rng.choice("abcdexyz "))
+        filler = lambda: " ".join(rng.choices(["lorem", "public", "license", "rights", "free", "gnu"], k=rng.randint(0, 8)))
+        texts.append(f"{filler()} {''.join(phrase)} {filler()}")
+    found = scan_licenses(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    near = far = 0
+    for r in found:
+        text = " " + " ".join(words(texts[r["doc_id"]])) + " "
+        want = {label for phrase, label, k in NOTICES if nearest_edits(phrase, text) <= k}
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == want | base
+        near, far = near + bool(want), far + (not want)
+        split = text.split()
+        for s in r["spans"]:
+            phrase, most = next((p, k) for p, label, k in NOTICES if label == s["label"] and nearest_edits(p, text) <= k)
+            stretch = " ".join(split[s["first_word"] : s["last_word"] + 1])
+            assert 0 <= s["edits"] <= max(k for *_, k in NOTICES)
+            assert nearest_edits(phrase, f" {stretch} ") <= most or s["label"] in ("gpl", "mit")
+    assert near > 20 and far > 5
