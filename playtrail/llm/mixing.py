@@ -2,15 +2,15 @@
 
 The target rate of a source is its share of the mixture, times the size of all sources,
 divided by its own size.  Each document draws its number of copies from a Poisson
-distribution with that mean, inverted from a hash of seed and id, so the draw is the same
-on every run; the copies are then shuffled globally by another hash.
+distribution with that mean, inverted from a hash of seed, id and text, so the draw is the
+same on every run; the copies are then shuffled globally by another hash.
 
 * A source without entry in ``weights`` has ``default_weight``; a null source is a source.
 * Size is the number of characters (null and empty texts: 0).  A source of size 0 cannot
   have a share: its rate is 0, and so it is if its weight is 0.
 * Rates have no cap.  Above ``_STEP`` a rate is cut into equal parts whose independent
   draws are added, which is the same distribution and never underflows.
-* Repeated ids draw the same count.  Result columns replace input columns of their name.
+* Rows that share id and text draw the same count; null ids and texts hash as empty.  Result columns replace input columns of their name.
 """
 
 from __future__ import annotations
@@ -88,7 +88,9 @@ def mix_sources(
         rates = F.broadcast(rates)
     row = whole_rows(docs)
     joined = row.join(rates, F.col("row").getField("source").eqNullSafe(rates["source"]))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row").getField(id).cast("string"), F.lit("")))
+    # By id and text: different rows of one id, or of none, have draws of their own.
+    id_text, digest = F.col("row").getField(id).cast("string"), F.md5(F.coalesce(F.col("row").getField("text"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_text, F.lit("")), F.lit(":"), digest)
     counted = joined.select("row", "rate", key.alias("key"), poisson(F.col("rate"), key).alias("n"))
     copies = counted.where("n > 0").select(
         "row", "rate", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")

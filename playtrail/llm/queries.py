@@ -67,9 +67,9 @@ WITH RECURSIVE sized AS (
 ), tables AS (
     SELECT source, rate, parts, list(cdf ORDER BY k) AS cdfs FROM terms GROUP BY source, rate, parts
 ), drawn AS (
-    SELECT d.*, t.rate, '17:' || coalesce(d.doc_id::VARCHAR, '') AS key,
+    SELECT d.*, t.rate, '17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, '')) AS key,
            list_sum(list_transform(range(1, t.parts + 1), lambda i: len(list_filter(t.cdfs, lambda c: c <=
-               ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || i), 1, 13))::BIGINT
+               ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, '')) || ':' || i), 1, 13))::BIGINT
                / 4503599627370496::DOUBLE)))) AS n
     FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
 )
