@@ -6,9 +6,10 @@ passage in another language keeps its own label among its neighbours.  Forward-b
 gives each word's probabilities; a text's are their mean over its words, and its language
 is the likeliest (ties: the first by name).
 
-The fit uses a bounded sample of labelled texts, about ``per_language`` of each language,
-chosen by a hash of the id; training sequences join pieces of several texts, so switches
-are seen.  Prediction runs over whole texts, however long.
+The fit uses a bounded sample of labelled texts, ``per_language`` different ones of each
+language (all, if it has fewer), chosen by a hash of id and text.  Sampled texts are used whole,
+in pieces; training sequences join pieces of several texts, so switches are seen.  Prediction
+runs over whole texts, however long.
 
 * Null texts and texts without a letter: ``und``, score 0.  So is everything if nothing
   could be learned.  Null languages are not learned from.
@@ -26,13 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrail.llm.common import SLICE_BYTES, U, ends_of, mixed, over, row_and, slices, whole_rows, window_hashes, with_columns
 
-#: Hashed features, lengths of n-grams, and most languages learned.
-HASHES, GRAMS, LANGUAGES = 1 << 18, (2, 3, 4), 500
+#: Hashed features, and lengths of n-grams.
+HASHES, GRAMS = 1 << 18, (2, 3, 4)
+#: Numbers in the step matrices of words that are worked out at once; more go by vectors.
+MATRICES = 1 << 25
 #: Words of a training piece, and pieces in a training sequence.
 PIECE, PIECES = 25, 4
 RESULTS = ["lang_pred", "score"]
@@ -89,7 +92,17 @@ def emissions(words: list[str], field: Field) -> np.ndarray:
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
-    """Label probabilities of words of many texts on end; ``first`` marks beginnings.
+    """Label probabilities of words of many texts on end; ``first`` marks beginnings."""
+    n, labels = emission.shape
+    if n * labels * labels <= MATRICES:
+        return matrix_marginals(emission, first, field)
+    forward, backward, _, _ = messages(emission, first, field)
+    both = forward * backward
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def matrix_marginals(emission: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
+    """Forward-backward by one matrix a word.
 
     The chain is laid out in rows of about its root's length.  Products of the step matrices
     give what a whole row does to a message, so all rows run forward and backward at once;
@@ -128,18 +141,16 @@ def marginals(emission: np.ndarray, first: np.ndarray, field: Field) -> np.ndarr
 
 
 def training_pieces(rows: DataFrame) -> list[tuple[str, list[str]]]:
-    """Language and PIECE words from the middle of each of a bounded number of texts."""
+    """Language and words of the pieces, of PIECE words, of a bounded number of texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            words = [words_of(t) for t in texts]
-            middle = [w[max(0, (len(w) - PIECE) // 2) :][:PIECE] for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(middle, pa.list_(pa.string()))], names=["lang", "words"]
-            )
+            pieces = [[w[k : k + PIECE] for k in range(0, len(w), PIECE)] for w in map(words_of, texts)]
+            kind = pa.list_(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, kind)], names=["lang", "pieces"])
 
-    found = rows.select("lang", "text").mapInArrow(cut, "lang string, words array<string>")
-    return sorted((r["lang"], list(r["words"])) for r in found.toLocalIterator() if r["words"])
+    found = rows.select("lang", "text").mapInArrow(cut, "lang string, pieces array<array<string>>")
+    return sorted((r["lang"], list(piece)) for r in found.toLocalIterator() for piece in r["pieces"])
 
 
 def fit(pieces: list[tuple[str, list[str]]], rounds: int = 60, seed: int = 11) -> Field:
@@ -150,9 +161,10 @@ def fit(pieces: list[tuple[str, list[str]]], rounds: int = 60, seed: int = 11) -
     for lang, words in pieces:
         for word in words:
             seen.setdefault(word, Counter())[number[lang]] += 1
-    # A word that several texts have, by the set of languages that use it (as bits).
+    # A word that occurs in several pieces, by the set of languages that use it.
+    sets: dict[tuple[int, ...], int] = {}
     lexicon = {
-        word: sum(1 << k for k, c in by.items() if c * 10 >= sum(by.values()) and k < 62)
+        word: sets.setdefault(tuple(sorted(k for k, c in by.items() if c * 10 >= sum(by.values()))), len(sets) + 1)
         for word, by in seen.items()
         if sum(by.values()) >= 5
     }
@@ -197,8 +209,9 @@ def fit(pieces: list[tuple[str, list[str]]], rounds: int = 60, seed: int = 11) -
     return Field(languages, lexicon, weight, theta[1], theta[2])
 
 
-def pair_marginals(emission: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
-    """Expected number of each transition, summed over all neighbours inside sequences."""
+def messages(emission: np.ndarray, first: np.ndarray, field: Field) -> tuple[np.ndarray, ...]:
+    """Forward and backward vectors of all words, scaled word by word, all texts at once; and
+    the exponentials of emissions and transitions."""
     n, labels = emission.shape
     score = np.exp(emission - emission.max(axis=1, keepdims=True))
     step, start = np.exp(field.transition), np.exp(field.start)
@@ -206,30 +219,47 @@ def pair_marginals(emission: np.ndarray, first: np.ndarray, field: Field) -> np.
     lengths = np.diff(np.append(begin, n))
     order = np.argsort(-lengths, kind="stable")
     begin, lengths = begin[order], lengths[order]
+    # Texts with more than c words come first.
+    active = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left")
     forward, backward = np.empty((n, labels)), np.ones((n, labels))
-    for c in range(int(lengths.max())):
-        at = begin[lengths > c] + c
+    for c, m in enumerate(active):
+        at = begin[:m] + c
         a = score[at] * (start if c == 0 else forward[at - 1] @ step)
         forward[at] = a / a.sum(axis=1, keepdims=True)
-    for c in range(int(lengths.max()) - 1, 0, -1):
-        at = begin[lengths > c] + c
+    for c in range(len(active) - 1, 0, -1):
+        at = begin[: active[c]] + c
         b = (score[at] * backward[at]) @ step.T
         backward[at - 1] = b / b.sum(axis=1, keepdims=True)
+    return forward, backward, score, step
+
+
+def pair_marginals(emission: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
+    """Expected number of each transition, summed over all neighbours inside sequences."""
+    forward, backward, score, step = messages(emission, first, field)
+    labels = emission.shape[1]
     inner = np.flatnonzero(~first)
-    joint = forward[inner - 1][:, :, None] * step[None] * (score[inner] * backward[inner])[:, None, :]
-    return (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    total = np.zeros((labels, labels))
+    for at in np.array_split(inner, max(1, len(inner) * labels * labels // MATRICES)):
+        joint = forward[at - 1][:, :, None] * step[None] * (score[at] * backward[at])[:, None, :]
+        total += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return total
 
 
-def learn(docs: DataFrame, train: Column, per_language: int = 600, id: str = "doc_id", seed: int = 11) -> Field | None:
-    """A field from about ``per_language`` texts of each language (None: nothing to learn)."""
+def learn(docs: DataFrame, train: Column, per_language: int = 80, id: str = "doc_id", seed: int = 11) -> Field | None:
+    """A field from ``per_language`` different texts of each language (None: nothing to learn)."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = known.select("lang", "text", F.xxhash64(F.lit(seed), id, "text").alias("h"))
+    # Copies share a hash, so shares are of different hashes; four times what is wanted, as
+    # numbers are estimates and draws.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))))
-    chance = F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(chance < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
-    return fit(training_pieces(sample.limit(2 * per_language * len(counts))), seed=seed)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * per_language / max(1, r["n"])))))
+    chance = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.where(chance < F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = drawn.withColumn("place", place).where(F.col("place") <= per_language)
+    return fit(training_pieces(sample), seed=seed)
 
 
 def predict(docs: DataFrame, field: Field | None, sure: str | None = None) -> DataFrame:
@@ -245,7 +275,7 @@ def predict(docs: DataFrame, field: Field | None, sure: str | None = None) -> Da
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        # The steps of a slice are as many matrices as it has words.
+        # Slices of texts whose step matrices are bounded, but for a text that is longer alone.
         size = 4 * SLICE_BYTES // max(16, len(own.languages) ** 2)
         names = np.array([*own.languages, "und"], object)
         for batch, texts in slices(batches, "row.text", size):

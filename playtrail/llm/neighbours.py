@@ -8,16 +8,20 @@ reach ``mass``; there all rows are compared and reranked by exact cosine.
 
 * Parts and the queries sent to them are cut into cells of bounded size, so a vector that a
   third of all rows have spreads over many cells.
-* Vectors that are null, zero, hold null or non-finite components, or have another length
-  than most take no part, neither as query nor as candidate; so do rows without id.
+* Vectors that are null, zero, or hold null or non-finite components take no part, neither as
+  query nor as candidate; so do rows without id.  Vectors of different lengths have no cosine:
+  each length is searched apart.
 * Equal cosines are ranked by id; equal vectors get bit-equal cosines.  Repeated ids are rows
-  of their own.  With fewer candidates than ``k`` all of the visited ones are returned.
+  of their own: each is a query with ranks from 1, and a candidate for the others.
+* A query visits parts until they hold ``k`` other rows, so with fewer candidates than ``k``
+  all are returned, and else ``k``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +33,20 @@ from playtrail.llm.common import stored
 
 #: Candidates and queries of a cell.
 CANDIDATES, QUERIES = 4096, 2048
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query long, query_id long, vec_id long, score double"
+#: Different lengths of vectors, each searched by a model of its own, that one table may hold.
+LENGTHS = 16
 
 
 def usable(vectors: DataFrame, id: str, column: str) -> DataFrame:
-    """``vec_id, v``: the vectors that take part, as doubles."""
+    """``row, vec_id, v``: the vectors that take part, as doubles, and a number of each row."""
     v = F.col(column).cast("array<double>")
-    good = vectors.select(F.col(id).cast("long").alias("vec_id"), v.alias("v"))
+    row = F.monotonically_increasing_id().alias("row")
+    good = vectors.select(row, F.col(id).cast("long").alias("vec_id"), v.alias("v"))
     v = F.col("v")
     good = good.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    good = good.where(finite & F.exists(v, lambda x: x != 0))
-    usual = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("v") == (usual["n"] if usual else 0))
+    return good.where(finite & F.exists(v, lambda x: x != 0))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -160,25 +165,39 @@ def learn(sample: np.ndarray, parts: int, k: int = 10, hidden: int = 64, epochs:
     return train(x, target / target.sum(axis=1, keepdims=True), hidden, epochs, seed)
 
 
-def routed(vectors: DataFrame, router: Router, mass: float | None) -> DataFrame:
-    """``vec_id, v, part``: the likeliest part of each, or those that together have ``mass``."""
+def routed(
+    vectors: DataFrame, router: Router, mass: float | None, sizes: np.ndarray | None = None, least: int = 0
+) -> DataFrame:
+    """``row, vec_id, v, part``: the likeliest part of each, or those that together have ``mass``
+    and, by the ``sizes`` of all parts, at least so many rows."""
     model = vectors.sparkSession.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1))
+            x = matrix(batch.column("v"))
             p = model.value.probabilities(unit(x))
             order = np.argsort(-p, axis=1, kind="stable")
-            before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
-            row, place = np.nonzero(before < mass) if mass is not None else (np.arange(len(x)), np.zeros(len(x), int))
+            if mass is None:
+                row, place = np.arange(len(x)), np.zeros(len(x), int)
+            else:
+                own = np.take_along_axis(p, order, 1)
+                rows = sizes[order]
+                before = np.cumsum(own, axis=1) - own
+                row, place = np.nonzero((before < mass) | (np.cumsum(rows, axis=1) - rows < least))
+            taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array([x[i].tobytes() for i in row], pa.binary()), pa.array(order[row, place])],
-                names=["vec_id", "v", "part"],
+                [
+                    batch.column("row").take(taken),
+                    batch.column("vec_id").take(taken),
+                    pa.array([x[i].tobytes() for i in row], pa.binary()),
+                    pa.array(order[row, place]),
+                ],
+                names=["row", "vec_id", "v", "part"],
             )
 
-    return vectors.select("vec_id", "v").mapInArrow(route, "vec_id long, v binary, part long")
+    return vectors.select("row", "vec_id", "v").mapInArrow(route, "row long, vec_id long, v binary, part long")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -192,9 +211,9 @@ def cells(rows: DataFrame, own: dict[int, int], other: dict[int, int], side: str
         return F.element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), F.col("part"))
 
     dealt = rows.where(F.col("part").isin(*own) & F.col("part").isin(*other))
-    mine = F.pmod(F.xxhash64("vec_id"), count(own).cast("long")).alias(side)
+    mine = F.pmod(F.xxhash64("row"), count(own).cast("long")).alias(side)
     theirs = F.explode(F.sequence(F.lit(0).cast("long"), count(other).cast("long") - 1)).alias("q" if side == "c" else "c")
-    return dealt.select("vec_id", "v", "part", mine, theirs)
+    return dealt.select("row", "vec_id", "v", "part", mine, theirs)
 
 
 def nearest(
@@ -206,30 +225,48 @@ def nearest(
     ``is_query`` is a condition on ``vec_id``; the sample is the vectors with the smallest
     hash of their id."""
     good = stored(usable(vectors, id, column), "vectors")
-    picked = good.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("v").collect()
+    lengths = [r["n"] for r in good.select(F.size("v").alias("n")).distinct().limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
+    found = [
+        search(good.where(F.size("v") == n), is_query, k, parts, mass, sample, seed) for n in sorted(lengths)
+    ]
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found) if found else none
+
+
+def search(
+    good: DataFrame, is_query: Column, k: int, parts: int, mass: float, sample: int, seed: int
+) -> DataFrame:
+    """`nearest` of usable vectors of one length."""
+    picked = good.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "row").limit(sample).select("v").collect()
     router = learn(np.array([r["v"] for r in picked]), parts, seed=seed)
     rows = stored(routed(good, router, None), "parts")
-    queries = stored(routed(good.where(is_query), router, mass), "queries")
-    sizes = {r["part"]: -(-r["count"] // CANDIDATES) for r in rows.groupBy("part").count().collect()}
+    held = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    each = np.zeros(router.layers[-1].size, np.int64)
+    each[list(held)] = list(held.values())
+    queries = stored(routed(good.where(is_query), router, mass, each, k + 1), "queries")
+    sizes = {part: -(-n // CANDIDATES) for part, n in held.items()}
     asked = {r["part"]: -(-r["count"] // QUERIES) for r in queries.groupBy("part").count().collect()}
     if not asked:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
-            return _found([], [], [])
+            return _found([], [], [], [])
         q, c = (np.stack([np.frombuffer(v) for v in t.column("v").to_pylist()]) for t in (queries, rows))
         qid, cid = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
-        order = np.argsort(cid, kind="stable")
-        c, cid = c[order], cid[order]
+        qrow, crow = queries.column("row").to_numpy(), rows.column("row").to_numpy()
+        order = np.lexsort((crow, cid))
+        c, cid, crow = c[order], cid[order], crow[order]
         # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
         _, same = np.unique(c, axis=0, return_inverse=True)
         by = np.argsort(same, kind="stable")
         rank = np.arange(len(by)) - np.searchsorted(same[by], same[by])
         keep = np.sort(by[rank <= k])
-        c, cid = c[keep], cid[keep]
+        c, cid, crow = c[keep], cid[keep], crow[keep]
         near = unit(q) @ unit(c).T
-        near[qid[:, None] == cid[None, :]] = -2
+        near[qrow[:, None] == crow[None, :]] = -2
         n = min(k, len(cid))
         least = np.partition(near, len(cid) - n, axis=1)[:, len(cid) - n]
         a, b = np.nonzero((near >= least[:, None] - 1e-9) & (near > -1.5))
@@ -237,15 +274,16 @@ def nearest(
         order = np.lexsort((cid[b], -score, a))
         a, b, score = a[order], b[order], score[order]
         first = np.arange(len(a)) - np.searchsorted(a, a) < k
-        return _found(qid[a[first]], cid[b[first]], score[first])
+        return _found(qrow[a[first]], qid[a[first]], cid[b[first]], score[first])
 
     left = cells(queries, asked, sizes, "q").groupBy("part", "q", "c")
     right = cells(rows, sizes, asked, "c").groupBy("part", "q", "c")
     found = left.cogroup(right).applyInArrow(best, _FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _found(queries, rows, scores) -> pa.Table:
-    return pa.table({"query_id": pa.array(queries, pa.int64()), "vec_id": pa.array(rows, pa.int64()), "score": pa.array(scores, pa.float64())})
+def _found(queries, ids, rows, scores) -> pa.Table:
+    columns = {"query": queries, "query_id": ids, "vec_id": rows}
+    return pa.table({**{n: pa.array(v, pa.int64()) for n, v in columns.items()}, "score": pa.array(scores, pa.float64())})

@@ -148,10 +148,13 @@ def learn(
     docs: DataFrame, labels: DataFrame, train: Column, sample: int = 6_000, terms: int = 8192, factors: int = 4,
     epochs: int = 12, seed: int = 5,
 ) -> Machine:
-    """A machine from at most ``sample`` labelled rows of ``train`` (a condition on doc_id)."""
+    """A machine from at most ``sample`` labelled ids of ``train`` (a condition on doc_id), one
+    text each: of an id with several, the last by order of texts."""
     known = labels.where(F.col("toxic").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    # One text an id, however many rows it has: the greatest, nulls last.
+    rows = joined.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     return fit(training_terms(rows), terms, factors, epochs, seed)
 
 
