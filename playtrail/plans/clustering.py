@@ -105,6 +105,8 @@ def seed_centres(points: DataFrame, deviations: tuple[float, ...], k: int) -> Ce
 
 def train_centres(points: DataFrame, centres: Centres, rounds: int) -> Centres:
     """Lloyd's rounds from given centres, until they stay; a centre without points stays."""
+    if not centres.values:
+        return centres
     columns = [F.col(v) for v in _SCALED]
     for _ in range(rounds):
         sums = [F.sum(F.col(v).cast("decimal(18,0)")).alias(v) for v in _SCALED]

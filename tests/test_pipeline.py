@@ -7,7 +7,7 @@ from checks.adapters import audio_features, plays_from_events
 from checks.base import rows as base_rows
 from playtrail.operators.rollup import name_cube, play_cube
 from playtrail.params import PlayParams
-from playtrail.plans import clustering, explore, pipeline, rollups
+from playtrail.plans import clustering, explore, pipeline, rollups, texts
 from playtrail.plans import session_behavior as behavior
 from playtrail.plans.enrich import enrich
 from playtrail.plans.insights import generate_insights
@@ -128,7 +128,7 @@ def test_csv_and_report(spark, sf, tmp_path):
     writers.write_report(report, str(tmp_path / "report"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert lines == [r.line for r in report.orderBy("section_ord", "ord").collect()]
-    assert lines[0] == "BASIC STATISTICS:"
+    assert lines[:4] == [*texts.TITLE, "", "BASIC STATISTICS:"] and lines.count("") == 4
 
 
 def test_filters(spark, sf):
