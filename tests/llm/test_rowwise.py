@@ -1,5 +1,6 @@
 """Mixing, decontamination, tokens, licenses: against direct computations."""
 
+import json
 import math
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from playtrail.llm.decontamination import decontaminate
 from playtrail.llm.licenses import NOTICES, PHRASES, scan_licenses
 from playtrail.llm.mixing import mix_sources
-from playtrail.llm.tokens import count_tokens
+from playtrail.llm.tokens import count_tokens, counter, cuts_at_spaces
 from tests.llm.helpers import empty, frame, odd_texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -99,6 +100,55 @@ def test_tokens(docs, tmp_path):
     assert spark.read.parquet(cache).count() == distinct  # nothing was encoded again
 
 
+def test_repeated_pieces_are_encoded_once():
+    """The library gets each piece once, and its counts are those of whole texts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    tables = pytest.importorskip("public_tokenizers")
+    path = tables.path("byte_bpe_50k.json")
+    with open(path, "rb") as file:
+        model = file.read()
+    tokenizer, given = tokenizers.Tokenizer.from_file(path), []
+
+    def encode(texts):
+        given.extend(texts)
+        return tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    rng = random.Random(4)
+    vocabulary = [f"word{i}," for i in range(50)]
+    texts = [" ".join(rng.choices(vocabulary, k=200)) for _ in range(50)]
+    assert counter(encode, model)(texts) == [len(e) for e in tokenizer.encode_batch_fast(texts)]
+    assert sum(map(len, given)) < sum(map(len, texts)) / 10
+
+    # Every character of the first plane beside a single space, and runs of all kinds of white space.
+    texts = [f"x{chr(c)} y {chr(c)}z {chr(c)} '{chr(c)}" for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    kinds = ["a", "7", "é", "中", "'s", "'ll", "!?", "<|endoftext|>", "<|endof", "😀", "\u0301", "x" * 40]
+    kinds += [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u200b", "\x1c", "\x85", "\0"]
+    texts += ["".join(rng.choices(kinds, k=rng.randint(0, 30))) for _ in range(20_000)]
+    assert counter(encode, model)(texts) == [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers_get_whole_texts():
+    tables = pytest.importorskip("public_tokenizers")
+    with open(tables.path("byte_bpe_50k.json"), "rb") as file:
+        model = json.load(file)
+    assert cuts_at_spaces(json.dumps(model).encode())
+    token = model["added_tokens"][0]
+    for change in (
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": {"type": "Metaspace"}},
+        {"pre_tokenizer": None},
+        {"pre_tokenizer": {**model["pre_tokenizer"], "add_prefix_space": True}},
+        {"pre_tokenizer": {**model["pre_tokenizer"], "use_regex": False}},
+        {"model": {**model["model"], "dropout": 0.1}},
+        {"model": {"type": "Unigram"}},
+        {"added_tokens": [{**token, "content": "of the"}]},
+        {"added_tokens": [{**token, "lstrip": True}]},
+    ):
+        other, given = json.dumps(model | change).encode(), []
+        assert counter(lambda texts: given.extend(texts) or texts, other)(["a b", "c"]) == [3, 1]
+        assert given == ["a b", "c"]
+
+
 def test_licenses(spark):
     texts = [
         "CC-BY and cc by cc by. General Public License; all rights reserved",
