@@ -184,6 +184,8 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of queries that nothing refers to any more.
 
     It does so when the driver's JVM collects garbage, which a driver with little to do puts
-    off for half an hour; after a table as large as the corpus was written, that is late."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    off for half an hour; after a table as large as the corpus was written, that is late.
+    The first collection leaves the query that ran last; the second finds it."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()

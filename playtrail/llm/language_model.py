@@ -84,7 +84,11 @@ def counted(docs: DataFrame) -> DataFrame:
             sent(number, *distinct(h, part == 0, part == 1), n, None, kind) for kind, h in enumerate(hashes)
         )
 
-    counts = corpus_counts(chunked.groupBy("chunk").applyInArrow(lean(send), SENT), sums=2, steps=True)
+    # The keys are the most that lies on disks.  With the answers stored they can go before the
+    # texts meet the answers, at the price of dealing the texts to their chunks a second time.
+    by_chunk = chunked.groupBy("chunk").applyInArrow(lean(send), SENT)
+    counts = stored(corpus_counts(by_chunk, sums=2, steps=True), "lm-answers", compression="zstd")
+    free_shuffles(docs.sparkSession)
 
     def answer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, part, lengths = keys(chunk)
@@ -92,7 +96,7 @@ def counted(docs: DataFrame) -> DataFrame:
         found = []
         for kind in (0, 1):
             own, counts = distinct(hashes[kind], part == 0, part == 1)
-            totals, _ = counts_for(own, counts, answers, n, kind)
+            totals, _ = counts_for(own, counts, answers, n, kind, steps=True)
             found.append(totals[:, np.searchsorted(own, hashes[kind])])
         (main_words, held_words), (main_pairs, held_pairs) = found
         words, pairs = main_words + held_words, main_pairs + held_pairs

@@ -32,7 +32,8 @@ def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
 
     Rows are dealt by content and place in the input, so equal rows part too.  As all who read
     by place (and Spark when it deals rows in turn), this wants an input that is read alike
-    again after a lost task: files, such as a stored table, not the result of a shuffle."""
+    again, after a lost task or by a second query: files, such as a stored table, not the
+    result of a shuffle."""
     key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), F.monotonically_increasing_id())
     return docs.withColumn("chunk", F.pmod(key, F.lit(chunks).cast("long"))).repartition("chunk")
 
@@ -56,11 +57,15 @@ def _key_bytes(keys: np.ndarray, width: int) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def _within(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """What a bucket's number doesn't tell of its keys; ascending if they are."""
+    return ((keys >> U(32)) // U(buckets) << U(32)) | (keys & U(0xFFFFFFFF))
+
+
 def _key_steps(keys: np.ndarray, buckets: int) -> bytes:
     """A bucket's ascending keys, whole, as differences of what its number doesn't tell of
     them; in as few bytes each as the largest needs."""
-    within = ((keys >> U(32)) // U(buckets) << U(32)) | (keys & U(0xFFFFFFFF))
-    steps = np.diff(within, prepend=U(0))
+    steps = np.diff(_within(keys, buckets), prepend=U(0))
     return _key_bytes(steps, max(1, -(-int(steps.max()).bit_length() // 8)))
 
 
@@ -110,7 +115,7 @@ def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None, steps
     over all chunks, where they differ from what the chunk sent itself.
 
     ``sums``: counts of a key; ``most``: sums stop there; ``steps``: keys were sent
-    with width None."""
+    with width None, and a check sum goes back with the flags, for ``counts_for``."""
 
     def add(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by("chunk")
@@ -120,6 +125,7 @@ def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None, steps
         keys = [_keys(k, len(k) // n) for k, n in zip(bucket.column("keys").to_pylist(), lengths)]
         if steps:
             keys = [np.cumsum(k, dtype=U) for k in keys]
+            checks = [_check(k, c) for k, c in zip(keys, counts)]
         _, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         own = np.concatenate(counts, axis=1).astype(np.int64)
         total = np.stack([np.bincount(back, c).astype(np.int64) for c in own])[:, back]
@@ -129,9 +135,11 @@ def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None, steps
         owned = np.zeros(len(back), bool)
         owned[first] = True
         number, found, at = bucket.column("bucket")[0].as_py(), [], 0
-        for chunk, n in zip(chunks, lengths):
+        for i, (chunk, n) in enumerate(zip(chunks, lengths)):
             part = slice(at, at + n)
             flags = np.packbits(np.stack([owned[part], more[part]])).tobytes()
+            if steps:
+                flags += checks[i]
             found.append((chunk, number, pack(total[:, part][:, more[part]].ravel()), flags))
             at += n
         return _table(found, ["chunk", "bucket", "counts", "flags"])
@@ -140,20 +148,39 @@ def corpus_counts(rows: DataFrame, sums: int = 1, most: int | None = None, steps
 
 
 def counts_for(
-    keys: np.ndarray, counts: np.ndarray, answers: pa.Table, buckets: int, kind: int = 0
+    keys: np.ndarray, counts: np.ndarray, answers: pa.Table, buckets: int, kind: int = 0, steps: bool = False
 ) -> tuple[np.ndarray, np.ndarray]:
     """For what a chunk sent: the sums over all chunks, and whether the chunk is the first
-    (by number) that holds the key."""
+    (by number) that holds the key.
+
+    ``steps``: as in ``corpus_counts``; it is an error if a chunk was read again and no longer
+    holds what it sent, since the answers don't fit it."""
     found = {b: (c, f) for b, c, f in zip(*(answers.column(n).to_pylist() for n in ("bucket", "counts", "flags")))}
     total, owned = counts.astype(np.int64), np.zeros(len(keys), bool)
-    for b, part in _buckets(keys, buckets):
+    parts = dict(_buckets(keys, buckets))
+    if steps and {b for b in found if b // buckets == kind} != {kind * buckets + b for b in parts}:
+        raise ValueError(_CHANGED)
+    for b, part in parts.items():
         sums, flags = found[kind * buckets + b]
+        if steps and not flags.endswith(_check(_within(keys[part], buckets), counts[:, part])):
+            raise ValueError(_CHANGED)
         bits = np.unpackbits(np.frombuffer(flags, np.uint8), count=2 * len(part)).astype(bool)
         owned[part], more = bits[: len(part)], bits[len(part) :]
         total[:, part[more]] = unpack(sums).reshape(len(total), -1)
     return total, owned
 
 
+_CHANGED = "a chunk no longer holds the texts that were counted: the input must read alike each time"
+
+
+def _check(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """A check sum of keys with their counts."""
+    weight = U(1)
+    for row in counts:
+        weight = weight * U(0x9E3779B97F4A7C15) + row.astype(U)
+    return (keys * weight).sum(dtype=U).tobytes()
+
+
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     columns = list(zip(*rows)) or [[]] * len(names)
     types = [pa.int64() if n in ("chunk", "bucket") else pa.binary() for n in names]

@@ -1,21 +1,26 @@
 """Substrings, Jaccard components, language model: against brute force."""
 
+import gc
 import math
+import random
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import fold
+from playtrail.llm import language_model
+from playtrail.llm.common import fold, stored
 from playtrail.llm.components import components
 from playtrail.llm.jaccard import jaccard_components
 from playtrail.llm.language_model import counted, pair_hashes, score_texts, word_hashes
-from playtrail.llm.packed import in_chunks, unpack
+from playtrail.llm.packed import corpus_counts, counts_for, in_chunks, sent, unpack
 from playtrail.llm.substrings import SuffixAutomaton, remove_repeats, repeated_spans
 from tests.llm.helpers import LOWER, empty, frame, odd_texts
 
@@ -139,6 +144,57 @@ def test_pairs_with_equal_low_bits_are_counted_apart(spark):
     assert pairs[1][1] == 1 and pairs[2][1] == 0
 
 
+def test_keys_are_gone_before_texts_meet_their_counts(spark, tmp_path, monkeypatch):
+    """Shuffle files left by the time the counts are stored: texts and answers, not keys too."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(400))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).withColumn("part", F.lit(0))
+    folders = [Path(p) for p in spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().conf())]
+
+    def shuffled():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(2)
+        return {f: f.stat().st_size for d in folders for f in d.rglob("shuffle_*.data")}
+
+    before, left, text = shuffled(), [], sum(len(t) for _, t in rows)
+
+    def stored_and_seen(df, *args, **kwargs):
+        out = stored(df, *args, **kwargs)
+        found = {f: f.stat().st_size for d in folders for f in d.rglob("shuffle_*.data")}
+        left.append(sum(n for f, n in found.items() if f not in before) / text)
+        return out
+
+    monkeypatch.setattr(language_model, "stored", stored_and_seen)
+    found = counted(docs).collect()
+    assert len(found) == len(rows) and all(r["n_known"] == r["n_tokens"] == 401 for r in found)
+    assert left[-1] < 1.6, left
+
+
+def test_a_changed_chunk_is_an_error():
+    """Answers to a chunk fit that chunk alone: other keys or other counts don't pass."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
+    counts = np.stack([np.arange(1000) % 3, np.arange(1000) % 2])
+    rows = sent(7, keys, counts, 8, None)
+
+    class Rows:
+        groupBy = lambda self, column: self
+
+        def applyInArrow(self, f, schema):
+            buckets = rows.column("bucket").to_pylist()
+            return pa.concat_tables(f(rows.slice(i, 1)) for i in range(len(buckets)))
+
+    answers = corpus_counts(Rows(), sums=2, steps=True)
+    total, owned = counts_for(keys, counts, answers, 8, steps=True)
+    assert (total == counts).all() and owned.all()
+    other = counts[::-1]
+    less = keys[keys >> np.uint64(32) & np.uint64(7) != 3]
+    for k, c in ((keys ^ np.uint64(1), counts), (keys, other), (keys[:-1], counts[:, :-1]), (less, counts[:, : len(less)])):
+        with pytest.raises(ValueError):
+            counts_for(k, c, answers, 8, steps=True)
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert remove_repeats(none).count() == 0
