@@ -132,7 +132,9 @@ def export_folder(spark, lines: DataFrame) -> str:
     """A folder with one file for each ``file_source``, of its rows' ``text`` in the order of
     ``ord``.  Spark writes the files; only their names are set from here."""
     out = f"{work_folder(spark)}/exports-{uuid.uuid4().hex}"
-    rows = lines.repartition("file_source").sortWithinPartitions("file_source", "ord")
+    # By a hash of the name, for a shuffle of its own: Spark takes one by the name for that of
+    # a join before, whose partitions it deals out anew, and a file would come from many tasks.
+    rows = lines.repartition(F.xxhash64("file_source")).sortWithinPartitions("file_source", "ord")
     rows.select("file_source", "text").write.partitionBy("file_source").text(f"{out}/parts")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -398,8 +400,9 @@ def discovered_files(spark, sf):
 )
 def parse_split_arrays(spark, sf):
     """Each class is one array, read in ranges of 16 KB; an id belongs to one play."""
+    folder = array_folder(spark, sf)
     with file_ranges(spark, 1 << 14):
-        plays = history.read_history(spark, array_folder(spark, sf), whole_bytes=0)
+        plays = history.read_history(spark, folder, whole_bytes=0)
     alone = F.count(F.lit(1)).over(Window.partitionBy("play_id")) == 1
     return plays.withColumn("own_id", alone).drop("play_id")
 
@@ -414,8 +417,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY file_source ORDER BY event_id) -
     ),
 )
 def rejected_split_arrays(spark, sf):
+    folder = array_folder(spark, sf)
     with file_ranges(spark, 1 << 14):
-        return history.rejects_of(history.read_parsed(spark, array_folder(spark, sf), whole_bytes=0))
+        return history.rejects_of(history.read_parsed(spark, folder, whole_bytes=0))
 
 
 @check(

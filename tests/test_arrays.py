@@ -4,7 +4,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from checks.ingest_checks import export_folder
 from playtrail.sources import arrays, history
 
 
@@ -157,3 +159,25 @@ def test_an_endless_element_is_cut(spark, tmp_path, monkeypatch):
     found = [p for part in parts for p in cutter.feed(part)]
     assert [(p, w, len(t)) for p, w, t in found] == [(0, True, arrays.KEPT + 1), (1, True, 9)]
     assert found[0][2].endswith(b"\0")
+
+
+def test_a_file_behind_a_join_comes_from_one_task(spark):
+    """Adaptive execution turns the join into a broadcast and reads its shuffle by mapper."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    settings |= {"spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as with much data
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        name = F.concat(F.lit("file_"), F.col("id") % 2, F.lit(".json"))
+        lines = spark.range(0, 4000, 1, 4).select(name.alias("file_source"), F.col("id").alias("ord"))
+        ends = lines.groupBy("file_source").agg(F.max("ord").alias("last"))
+        text = F.concat("ord", F.when(F.col("ord") == F.col("last"), "]").otherwise(","))
+        folder = export_folder(spark, lines.join(ends, "file_source").select("file_source", "ord", text.alias("text")))
+        found = {r.name: r.value for r in spark.read.text(folder, wholetext=True).select("value", "_metadata.file_name").toDF("value", "name").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert set(found) == {"file_0.json", "file_1.json"}
+    for k in (0, 1):
+        assert found[f"file_{k}.json"] == ",\n".join(map(str, range(k, 4000, 2))) + "]\n"
