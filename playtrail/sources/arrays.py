@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playtrail.session import materialize
+from playtrail.sources.tasks import in_few_tasks
 
 #: An element of more bytes is unreadable; only its beginning is kept.
 LONGEST = 64 << 20
@@ -166,7 +167,7 @@ def fragments(spark: SparkSession, path: str, more_than: int) -> DataFrame:
     rows = spark.read.text(path, lineSep="}", pathGlobFilter="*.json")
     large = rows.where(F.col("_metadata.file_size") > more_than)
     own = (F.col(f"_metadata.{m}").alias(n) for n, m in meta.items())
-    return large.select(*own, F.col("value").cast("binary").alias("text"))
+    return in_few_tasks(large.select(*own, F.col("value").cast("binary").alias("text")), rows)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | None, bytes]]:
@@ -288,8 +289,11 @@ def pieces(rows: DataFrame, known: DataFrame) -> DataFrame:
     if known.count() <= BROADCAST_RANGES:
         joined = rows.join(F.broadcast(known), _RANGE, "left")
     else:
+        # A range's entry comes as a row before its texts, so these move once.
         numbered = rows.withColumn("line", F.monotonically_increasing_id())
-        joined = numbered.join(known, _RANGE, "left").repartition("file_path", "start").sortWithinPartitions("file_path", "start", "line")
+        own_range = Window.partitionBy(*_RANGE).orderBy(F.col("line").asc_nulls_first())
+        entered = {n: F.first(n).over(own_range) for n in state}
+        joined = numbered.unionByName(known, allowMissingColumns=True).withColumns(entered).where("text IS NOT NULL")
     wanted = joined.select("file_source", *_RANGE, "size", *state, "text")
     return wanted.mapInArrow(cut, "file_source string, file_path string, start long, pos long, whole boolean, text binary")
 

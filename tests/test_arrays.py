@@ -181,3 +181,21 @@ def test_a_file_behind_a_join_comes_from_one_task(spark):
     assert set(found) == {"file_0.json", "file_1.json"}
     for k in (0, 1):
         assert found[f"file_{k}.json"] == ",\n".join(map(str, range(k, 4000, 2))) + "]\n"
+
+
+def test_a_task_reads_many_ranges(spark, tmp_path, small_ranges):
+    items = [{"ts": k, "x": "}" * 50} if k % 9 else k for k in range(20_000)]
+    (tmp_path / "Streaming_History_Audio.json").write_text(json.dumps(items))
+    rows = arrays.fragments(spark, str(tmp_path), 0)
+    assert arrays.ranges(rows).count() > 200
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_entries_reach_ranges_with_and_without_a_shuffle(spark, tmp_path, small_ranges, monkeypatch, most):
+    monkeypatch.setattr(arrays, "BROADCAST_RANGES", most)
+    path = exports(tmp_path)
+    split, whole = history.read_parsed(spark, path, whole_bytes=0), history.read_parsed(spark, path)
+    assert sorted(map(str, history.plays_of(split).collect())) == sorted(map(str, history.plays_of(whole).collect()))
+    places = [sorted((r.file_source, r.pos, r.reason) for r in history.rejects_of(x).collect()) for x in (split, whole)]
+    assert places[0] == places[1]
