@@ -3,9 +3,11 @@ included, and the parser reads those; the SQL states the expected plays."""
 
 from __future__ import annotations
 
+import os
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def export_elements(spark, sf) -> DataFrame:
     full = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     body = F.when((n % 19 == 0) & (n % 17 != 0), full).otherwise(lean)
     element = F.when(n % 101 == 0, n.cast("string")).otherwise(
-        F.concat(F.lit("{"), spelling, F.right(body, F.length(body) - 1))
+        F.concat(F.lit("{"), spelling, F.substring(body, 2, 1 << 30))
     )
     prefix = F.create_map(*[F.lit(x) for pair in FILE_NAMES.items() for x in pair])
     return e.select(n, "event_type", prefix[F.col("event_type")].alias("prefix"), element.alias("x"))
@@ -128,28 +130,70 @@ def export_files(spark, sf) -> DataFrame:
     return files.select("file_source", F.col("file_source").alias("file_path"), text.alias("text"))
 
 
-def export_folder(spark, lines: DataFrame) -> str:
+def export_folder(spark, lines: DataFrame, whole: bool = False) -> str:
     """A folder with one file for each ``file_source``, of its rows' ``text`` in the order of
-    ``ord``.  Spark writes the files; only their names are set from here."""
+    ``ord``; ``whole``: each row is a file.
+
+    In a folder that all machines mount, the tasks write the files.  Elsewhere Spark does, and
+    only their names are set from here, one after the other."""
     out = f"{work_folder(spark)}/exports-{uuid.uuid4().hex}"
-    # By a hash of the name, for a shuffle of its own: Spark takes one by the name for that of
-    # a join before, whose partitions it deals out anew, and a file would come from many tasks.
-    rows = lines.repartition(F.xxhash64("file_source")).sortWithinPartitions("file_source", "ord")
-    rows.select("file_source", "text").write.partitionBy("file_source").text(f"{out}/parts")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    rows = lines.where("file_source IS NOT NULL")
+    if not whole:
+        # By a hash of the name, for a shuffle of its own: Spark takes one by the name for that of
+        # a join before, whose partitions it deals out anew, and a file would come from many tasks.
+        rows = rows.repartition(F.xxhash64("file_source")).sortWithinPartitions("file_source", "ord")
+    rows = rows.select("file_source", "text")
+    if files.getUri().getScheme() == "file":
+        local = files.makeQualified(folder).toUri().getPath()
+        rows.mapInArrow(_file_writer(local), "file_source string").write.format("noop").mode("overwrite").save()
+    else:
+        _spark_files(spark, rows, out, files)
+    return out
+
+
+def _file_writer(folder: str):
+    """Writes rows ``(file_source, text)``, a line each, a file's together, and returns the names.
+    A file gets its name when it is complete, so a task may run twice."""
+
+    def write(batches):
+        name = file = None
+        for batch in batches:
+            done = []
+            for of, text in zip(*(batch.column(n).to_pylist() for n in ("file_source", "text"))):
+                if of != name:
+                    if file:
+                        file.close()
+                        os.replace(file.name, f"{folder}/{name}")
+                    file = open(f"{folder}/.{uuid.uuid4().hex}", "wb")  # noqa: SIM115
+                    name = of
+                    done.append(of)
+                file.write((text or "").encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file_source"])
+        if file:
+            file.close()
+            os.replace(file.name, f"{folder}/{name}")
+
+    return write
+
+
+def _spark_files(spark, rows: DataFrame, out: str, files) -> None:
+    """The same by Spark's writer."""
+    rows.write.partitionBy("file_source").text(f"{out}/parts")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for folder in files.listStatus(path(f"{out}/parts")):
         _, _, name = folder.getPath().getName().partition("=")
         if name:
             (part,) = files.listStatus(folder.getPath())
             files.rename(part.getPath(), path(f"{out}/{name}"))
     files.delete(path(f"{out}/parts"), True)
-    return out
 
 
 def whole_files(spark, sf) -> str:
     """`export_files` as a folder."""
-    return export_folder(spark, export_files(spark, sf).withColumn("ord", F.lit(0)))
+    return export_folder(spark, export_files(spark, sf), whole=True)
 
 
 def _class_files(spark, sf) -> DataFrame:

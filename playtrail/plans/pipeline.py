@@ -54,16 +54,17 @@ def parse(
     ``report=False`` leaves out rejects and statistics.
     """
     prepare(spark)
-    read = read_parsed_lines if lines else read_parsed
     observed = Observation("parsed elements")
-    elements = read(spark, raw, bad_ts_value).observe(observed, *rollups.parse_counts())
+    files = discover_files(spark, raw, "*.json*" if lines else "*.json")
+    elements = read_parsed_lines(spark, raw, bad_ts_value) if lines else read_parsed(spark, raw, bad_ts_value, files=files)
+    elements = elements.observe(observed, *rollups.parse_counts())
     stored = materialize(elements, "parsed_elements")
     plays = read_plays(spark, writers.write_plays(plays_of(stored), out))
     if report:
         writers.write_table(rejects_of(stored), out, REJECTS)
         counts = spark.createDataFrame([observed.get], rollups.PARSE_COUNTS)
-        files = discover_files(spark, raw, "*.json*" if lines else "*.json").agg(F.count(F.lit(1))).scalar()
-        writers.write_statistics(counts.withColumn("total_files", files), out)
+        total = files.agg(F.count(F.lit(1))).scalar()
+        writers.write_statistics(counts.withColumn("total_files", total), out)
     return plays
 
 

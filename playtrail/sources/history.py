@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.timestamps import add_parsed_timestamp
 from playtrail.schema import PLAYS_SCHEMA
 from playtrail.sources.arrays import split_elements
+from playtrail.sources.tasks import in_few_tasks
 
 #: Text bytes of a file that one task reads whole.
 WHOLE_BYTES = 64 << 20
@@ -132,13 +133,13 @@ def read_history_texts(spark: SparkSession, path: str, at_most: int | None = Non
 
     def load() -> DataFrame:
         files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
-        if at_most is not None:
-            files = files.where(F.col("_metadata.file_size") <= at_most)
-        return files.select(
+        some = files if at_most is None else files.where(F.col("_metadata.file_size") <= at_most)
+        texts = some.select(
             F.col("_metadata.file_name").alias("file_source"),
             F.col("_metadata.file_path").alias("file_path"),
             F.col("value").alias("text"),
         )
+        return in_few_tasks(texts, files)
 
     return _or_empty(spark, load, path, _FILES_SCHEMA)
 
@@ -292,15 +293,21 @@ def rejected(files: DataFrame) -> DataFrame:
 
 
 def read_parsed(
-    spark: SparkSession, path: str, bad_ts_value: Column | None = None, whole_bytes: int = WHOLE_BYTES
+    spark: SparkSession,
+    path: str,
+    bad_ts_value: Column | None = None,
+    whole_bytes: int = WHOLE_BYTES,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """`parsed` elements of a directory of exports.
 
     Files of more than ``whole_bytes`` are read by many tasks each, see `split_elements`: of an
-    unreadable one, the readable elements stay, and what is no array at all is a reject."""
+    unreadable one, the readable elements stay, and what is no array at all is a reject.
+    ``files``: what `discover_files` has found there, if it was asked before."""
     small = parsed(file_elements(read_history_texts(spark, path, whole_bytes)), bad_ts_value)
     small = small.withColumn("pos", F.col("pos").cast("long"))
-    if discover_files(spark, path).where(F.col("length") > whole_bytes).isEmpty():
+    files = discover_files(spark, path) if files is None else files
+    if files.where(F.col("length") > whole_bytes).isEmpty():
         return small
     return small.unionByName(parsed(_array_elements(spark, path, whole_bytes), bad_ts_value))
 

@@ -2,10 +2,14 @@
 
 import json
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import ingest_checks
+from playtrail.plans import pipeline
+from playtrail.sinks.layout import REJECTS, STATISTICS
 from playtrail.sources import history
 from playtrail.streaming.history import append_new_plays, stream_history
 
@@ -163,3 +167,49 @@ def test_incremental_reading(spark, exports, tmp_path_factory):
         query.awaitTermination()
     batch = history.read_history(spark, exports)
     assert spark.read.parquet(f"{out}/t").count() == batch.count()
+
+
+@pytest.fixture
+def many_files(spark, tmp_path):
+    """300 files, each a task for itself by Spark's settings."""
+    for k in range(300):
+        items = [{"ts": 1704067200 + k, "ms_played": k, "master_metadata_track_name": "t" * 5000}, k]
+        (tmp_path / f"Streaming_History_Audio_{k}.json").write_text(json.dumps(items))
+    settings = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "4096"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield str(tmp_path)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+
+def test_parse_lists_its_files_once_and_writes_few(spark, many_files, tmp_path_factory, monkeypatch):
+    asked = []
+    found = lambda *a, **b: asked.append(a) or discover(*a, **b)
+    discover = history.discover_files
+    monkeypatch.setattr(history, "discover_files", found)
+    monkeypatch.setattr(pipeline, "discover_files", found)
+    out = tmp_path_factory.mktemp("parsed")
+    assert pipeline.parse(spark, many_files, str(out)).count() == 300
+    assert len(asked) == 1
+    assert spark.read.json(f"{out}/{STATISTICS}").first().total_files == 300
+
+
+
+def test_exports_written_by_tasks_are_those_of_sparks_writer(spark, tmp_path):
+    name = F.when(F.col("id") % 7 != 6, F.concat(F.lit("file_"), F.col("id") % 7, F.lit(".json")))
+    text = F.when(F.col("id") % 5 != 0, F.concat(F.lit("é "), "id"))
+    lines = spark.range(0, 700, 1, 4).select(name.alias("file_source"), (-F.col("id")).alias("ord"), text.alias("text"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(tmp_path))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = lines.where("file_source IS NOT NULL").repartition("file_source").sortWithinPartitions("file_source", "ord")
+    ingest_checks._spark_files(spark, rows.select("file_source", "text"), str(tmp_path), files)
+    folder = Path(ingest_checks.export_folder(spark, lines).removeprefix("file:"))
+    want = {p.name: p.read_bytes() for p in tmp_path.glob("*.json")}
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == want and len(want) == 6
+    assert want["file_1.json"].startswith("é 694\né 687\n".encode())
+    # Each row a file.
+    one = ingest_checks.export_folder(spark, lines.where("ord > -6").drop("ord"), whole=True)
+    assert {p.name for p in Path(one.removeprefix("file:")).iterdir()} == {*want}
