@@ -185,6 +185,15 @@ def many_files(spark, tmp_path):
 
 
 
+def test_texts_are_read_many_to_a_task(spark, many_files):
+    texts = history.read_history_texts(spark, many_files, 1 << 20)
+    assert texts.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {(r.file_source, len(r.text) > 5000) for r in texts.collect()} == {
+        (f"Streaming_History_Audio_{k}.json", True) for k in range(300)
+    }
+    assert history.read_history(spark, many_files).agg(F.sum("ms_played")).first()[0] == sum(range(300))
+
+
 def test_parse_lists_its_files_once_and_writes_few(spark, many_files, tmp_path_factory, monkeypatch):
     asked = []
     found = lambda *a, **b: asked.append(a) or discover(*a, **b)
