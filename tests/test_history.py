@@ -206,6 +206,13 @@ def test_parse_lists_its_files_once_and_writes_few(spark, many_files, tmp_path_f
     assert spark.read.json(f"{out}/{STATISTICS}").first().total_files == 300
 
 
+def test_rejects_of_many_files_are_few_files(spark, many_files, tmp_path_factory):
+    out = tmp_path_factory.mktemp("parsed")
+    pipeline.parse(spark, many_files, str(out))
+    rejects = spark.read.parquet(f"{out}/{REJECTS}.parquet")
+    assert sorted(int(r.content) for r in rejects.collect()) == [*range(300)]
+    assert len(list(out.glob(f"{REJECTS}.parquet/part-*"))) <= 4 * spark.sparkContext.defaultParallelism
+
 
 def test_exports_written_by_tasks_are_those_of_sparks_writer(spark, tmp_path):
     name = F.when(F.col("id") % 7 != 6, F.concat(F.lit("file_"), F.col("id") % 7, F.lit(".json")))
