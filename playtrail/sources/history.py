@@ -119,9 +119,10 @@ def discover_files(spark: SparkSession, path: str, pattern: str = "*.json") -> D
     def load() -> DataFrame:
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
         name = F.element_at(F.split("path", "/"), -1)
-        return files.select(
+        listed = files.select(
             F.url_decode(name).alias("file_source"), F.col("path").alias("file_path"), "length"
         )
+        return in_few_tasks(listed, files)
 
     schema = "file_source string, file_path string, length bigint"
     listed = _or_empty(spark, load, path, schema)

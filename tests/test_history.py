@@ -184,6 +184,11 @@ def many_files(spark, tmp_path):
         spark.conf.set(k, v)
 
 
+def test_discovery_takes_many_files_to_a_task(spark, many_files):
+    found = history.discover_files(spark, many_files)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert len({r.file_path for r in found.collect()}) == found.count() == 300
+
 
 def test_texts_are_read_many_to_a_task(spark, many_files):
     texts = history.read_history_texts(spark, many_files, 1 << 20)
