@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import ingest_checks
 from playtrail.plans import pipeline
+from playtrail.session import work_folder
 from playtrail.sinks.layout import REJECTS, STATISTICS
 from playtrail.sources import history
 from playtrail.streaming.history import append_new_plays, stream_history
@@ -219,6 +220,15 @@ def test_rejects_of_many_files_are_few_files(spark, many_files, tmp_path_factory
     assert len(list(out.glob(f"{REJECTS}.parquet/part-*"))) <= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_a_run_stores_its_elements_in_few_files(spark, many_files, tmp_path_factory):
+    out, folder = tmp_path_factory.mktemp("run"), Path(work_folder(spark).removeprefix("file:"))
+    before = {*folder.glob("parsed_elements-*")}
+    pipeline.run(spark, many_files, *(f"{out}/{n}" for n in ("processed", "enriched", "results")), stages=("parse",))
+    (stored,) = {*folder.glob("parsed_elements-*")} - before
+    assert len(list(stored.glob("part-*"))) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(stored)).count() == 600
+
+
 def test_exports_written_by_tasks_are_those_of_sparks_writer(spark, tmp_path):
     name = F.when(F.col("id") % 7 != 6, F.concat(F.lit("file_"), F.col("id") % 7, F.lit(".json")))
     text = F.when(F.col("id") % 5 != 0, F.concat(F.lit("é "), "id"))
