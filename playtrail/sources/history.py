@@ -192,17 +192,22 @@ def _array_elements(spark: SparkSession, path: str, more_than: int) -> DataFrame
     )
 
 
+#: Struct type of the times.  They are told apart from the other fields because filters ask this
+#: struct whether an element is an object, and Spark works out a filter's columns twice.
+TIMES_TYPE = "struct<ts: variant, offline_timestamp: variant>"
+
+
 def _record_type() -> str:
-    """Struct type of all known fields.
+    """Struct type of the other known fields, but for the uri, of which each class has one.
 
     Fields with a default stay VARIANT, where an absent key is null and an explicit null
     is a value; the rest are typed at once, and one that does not convert is null.
     """
-    fields = {"ts": "variant", "offline_timestamp": "variant", "ms_played": "variant"}
+    fields = {"ms_played": "variant"}
     fields |= {name: "boolean" for name in ("shuffle", *COMMON_FLAGS)}
     fields |= {name: "string" for name in COMMON_FIELDS.values()}
     for of in CLASS_FIELDS.values():
-        fields |= {of.album: "string", of.uri: "string"}
+        fields |= {of.album: "string"}
     for of in CLASS_FIELDS.values():
         fields |= {of.track: "variant", of.artist: "variant"}
     return "struct<" + ", ".join(f"{name}: {kind}" for name, kind in fields.items()) + ">"
@@ -224,8 +229,8 @@ def _by_class(text) -> str:
 
 
 def parsed(elements: DataFrame, bad_ts_value: Column | None = None) -> DataFrame:
-    """All elements, taken apart by a single cast to a struct: typed plays plus ``ts_status``,
-    and ``pos``, ``reason`` and ``content`` of those that are no play (null reason: a play).
+    """All elements, taken apart by casts to structs: typed plays plus ``ts_status``, and
+    ``pos``, ``reason`` and ``content`` of those that are no play (null reason: a play).
 
     From rows ``(play_id, content_type, file_source, pos, item, reason, line)``.  A timestamp
     that is missing or unreadable becomes null, or ``bad_ts_value``.
@@ -235,23 +240,25 @@ def parsed(elements: DataFrame, bad_ts_value: Column | None = None) -> DataFrame
         return f"IF(r.{field} IS NULL, '{default}', {_text(field)})"
 
     records = elements.select(
-        "play_id", "content_type", "file_source", "pos", "item", "reason", "line", _record().alias("r")
-    )
-    timed = add_parsed_timestamp(records, "r.ts", "timestamp", "ts_status")
-    timed = add_parsed_timestamp(timed, "r.offline_timestamp", "offline_timestamp", "__offline")
+        "play_id", "content_type", "file_source", "pos", "item", "reason", "line",
+        F.try_variant_get("item", "$", TIMES_TYPE).alias("t"),
+        F.try_variant_get("item", "$", RECORD_TYPE).alias("r"),
+    )
+    timed = add_parsed_timestamp(records, "t.ts", "timestamp", "ts_status")
+    timed = add_parsed_timestamp(timed, "t.offline_timestamp", "offline_timestamp", "__offline")
     if bad_ts_value is not None:
         timed = timed.withColumn("timestamp", F.coalesce("timestamp", bad_ts_value))
     columns = {
         "track_name": _by_class(lambda of: or_default(of.track, of.track_default)),
         "artist_name": _by_class(lambda of: or_default(of.artist, of.artist_default)),
         "album_name": _by_class(lambda of: _text(of.album)),
-        "track_uri": _by_class(lambda of: _text(of.uri)),
+        "track_uri": _by_class(lambda of: f"try_variant_get(item, '$.{of.uri}', 'string')"),
         "ms_played": "IF(r.ms_played IS NULL, 0, try_variant_get(r.ms_played, '$', 'bigint'))",
         "shuffle": "IF(content_type = 'music', r.shuffle, NULL)",
         **{column: f"r.{field}" for column, field in COMMON_FIELDS.items()},
         **{flag: f"r.{flag}" for flag in COMMON_FLAGS},
     }
-    reason = "coalesce(reason, IF(r IS NULL, 'element is not an object', NULL))"
+    reason = "coalesce(reason, IF(t IS NULL, 'element is not an object', NULL))"
     return timed.selectExpr(
         *[
             f"CAST({columns.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}"
@@ -274,10 +281,6 @@ def rejects_of(elements: DataFrame) -> DataFrame:
     return elements.filter("reason IS NOT NULL").select("file_source", "pos", "reason", "content")
 
 
-def _record() -> Column:
-    return F.try_variant_get("item", "$", RECORD_TYPE)
-
-
 def parse_history(files: DataFrame, bad_ts_value: Column | None = None) -> DataFrame:
     """Plays of all classes from rows ``(file_source, file_path, text)``, in one pass."""
     return plays_of(parsed(file_elements(files), bad_ts_value))

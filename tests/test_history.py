@@ -115,6 +115,8 @@ STAMP = datetime(2024, 1, 1)
         ("2024-01-01T00:00:00", STAMP, "ok"),
         ("2024-01-01 00:00:00", STAMP, "ok"),
         ("soon", None, "invalid"),
+        ("2024-01-01 soon", None, "invalid"),
+        ("2024-01-01e5", None, "invalid"),
         ("T12:00", None, "invalid"),
         ("nan", None, "invalid"),
         (1e300, None, "invalid"),
@@ -146,6 +148,37 @@ def test_bad_timestamps_can_get_a_value(spark):
     assert history.parse_history(files, stand_in).first().timestamp == datetime(2000, 1, 1)
 
 
+def _files(spark, *texts):
+    rows = [("streaming_history_audio.json", f"f{k}", text) for k, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "file_source string, file_path string, text string")
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_what_is_asked_for_is_converted(spark):
+    plays = history.parse_history(_files(spark, "[]"))
+    times = _optimized(plays.select("track_uri", "timestamp", "ts_status", "offline_timestamp"))
+    assert "offline_timestamp" in times and "master_metadata_track_name" not in times
+    # The other fields once: filters ask the struct of the times whether there is an object.
+    assert _optimized(plays).count("StructField(ms_played,") == 1
+
+
+def test_odd_elements_and_uris_keep_their_rows(spark):
+    uris = ["u", "u", None, 7, 1.5, True, [1], {"a": 1}, ""]
+    elements = [{"ts": 1704067200, "spotify_track_uri": u} for u in uris]
+    files = _files(spark, json.dumps([*elements, {}, None, 7, "text", [{"ts": 1}]]), "[]", None, '{"ts": 1}', "[1,")
+    plays = history.parse_history(files)
+    got = sorted((r.track_uri for r in plays.where("timestamp IS NOT NULL").collect()), key=str)
+    assert got == sorted(["u", "u", None, "7", "1.5", "true", "[1]", '{"a":1}', ""], key=str)
+    assert plays.where("ts_status = 'missing'").count() == 1
+    rejects = sorted((str(r.pos), r.reason, str(r.content)) for r in history.rejected(files).collect())
+    odd = [("10", "null"), ("11", "7"), ("12", '"text"'), ("13", '[{"ts":1}]')]
+    unreadable = [("None", "unreadable file", "None")] * 2
+    assert rejects == sorted([*((p, "element is not an object", c) for p, c in odd), *unreadable])
+
+
 def test_json_lines(spark, tmp_path):
     lines = [json.dumps({"ts": 1704067200 + i, "ms_played": i}) for i in range(50)] + ["oops", "3"]
     (tmp_path / "Streaming_History_Audio.jsonl").write_text("\n".join(lines))
