@@ -50,8 +50,8 @@ def column_medians(
 ) -> DataFrame:
     """Exact median of several columns at once: rows ``(*keys, feature, median)``.
 
-    One aggregate has the sketches of all columns, a second one their counts below the
-    bracket; of the rows only values inside a bracket are taken apart and counted.
+    The rows are read twice: one aggregate has the sketches of all columns, a second one counts
+    their values inside a bracket and what lies below it.
     """
     keys = list(keys)
     values = [f"__v{i}" for i in range(len(columns))]
@@ -70,22 +70,25 @@ def column_medians(
     else:
         bounded = rows.withColumn("__b", rows.agg(sketches).scalar())
 
+    # One pass: rows that agree in what lies inside the brackets, of most rows nothing, are counted
+    # together with what lies below, so that only these few groups are taken apart by column.
+    bracket = [F.expr(f"IF({v} BETWEEN __b.{v}[0] AND __b.{v}[1], {v}, NULL)").alias(f"in{v}") for v in values]
     counts = [f"count({v}) AS n{v}, count_if({v} < __b.{v}[0]) AS below{v}" for v in values]
-    counted = bounded.groupBy(*keys).agg(*[F.expr(e) for text in counts for e in text.split(", ")])
-    names = [f"'{c}', n{v}, below{v}" for c, v in zip(columns, values)]
-    counted = counted.selectExpr(
-        *keys, f"stack({len(columns)}, {', '.join(names)}) AS (feature, total, below)"
-    )
-
-    cells = ", ".join(
-        f"IF({v} BETWEEN __b.{v}[0] AND __b.{v}[1], struct('{c}' AS feature, {v} AS v), NULL)"
-        for c, v in zip(columns, values)
-    )
-    inside = bounded.selectExpr(*keys, f"inline(array_compact(array({cells})))")
-    inside = inside.groupBy(*keys, "feature", "v").agg(F.count(F.lit(1)).alias("n"))
-    group = W.partitionBy(*keys, "feature").orderBy("v")
-    upto = F.sum("n").over(group.rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = inside.withColumn("inside", upto).join(counted, [*keys, "feature"])
+    folded = bounded.groupBy(*keys, *bracket).agg(*[F.expr(e) for text in counts for e in text.split(", ")])
+    names = [f"'{c}', in{v}, n{v}, below{v}" for c, v in zip(columns, values)]
+    by_value = folded.selectExpr(*keys, f"stack({len(columns)}, {', '.join(names)}) AS (feature, v, n, below)")
+    by_value = by_value.groupBy(*keys, "feature", "v").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+    group = W.partitionBy(*keys, "feature")
+    upto = group.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = by_value.select(
+        *keys,
+        "feature",
+        "v",
+        "n",
+        F.sum("n").over(group).alias("total"),
+        F.sum("below").over(group).alias("below"),
+        F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).over(upto).alias("inside"),
+    ).where("v IS NOT NULL")
 
     def at_rank(rank: str) -> Column:
         hit = F.expr(f"below + inside - n < {rank} AND below + inside >= {rank}")

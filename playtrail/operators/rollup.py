@@ -23,6 +23,7 @@ EFFICIENCY = "listening_efficiency"
 _CUBE_MARK = f"{EFFICIENCY}__n"
 
 PLAY_CUBE_KEYS = ("date", "hour", "content_type", "platform_category", "mood")
+CLASS_CUBE_KEYS = ("year", "time_of_day", "content_type", "platform_category", "mood")
 NAME_CUBE_KEYS = ("date", "content_type", "artist_name", "album_name")
 
 
@@ -55,6 +56,13 @@ def name_cube(plays: DataFrame) -> DataFrame:
     return derive(cube, calendar_columns("date"))
 
 
+def class_cube(cube: DataFrame) -> DataFrame:
+    """The play cube without its days, a few hundred rows a year at most, for results that ask for
+    years and classes only."""
+    parts = [*MEASURES, *[f"{c}__{part}" for c in (*AUDIO_MEANS, EFFICIENCY) for part in ("sum", "n")]]
+    return cube.groupBy(*CLASS_CUBE_KEYS).agg(*[F.sum(name).alias(name) for name in parts])
+
+
 def is_cube(df: DataFrame) -> bool:
     return _CUBE_MARK in df.columns
 

@@ -2,7 +2,8 @@
 
 The plays are read a fixed number of times whatever the number of results: once for the
 session slots, once to write the enriched table, once for each of four intermediate
-rollups (plays, names, session days, sessions), and for the exact medians.
+rollups (plays, names, session days, sessions), and for the exact medians.  Results that ask
+for years and classes only come from a fifth one, made of the first.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from playtrail.operators.cleaning import fill_missing
 from playtrail.operators.joins import join_audio_features
-from playtrail.operators.rollup import name_cube, play_cube
+from playtrail.operators.rollup import class_cube, name_cube, play_cube
 from playtrail.operators.sessions import session_index
 from playtrail.params import DEFAULTS, PlayParams
 from playtrail.plans import clustering, efficiency, insights, platform, rollups, temporal
@@ -73,14 +74,17 @@ class Parts:
     """Intermediate rollups all results are computed from, each written once."""
 
     cube: DataFrame
+    classes: DataFrame
     names: DataFrame
     session_days: DataFrame
     sessions: DataFrame
 
 
 def intermediate_rollups(enriched: DataFrame, params: PlayParams = DEFAULTS) -> Parts:
+    cube = materialize(play_cube(enriched), "play_cube")
     return Parts(
-        materialize(play_cube(enriched), "play_cube"),
+        cube,
+        materialize(class_cube(cube), "class_cube"),
         materialize(name_cube(enriched), "name_cube"),
         materialize(rollups.session_cube(enriched, params.session_key), "session_days"),
         materialize(behavior.session_stats(enriched, params), "sessions"),
@@ -112,11 +116,11 @@ def enrich(
                 parts.names, parts.session_days, params.session_key
             ),
             "artist_stats": rollups.artist_stats(parts.names),
-            "time_stats": rollups.time_stats(parts.cube),
+            "time_stats": rollups.time_stats(parts.classes),
         },
         out,
     )
-    writers.write_summary(rollups.summary_document(enriched, parts.sessions, parts.cube), out)
+    writers.write_summary(rollups.summary_document(enriched, parts.sessions, parts.classes), out)
     return enriched, parts
 
 

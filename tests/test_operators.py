@@ -129,3 +129,25 @@ def test_histogram_of_a_constant(spark):
 def test_division_by_zero_is_null(spark):
     df = spark.createDataFrame([(1, 0), (1, 2)], "a int, b int")
     assert [r.x for r in df.select(ratio(F.col("a"), F.col("b")).alias("x")).collect()] == [None, 0.5]
+
+
+def test_medians_of_odd_columns(spark):
+    nan, rows = float("nan"), []
+    for k in range(301):
+        rows.append(("music", float(k % 7), 0.0 if k % 2 else -0.0, None, nan if k % 3 else float(k)))
+        rows.append(("video", None if k % 5 else 3.0, float(k % 2), None, float(-k)))
+        rows.append((None, 1e6, 1e6, 1e6, 1e6))
+    df = spark.createDataFrame(rows + rows[:9], "content_type string, a double, b double, c double, d double")
+
+    def expected(kinds):
+        for j, name in enumerate("abcd", 1):
+            values = [r[j] for r in rows + rows[:9] if r[0] in kinds and r[j] is not None and r[j] == r[j]]
+            if values:
+                yield name, statistics.median(values)
+
+    everything = column_medians(df, ["a", "b", "c", "d"]).collect()
+    assert sorted(map(tuple, everything)) == sorted(expected({"music", "video", None}))
+    by_kind = column_medians(df, ["a", "b", "c", "d"], keys=["content_type"]).collect()
+    want = [(kind, *pair) for kind in ("music", "video") for pair in expected({kind})]
+    assert sorted(map(tuple, by_kind)) == sorted(want)
+    assert column_medians(df.limit(0), ["a", "b"]).collect() == []

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.adapters import audio_features, plays_from_events
 from checks.base import rows as base_rows
-from playtrail.operators.rollup import name_cube, play_cube
+from playtrail.operators.rollup import class_cube, name_cube, play_cube
 from playtrail.params import PlayParams
 from playtrail.plans import clustering, explore, pipeline, rollups, texts
 from playtrail.plans import session_behavior as behavior
@@ -225,3 +225,42 @@ def test_multi_user_sessions_are_counted_per_user(spark, sf):
     columns = ["year", "month", "content_type", "plays", "total_sessions"]
     assert monthly.select(columns).exceptAll(cubed.select(columns)).count() == 0
     assert play_cube(enriched).agg(F.sum("plays")).first()[0] == enriched.count()
+
+
+def test_class_cube_stands_for_the_play_cube(spark, sf):
+    plays = base_rows(spark, sf, "events")
+    odd = ("date", "year", "hour", "time_of_day", "content_type", "platform_category", "mood", "ms_played", "valence")
+    nulls = plays.limit(40).withColumns({c: F.when(F.col("play_id") % 3 > 0, F.col(c)) for c in odd})
+    cube = materialize(play_cube(plays.unionByName(nulls).unionByName(plays.limit(9))), "odd_cube")
+    classes = class_cube(cube)
+    assert classes.count() < cube.count()
+
+    def rows(df):
+        return sorted((str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect()))
+
+    def distribution(column):
+        return lambda df: rollups.value_counts(df, column)
+
+    for result in (
+        rollups.time_stats,
+        rollups.audio_features_summary,
+        *map(distribution, ("content_type", "mood", "platform_category")),
+    ):
+        assert rows(result(classes)) == rows(result(cube))
+
+
+def test_only_results_by_day_read_the_play_cube(spark, sf, tmp_path, monkeypatch):
+    readers = []
+
+    def noted(f):
+        def call(df, *args):
+            readers.append(f"{f.__name__} {'play_cube' in ''.join(df.inputFiles())}")
+            return f(df, *args)
+
+        return call
+
+    for name in ("daily_stats", "time_stats", "value_counts", "audio_features_summary", "listening_behavior"):
+        monkeypatch.setattr(rollups, name, noted(getattr(rollups, name)))
+    pipeline.enrich(plays_from_events(spark, sf), str(tmp_path), audio_features(spark, sf))
+    assert [r for r in readers if r.endswith("True")] == ["daily_stats True"]
+    assert len(readers) == 7

@@ -135,6 +135,18 @@ def test_keyed_medians_move_no_play_by_its_key(spark, sf):
             assert any("Aggregate" in x for x in below[:stop]), line
 
 
+def test_medians_read_their_rows_twice(spark, sf, tmp_path):
+    from playtrail.operators.medians import column_medians
+
+    spark.range(100).selectExpr("'music' AS content_type", "id * 1D AS a", "id * 2D AS b").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    for keys in ([], ["content_type"]):
+        medians = column_medians(table, ["a", "b"], keys=keys)
+        assert sorted(r[-2:] for r in medians.collect()) == [("a", 49.5), ("b", 99.0)]
+        text = medians._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Relation ") == 2, text
+
+
 def test_distinct_counts_expand_combinations_not_plays(spark, sf):
     for table in (rollups.weekly_stats, rollups.monthly_stats, rollups.dataset_overview):
         lines = plan(table(base_rows(spark, sf, "orders", sessions=True))).split("\n")
