@@ -137,7 +137,7 @@ def analyze(
     clustered = materialize(clustering.cluster_sessions(parts.sessions, params), "clustered")
     results = {
         "temporal_patterns": temporal.analyze_temporal_patterns(
-            parts.cube, parts.names, parts.session_days, materialize, params
+            parts.cube, parts.classes, parts.names, parts.session_days, materialize, params
         ),
         "session_behavior": {
             "session_stats": parts.sessions,
@@ -148,10 +148,10 @@ def analyze(
             "cluster_distribution": clustering.cluster_distribution(clustered),
         },
         "platform_usage": platform.analyze_platform_usage(
-            parts.cube, parts.session_days, materialize, params
+            parts.classes, parts.session_days, materialize, params
         ),
         "listening_efficiency": efficiency.analyze_listening_efficiency(
-            parts.cube, parts.names, enriched, materialize, params
+            parts.classes, parts.names, enriched, materialize, params
         ),
     }
     writers.write_results(results, out)

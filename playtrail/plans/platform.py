@@ -41,7 +41,7 @@ def analyze_platform_usage(
     keep: Callable[[DataFrame, str], DataFrame],
     params: PlayParams = DEFAULTS,
 ) -> dict[str, DataFrame]:
-    """All platform results from the play and session cubes; ``keep`` stores a table that
+    """All platform results from the class (or play) and session cubes; ``keep`` stores a table that
     several results start from."""
     stats = keep(platform_stats(cube, sessions, params.session_key), "platform_stats")
     return {

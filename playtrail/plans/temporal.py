@@ -146,12 +146,13 @@ def year_totals(growth: DataFrame) -> DataFrame:
 
 def analyze_temporal_patterns(
     cube: DataFrame,
+    classes: DataFrame,
     names: DataFrame,
     sessions: DataFrame,
     keep: Callable[[DataFrame, str], DataFrame],
     params: PlayParams = DEFAULTS,
 ) -> dict[str, DataFrame]:
-    """All temporal results from the play, name and session cubes.
+    """All temporal results from the play, class, name and session cubes.
 
     ``keep`` stores a table that several results start from.
     """
@@ -160,7 +161,7 @@ def analyze_temporal_patterns(
     weekly = keep(weekly_stats_with_sessions(names, sessions, params.session_key), "weekly")
     monthly = keep(monthly_stats(names, sessions, params.session_key), "monthly")
     seasons = keep(seasonal_stats(names), "seasons")
-    times = keep(time_stats(cube), "times")
+    times = keep(time_stats(classes), "times")
     yearly = keep(yearly_stats(names), "yearly")
     growth = yearly_growth(yearly)
     return {

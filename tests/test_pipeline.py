@@ -7,7 +7,7 @@ from checks.adapters import audio_features, plays_from_events
 from checks.base import rows as base_rows
 from playtrail.operators.rollup import class_cube, name_cube, play_cube
 from playtrail.params import PlayParams
-from playtrail.plans import clustering, explore, pipeline, rollups, texts
+from playtrail.plans import clustering, efficiency, explore, pipeline, platform, rollups, texts
 from playtrail.plans import session_behavior as behavior
 from playtrail.plans.enrich import enrich
 from playtrail.plans.insights import generate_insights
@@ -244,6 +244,10 @@ def test_class_cube_stands_for_the_play_cube(spark, sf):
     for result in (
         rollups.time_stats,
         rollups.audio_features_summary,
+        platform.platform_evolution,
+        efficiency.time_efficiency,
+        efficiency.feature_efficiency,
+        efficiency.overall_efficiency,
         *map(distribution, ("content_type", "mood", "platform_category")),
     ):
         assert rows(result(classes)) == rows(result(cube))
